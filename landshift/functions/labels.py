@@ -99,7 +99,10 @@ def compatible(model_class: Column, harmonized: Column) -> Column:
 
 
 def vote_counts(labels: Column, classes: Iterable[int]) -> Column:
-    return F.array(*[F.size(F.filter(labels, lambda x, k=k: x == k)) for k in classes])
+    def count(k: int) -> Column:
+        return F.size(F.filter(labels, lambda x: x == k))
+
+    return F.array(*[count(k) for k in classes])
 
 
 def refined_confidence(strict: Column, external: Column, confidence: Column, entropy: Column,

@@ -104,7 +104,7 @@ SELECT * EXCLUDE (adjusted), round(adjusted, 3) AS confidence,
        round(adjusted, 3) >= 0.75e0 AS publish_ready FROM s""")
 
 WEIGHTS = ", ".join(
-    f"((sum_supp * {k} + sum_ord) % 11 + 1) * ((sum_supp * {k} + sum_ord) % 11 + 1) AS w{k}" for k in range(1, 6)
+    f"(SELECT v * v * v FROM (SELECT (sum_supp * {k} + sum_ord) % 11 + 1 AS v)) AS w{k}" for k in range(1, 6)
 )
 LN = " + ".join(
     f"least(greatest(w{k} / CAST(wt AS DOUBLE), 1e-7), 1e0) * ln(least(greatest(w{k} / CAST(wt AS DOUBLE), 1e-7), 1e0))"

@@ -154,7 +154,7 @@ def with_model_output(px: DataFrame) -> DataFrame:
     from landshift.functions.model import predictive_entropy
 
     w = [((F.col("sum_supp") * k + F.col("sum_ord")) % 11 + 1) for k in range(1, 6)]
-    w = [x * x for x in w]
+    w = [x * x * x for x in w]
     total = w[0] + w[1] + w[2] + w[3] + w[4]
     return (
         px.withColumn("_w", F.array(*w)).withColumn("_total", total)
