@@ -143,3 +143,43 @@ def ramp_channel(v: Column, stops: tuple[int, ...]) -> Column:
     i = F.least(F.floor(v * last), F.lit(last - 1)).cast("int")
     arr = F.array(*[F.lit(float(s)) for s in stops])
     return F.floor(F.get(arr, i) + (F.get(arr, i + 1) - F.get(arr, i)) * (v * last - i)).cast("int")
+
+
+# --- cells ----------------------------------------------------------------------
+def segment_hits_cell(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Segment passes through the open unit cell whose lower corner is (cx, cy)."""
+
+    def slab(a: Column, d: Column, low: Column) -> tuple[Column, Column, Column]:
+        inv = F.nullif(d, F.lit(0.0))
+        t1, t2 = (low - a) / inv, (low + 1 - a) / inv
+        still = (a > low) & (a < low + 1)
+        lo = F.when(d == 0, F.lit(0.0)).otherwise(F.least(t1, t2))
+        hi = F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(t1, t2))
+        return lo, hi, F.when(d == 0, still).otherwise(True)
+
+    x_lo, x_hi, x_ok = slab(ax, bx - ax, cx)
+    y_lo, y_hi, y_ok = slab(ay, by - ay, cy)
+    enter, leave = F.greatest(x_lo, y_lo), F.least(x_hi, y_hi)
+    return x_ok & y_ok & (enter < leave) & (enter < 1) & (leave > 0)
+
+
+def segment_cell_distance(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Distance between a segment and a unit cell, 0 when they meet."""
+
+    def to_cell(px: Column, py: Column) -> Column:
+        dx = F.greatest(cx - px, F.lit(0.0), px - (cx + 1))
+        dy = F.greatest(cy - py, F.lit(0.0), py - (cy + 1))
+        return F.sqrt(dx * dx + dy * dy)
+
+    corners = [segment_distance(cx + i, cy + j, ax, ay, bx, by) for i in (0.0, 1.0) for j in (0.0, 1.0)]
+    return F.when(segment_hits_cell(ax, ay, bx, by, cx, cy), F.lit(0.0)).otherwise(
+        F.least(*corners, to_cell(ax, ay), to_cell(bx, by)))
+
+
+def any_segment(path: Column, test) -> Column:
+    """True when `test(a, b)` holds for some consecutive pair of path points."""
+    n = F.size(path) - 1
+    return F.exists(
+        F.zip_with(F.slice(path, 1, n), F.slice(path, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        lambda s: test(s["a"], s["b"]),
+    )
