@@ -7,7 +7,7 @@ import importlib
 from landshift.plans import twins  # noqa: F401
 from landshift.plans.registry import ORACLES, QUERIES, expand
 
-MODULES = ("change", "rollup", "scenes", "labels", "patches", "regions", "terrain", "embed", "raster")
+MODULES = ("change", "rollup", "scenes", "labels", "patches", "regions", "terrain", "embed", "raster", "audit")
 
 for _name in MODULES:
     importlib.import_module(f"landshift.plans.{_name}")
