@@ -12,6 +12,7 @@ from landshift.config import FROZEN_YEAR, REVIEW, ReviewThresholds
 from landshift.functions import model as md
 from landshift.operators.quantiles import exact_quantiles
 from landshift.operators.ranking import hash_order, hash_sample
+from landshift.session import cut_lineage
 
 
 def without_frozen(records: DataFrame) -> DataFrame:
@@ -66,7 +67,12 @@ def channel_moments(values: DataFrame) -> DataFrame:
 
 
 def standard_scale(patches: DataFrame, dims: int) -> DataFrame:
-    """Scaled vectors; statistics come from train patches, constant dimensions keep scale 1."""
+    """Scaled vectors; statistics come from train patches, constant dimensions keep scale 1.
+
+    The vectors are written once: they are thousands of times smaller than the
+    pixels behind them and are read for fitting and again for scaling.
+    """
+    patches = cut_lineage(patches)
     fit = patches.where("split = 'train'").agg(
         F.array(*[F.avg(F.get("vector", i)) for i in range(dims)]).alias("m"),
         F.array(*[F.stddev_pop(F.get("vector", i)) for i in range(dims)]).alias("s"),
@@ -109,7 +115,7 @@ def assign_clusters(df: DataFrame, vector: str, centroids: Sequence[Sequence[flo
 
 def anomaly_scores(df: DataFrame) -> DataFrame:
     """Half reconstruction error, half centre distance, scaled by the 5th and 95th percentile."""
-    raw = df.withColumn("raw_anomaly", F.round(0.5 * F.col("error") + 0.5 * F.col("center_distance"), 9))
+    raw = cut_lineage(df.withColumn("raw_anomaly", F.round(0.5 * F.col("error") + 0.5 * F.col("center_distance"), 9)))
     q = exact_quantiles(raw, "raw_anomaly", [0.05, 0.95]).scalar()
     return raw.withColumn("_q", q).withColumn(
         "anomaly",
@@ -157,26 +163,36 @@ def silhouette(df: DataFrame, key: str, vector: str, cluster: str, sample: int,
 
 
 def cluster_profile(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Size, label mix, means and first examples per cluster; nothing unbounded is collected."""
-    mix = df.groupBy(cluster, "class_id").agg(F.count(F.lit(1)).alias("n"))
-    labels = mix.groupBy(cluster).agg(
-        F.sum("n").alias("patch_count"), F.max(F.struct("n", (-F.col("class_id")).alias("neg"))).alias("_b"),
+    """Size, label mix, means and first examples per cluster.
+
+    One pass reduces the patches to (cluster, class, year) cells; everything but
+    the examples comes from those few rows.
+    """
+    cells = df.groupBy(cluster, "class_id", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("fraction") * 1e6).cast("bigint")).alias("f"),
+        F.sum(F.round(F.col("anomaly") * 1e6).cast("bigint")).alias("a"))
+
+    def mix_text(entries: Column, key: str) -> Column:
+        return F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e[key].cast("string"), e["n"].cast("string"))), ",")
+
+    def by(key: str) -> DataFrame:
+        return cells.groupBy(cluster, key).agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum("a").alias("a"))
+
+    labels = by("class_id").groupBy(cluster).agg(
+        F.sum("n").alias("patch_count"), F.sum("f").alias("f"), F.sum("a").alias("a"),
+        F.max(F.struct("n", (-F.col("class_id")).alias("neg"))).alias("_b"),
         F.sort_array(F.collect_list(F.struct("class_id", "n"))).alias("_mix"),
     )
-    means = df.groupBy(cluster).agg(
-        F.round(F.sum(F.round(F.col("fraction") * 1e6).cast("bigint")) / (F.count(F.lit(1)) * 1e6), 6).alias("mean_fraction"),
-        F.round(F.sum(F.round(F.col("anomaly") * 1e6).cast("bigint")) / (F.count(F.lit(1)) * 1e6), 5).alias("mean_anomaly"),
-    )
-    years = df.groupBy(cluster, "year").agg(F.count(F.lit(1)).alias("n")).groupBy(cluster).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("year", "n"))), lambda e: F.concat_ws(":", e["year"].cast("string"), e["n"].cast("string"))), ",").alias("year_mix"))
+    years = by("year").groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("year", "n"))).alias("_years"))
     first = df.select(cluster, "patch_id", F.row_number().over(Window.partitionBy(cluster).orderBy("patch_id")).alias("_rn")).where("_rn <= 5")
     examples = first.groupBy(cluster).agg(F.array_join(F.transform(F.sort_array(F.collect_list("patch_id")), lambda p: p.cast("string")), ",").alias("examples"))
-    return labels.join(means, cluster).join(years, cluster).join(examples, cluster).select(
-        cluster, "patch_count", (-F.col("_b.neg")).alias("dominant_class"),
-        F.round(F.col("_b.n") / F.col("patch_count"), 6).alias("dominant_share"),
-        F.array_join(F.transform("_mix", lambda e: F.concat_ws(":", e["class_id"].cast("string"), e["n"].cast("string"))), ",").alias("label_mix"),
+    size = F.col("patch_count")
+    return labels.join(years, cluster).join(examples, cluster).select(
+        cluster, "patch_count", (-F.col("_b.neg")).alias("dominant_class"), F.round(F.col("_b.n") / size, 6).alias("dominant_share"),
+        mix_text(F.col("_mix"), "class_id").alias("label_mix"),
         F.round(md.histogram_entropy(F.transform("_mix", lambda e: e["n"])), 6).alias("mix_entropy"),
-        "mean_fraction", "mean_anomaly", "year_mix", "examples",
+        F.round(F.col("f") / (size * 1e6), 6).alias("mean_fraction"), F.round(F.col("a") / (size * 1e6), 5).alias("mean_anomaly"),
+        mix_text(F.col("_years"), "year").alias("year_mix"), "examples",
     )
 
 

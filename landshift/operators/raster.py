@@ -107,8 +107,7 @@ def rasterize(shapes: DataFrame, buffer: float, block: int = 256) -> DataFrame:
     near_line = geo.any_segment(
         F.col("points"), lambda a, b: geo.segment_cell_distance(a["x"], a["y"], b["x"], b["y"], cx, cy) <= buffer)
     hit = cells.where(F.when(F.col("shape") == "polygon", in_polygon).otherwise(near_line))
-    return hit.groupBy("y", "x").agg(F.max(F.struct("id", "class_id")).alias("b")).select(
-        "y", "x", F.col("b.class_id").alias("class_id"), F.col("b.id").alias("feature_id"))
+    return hit.groupBy("y", "x").agg(F.max_by("class_id", "id").alias("class_id"), F.max("id").alias("feature_id"))
 
 
 def tile_keys(pixels: DataFrame, mx: Column, my: Column, zooms: tuple[int, ...]) -> DataFrame:

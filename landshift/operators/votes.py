@@ -11,6 +11,7 @@ from landshift.functions import labels as lb, model as md
 
 HARMONIZED = range(1, 7)
 MODEL = range(1, 6)
+LABEL_SPAN = 1 << 16  # labels are class codes below this
 
 
 def majority_vote(df: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -74,9 +75,11 @@ def modal_label(images: DataFrame, start: str, end: str) -> DataFrame:
     """Most frequent label per pixel over [start, end); lowest label on ties."""
     windowed = images.where((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
     counts = windowed.groupBy("y", "x", "label").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct("n", (-F.col("label")).alias("neg")))
+    # count and label share one number, so the winner is a plain hash aggregate
+    best = F.max(F.col("n") * LABEL_SPAN + (LABEL_SPAN - 1 - F.col("label")))
     return counts.groupBy("y", "x").agg(best.alias("b"), F.sum("n").alias("image_count")).select(
-        "y", "x", (-F.col("b.neg")).alias("label"), F.col("b.n").alias("votes"), "image_count"
+        "y", "x", (LABEL_SPAN - 1 - F.col("b") % LABEL_SPAN).cast("int").alias("label"),
+        F.expr(f"b div {LABEL_SPAN}").alias("votes"), "image_count"
     )
 
 
@@ -223,10 +226,12 @@ def review_tasks(records: DataFrame, max_items: int) -> DataFrame:
 
 
 def first_valid_mosaic(tiles: DataFrame, value: str, order: str) -> DataFrame:
-    """Overlapping tiles: the first source in order with a value wins; combines map-side."""
+    """Overlapping tiles: the first source in order with a value wins; combines map-side.
+
+    `order` must not repeat within a pixel.
+    """
     return tiles.where(F.col(value).isNotNull()).groupBy("y", "x").agg(
-        F.min(F.struct(order, value)).alias("b")
-    ).select("y", "x", F.col(f"b.{value}").alias(value), F.col(f"b.{order}").alias(order))
+        F.min_by(value, order).alias(value), F.min(order).alias(order))
 
 
 def touching_confidence(detected: DataFrame) -> DataFrame:

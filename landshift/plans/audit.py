@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landshift.operators import audit as au, terrain as tr
+from landshift.operators import audit as au, terrain as tr, votes
 from landshift.plans import embed as pe, labels as pl, patches as pp, scenes as ps, terrain as pter
 from landshift.plans.registry import query, view
+from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 
 REL = """SELECT round(avg(compatible_fraction), 4) AS mean_compatible_fraction, round(avg(review_fraction), 4) AS mean_review_fraction,
@@ -17,8 +18,18 @@ view("cons_sum", """SELECT count(*) FILTER (valid_count > 0) AS valid_pixel_coun
   round(count(*) FILTER (consensus < 0.6e0) / CAST(count(*) FILTER (valid_count > 0) AS DOUBLE), 6) AS unstable_fraction FROM consensus""")
 
 
-def reliability_means(spark, d):
-    return pl.reliability_records(spark, d).agg(
+def stored_evidence(spark, d):
+    """Evidence pixels written once for the reports that read them several times."""
+    return cut_lineage(pl.evidence(spark, d).select(
+        "scene", "y", "x", "model_class", "confidence", "entropy", "source_count", "agreement", "disagreement", "consensus", "is_compatible"))
+
+
+def consensus_report(ev):
+    return votes.consensus_summary(votes.temporal_consensus(ev))
+
+
+def reliability_means(ev):
+    return votes.reliability_records(ev).agg(
         F.round(F.avg("compatible_fraction"), 4).alias("mean_compatible_fraction"),
         F.round(F.avg("review_fraction"), 4).alias("mean_review_fraction"), F.round(F.avg("mean_confidence"), 4).alias("mean_confidence"))
 
@@ -31,7 +42,8 @@ FROM (SELECT (SELECT CASE WHEN greatest(abs(dy), abs(dx)) * 4 > 10 THEN 'warning
   (SELECT CASE WHEN mean_confidence >= 0.7e0 AND mean_compatible_fraction >= 0.7e0 AND mean_review_fraction <= 0.5e0 THEN 'passed' ELSE 'warning' END FROM rel_sum) AS r,
   mean_consensus, unstable_fraction FROM cons_sum)""")
 def publish_gate(spark, d):
-    return au.publish_gate(pter.best_shift(spark, d).select("status"), pl.consensus_summary(spark, d), reliability_means(spark, d))
+    ev = stored_evidence(spark, d)
+    return au.publish_gate(pter.best_shift(spark, d).select("status"), consensus_report(ev), reliability_means(ev))
 
 
 TRACK = """SELECT count(*) AS patch_count, round(sum(CAST(round(fraction * 1e6) AS BIGINT)) / (count(*) * 1e6), 6) AS weak_compatibility,
@@ -52,9 +64,10 @@ view("all_reports", unpivot_sql("rel_sum", "supervised", ["mean_compatible_fract
 
 
 def all_reports(spark, d):
+    ev = stored_evidence(spark, d)
     return (
-        au.report_values(reliability_means(spark, d), "supervised")
-        .unionByName(au.report_values(pl.consensus_summary(spark, d), "temporal"))
+        au.report_values(reliability_means(ev), "supervised")
+        .unionByName(au.report_values(consensus_report(ev), "temporal"))
         .unionByName(au.report_values(pe.track_metrics(spark, d), "label_free"))
     )
 
@@ -91,8 +104,9 @@ SELECT round({_m('mean_confidence', V)} - {_m('mean_confidence', Z)}, 5) AS conf
 
 
 def drivers(spark, d):
+    ev = stored_evidence(spark, d)
     return au.uncertainty_drivers(
-        pl.reliability_records(spark, d), F.col("scene") == 6, pl.consensus_summary(spark, d), pl.calibration_gap(spark, d),
+        votes.reliability_records(ev), F.col("scene") == 6, consensus_report(ev), votes.calibration_gap(votes.calibration_bins(ev)),
         pter.terrain_summary(spark, d), pp.class_totals(spark, d), (3, 4, 5))
 
 

@@ -170,7 +170,7 @@ SELECT y, x, label, n AS votes, image_count FROM (
         FROM lineitem WHERE l_shipdate >= DATE '1996-03-01' AND l_shipdate < DATE '1999-03-01' GROUP BY ALL)) WHERE rn = 1""")
 def modal_label(spark, d):
     li = obs.table(spark, d, "lineitem").select(
-        F.floor(F.col("l_partkey") / 8).cast("bigint").alias("y"),
+        F.expr("l_partkey div 8").alias("y"),
         ((F.col("l_partkey") % 8) * 7 + F.col("l_linenumber") - 1).cast("int").alias("x"),
         (F.col("l_suppkey") % 9).cast("int").alias("label"), F.to_date("l_shipdate").alias("day"))
     return votes.modal_label(li, "1996-03-01", "1999-03-01")
@@ -300,7 +300,7 @@ SELECT y, x, arg_min(price, seq) AS price, min(seq) AS seq FROM (
 def first_valid_mosaic(spark, d):
     """Line items as overlapping tiles of sources in supplier order; low discounts are nodata."""
     t = obs.table(spark, d, "lineitem").select(
-        F.floor(F.col("l_partkey") / 8).cast("bigint").alias("y"),
+        F.expr("l_partkey div 8").alias("y"),
         ((F.col("l_partkey") % 8) * 7 + F.col("l_linenumber") - 1).cast("int").alias("x"),
         (F.col("l_suppkey") * 1000000000 + F.col("l_orderkey")).alias("seq"),
         F.when(F.col("l_discount") > 0.03, F.col("l_extendedprice")).alias("price"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from landshift.operators import terrain as tr
 from landshift.plans.registry import query, view
+from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 
 view("hol", "SELECT y, x, CASE WHEN (y + x) % 11 <> 0 THEN elevation END AS elevation FROM terrain")
@@ -103,7 +104,7 @@ JOIN tgt_blocks t ON true JOIN ref_blocks r ON r.y = t.y + dy AND r.x = t.x + dx
 
 
 def shifts(spark, d):
-    g = gradient(spark, d).withColumn("gradient", F.round("gradient", 6))
+    g = cut_lineage(gradient(spark, d).withColumn("gradient", F.round("gradient", 6)))
     moved = g.select((F.col("y") + 4).alias("y"), (F.col("x") + 8).alias("x"), "gradient").where("x < 64")
     return tr.shift_correlations(tr.block_mean(g, "gradient", 4, 1_000_000), tr.block_mean(moved, "gradient", 4, 1_000_000), "gradient")
 

@@ -23,12 +23,18 @@ def cents(c: Column) -> Column:
     return F.round(c * 100).cast("bigint")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (scene, y, x): six bands, four weak sources, two raw sums."""
+def pixels(spark: SparkSession, sf_dir: str, scenes: tuple[int, int] | None = None) -> DataFrame:
+    """One row per (scene, y, x): six bands, four weak sources, two raw sums.
+
+    `scenes` (first, last) becomes a date range that the scan can push down.
+    """
     li = table(spark, sf_dir, "lineitem")
+    if scenes is not None:
+        first, last = (f"{SCENE_EPOCH + s}-01-01" for s in (scenes[0], scenes[1] + 1))
+        li = li.where((F.col("l_shipdate") >= F.lit(first).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(last).cast("timestamp_ntz")))
     keyed = li.select(
         (F.year("l_shipdate") - SCENE_EPOCH).alias("scene"),
-        F.floor(F.col("l_partkey") / 8).cast("bigint").alias("y"),
+        F.expr("l_partkey div 8").alias("y"),
         ((F.col("l_partkey") % 8) * 7 + F.col("l_linenumber") - 1).cast("int").alias("x"),
         cents(F.col("l_discount")).alias("discount"),
         cents(F.col("l_tax")).alias("tax"),
