@@ -129,7 +129,7 @@ def shift_correlations(reference: DataFrame, target: DataFrame, value: str, reac
     ).withColumn("x", (F.col("x") + F.col("dx")).cast("int"))
     j = reference.where(F.col(value).isNotNull()).select("y", "x", F.col(value).alias("r")).join(moved, ["y", "x"])
     c = F.corr("r", "t")
-    return j.groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("samples"), F.round(F.when(~F.isnan(c), c), 6).alias("correlation")).withColumn(
+    return j.groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("samples"), F.round(F.when(~F.isnan(c), c), 8).alias("correlation")).withColumn(
         "correlation", F.when(F.col("samples") >= min_samples, F.col("correlation")))
 
 

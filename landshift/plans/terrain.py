@@ -98,7 +98,7 @@ view("tgt_blocks", """
 SELECT y // 4 AS y, x // 4 AS x, sum(CAST(round(round(gradient, 6) * 1e6) AS BIGINT)) / (count(*) * 1e6) AS v FROM (
   SELECT y + 4 AS y, x + 8 AS x, gradient FROM grad WHERE x + 8 < 64) GROUP BY ALL""")
 view("shifts", """
-SELECT dy, dx, count(*) AS samples, CASE WHEN count(*) >= 500 THEN round(corr(r.v, t.v), 6) END AS correlation
+SELECT dy, dx, count(*) AS samples, CASE WHEN count(*) >= 500 THEN round(corr(r.v, t.v), 8) END AS correlation
 FROM (SELECT a.d AS dy, b.d AS dx FROM (SELECT unnest(range(-3, 4)) AS d) a, (SELECT unnest(range(-3, 4)) AS d) b) s
 JOIN tgt_blocks t ON true JOIN ref_blocks r ON r.y = t.y + dy AND r.x = t.x + dx GROUP BY 1, 2""")
 
@@ -109,18 +109,18 @@ def shifts(spark, d):
     return tr.shift_correlations(tr.block_mean(g, "gradient", 4, 1_000_000), tr.block_mean(moved, "gradient", 4, 1_000_000), "gradient")
 
 
-@query("shift_correlations", "SELECT CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, samples, round(correlation, 5) AS correlation FROM shifts")
+@query("shift_correlations", "SELECT CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, samples, correlation FROM shifts")
 def shift_correlations(spark, d):
-    return shifts(spark, d).withColumn("correlation", F.round("correlation", 5))
+    return shifts(spark, d)
 
 
 @query("best_shift", """
-SELECT CAST(dy * 4 AS INTEGER) AS dy_pixels, CAST(dx * 4 AS INTEGER) AS dx_pixels, round(correlation, 5) AS correlation, samples,
+SELECT CAST(dy * 4 AS INTEGER) AS dy_pixels, CAST(dx * 4 AS INTEGER) AS dx_pixels, correlation, samples,
   greatest(abs(dy), abs(dx)) * 40e0 AS shift_m, CASE WHEN greatest(abs(dy), abs(dx)) * 4 > 10 THEN 'warning' ELSE 'passed' END AS status,
   CASE WHEN correlation >= 0.45e0 THEN 'strong' ELSE 'weak' END AS agreement
 FROM shifts WHERE correlation IS NOT NULL ORDER BY correlation DESC, dy, dx LIMIT 1""")
 def best_shift(spark, d):
-    return tr.best_shift(shifts(spark, d), 4).withColumn("correlation", F.round("correlation", 5))
+    return tr.best_shift(shifts(spark, d), 4)
 
 
 view("meta", """
