@@ -13,7 +13,7 @@ from landshift.plans.registry import query, view
 from landshift.sources import observations as obs
 
 POLICY = PatchPolicy(size=8, min_agreement_fraction=0.05, min_valid_fraction=0.4, min_training_pixels=2,
-                     balance_limit=2, balance_multiplier=0.5)
+                     balance_limit=2, balance_multiplier=0.1)
 MINORITY = (5,)
 
 view("masked", """
@@ -37,7 +37,7 @@ SELECT * EXCLUDE (major, m, rk) FROM (
   SELECT *, count(*) FILTER (split = 'train' AND NOT major) OVER (PARTITION BY scene) AS m,
     row_number() OVER (PARTITION BY scene, major ORDER BY training_pixels DESC, block_id) AS rk
   FROM (SELECT *, split = 'train' AND class_5 = 0 AS major FROM patch_seq))
-WHERE NOT major OR rk <= greatest(2, round_even(m * 0.5e0, 0))""")
+WHERE NOT major OR rk <= greatest(2, round_even(m * 0.1e0, 0))""")
 view("class_totals", """
 SELECT unnest([1, 2, 3, 4, 5]) AS class_id, unnest([sum(class_1), sum(class_2), sum(class_3), sum(class_4), sum(class_5)])::BIGINT AS pixels
 FROM balanced WHERE split = 'train'""")
