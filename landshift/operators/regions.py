@@ -65,11 +65,10 @@ def connected_components(edges: DataFrame, layer: str) -> DataFrame:
             layer, "node", "label", F.least("label", "near").alias("low")
         )
         hooks = spread.groupBy(layer, F.col("label").alias("node")).agg(F.min("low").alias("hook"))
-        hooked = cut_lineage(
-            spread.join(hooks, [layer, "node"], "left").select(
-                layer, "node", "label", F.least("low", F.coalesce("hook", F.col("low"))).alias("low")
-            )
-        )
+        # read twice within the round; a lost executor recomputes it from the stored labels
+        hooked = spread.join(hooks, [layer, "node"], "left").select(
+            layer, "node", "label", F.least("low", F.coalesce("hook", F.col("low"))).alias("low")
+        ).persist()
         moved = hooked.where(F.col("low") < F.col("node")).select(
             layer, F.col("node").alias("low"), F.col("low").alias("next"),
             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
@@ -80,6 +79,7 @@ def connected_components(edges: DataFrame, layer: str) -> DataFrame:
                 layer, "node", F.col("label").alias("_old"), F.coalesce("next", "low").alias("label")
             )
         )
+        hooked.unpersist()
         if after.where(F.col("_old") != F.col("label")).isEmpty():
             return after.select(layer, "node", "label")
         labels = after.drop("_old")
