@@ -44,13 +44,27 @@ MINORITY_MODEL_CLASSES = (3, 4, 5)
 
 # display colours of the model classes (red, green, blue)
 CLASS_COLORS = {
-    1: (214, 69, 65),
-    2: (63, 145, 82),
-    3: (201, 162, 92),
-    4: (58, 124, 189),
-    5: (130, 130, 130),
+    1: (214, 70, 23),
+    2: (47, 137, 86),
+    3: (181, 119, 27),
+    4: (43, 139, 214),
+    5: (112, 76, 219),
 }
-INDEX_RAMP = ((140, 81, 10), (246, 232, 195), (90, 180, 172), (1, 102, 94))
+
+# display ramps per layer, evenly spaced stops from low to high
+RAMPS = {
+    "ndvi": ((116, 75, 42), (238, 226, 143), (35, 132, 67), (0, 68, 27)),
+    "ndwi": ((121, 85, 72), (232, 226, 206), (93, 173, 226), (21, 67, 96)),
+    "ndbi": ((35, 132, 67), (244, 241, 222), (214, 96, 77), (123, 50, 64)),
+    "vv": ((38, 50, 56), (84, 110, 122), (176, 190, 197), (255, 255, 255)),
+    "vh": ((28, 35, 42), (74, 85, 104), (129, 140, 248), (224, 231, 255)),
+    "ratio": ((49, 54, 149), (69, 117, 180), (254, 224, 144), (165, 0, 38)),
+    "d_ndvi": ((118, 42, 131), (247, 247, 247), (27, 120, 55)),
+    "change_confidence": ((240, 240, 240), (253, 174, 97), (215, 48, 39), (103, 0, 31)),
+    "entropy": ((247, 247, 247), (254, 224, 144), (253, 174, 97), (165, 0, 38)),
+    "consensus": ((26, 150, 65), (255, 255, 191), (253, 174, 97), (215, 25, 28)),
+}
+OPACITY = 0.72
 
 FROZEN_YEAR = 2026
 

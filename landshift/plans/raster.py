@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landshift.config import GRID, INDEX_RAMP
+from landshift.config import CLASS_COLORS, GRID, OPACITY, RAMPS
 from landshift.functions import geo, labels as lb
 from landshift.operators import classify, patches as pt, raster as rs, terrain as tr, votes
 from landshift.operators.overlay import INDICES
 from landshift.plans.labels import SOURCES, vector_shapes
 from landshift.plans.patches import weights
 from landshift.plans.registry import query, view
-from landshift.plans.terrain import extent
+from landshift.plans.terrain import aoi_ring, extent
 from landshift.sources import observations as obs
 
 WK = [f"((sum_supp * {k} + sum_ord + wrow + 2 * wcol) % 11 + 1)" for k in range(1, 6)]
@@ -163,21 +163,44 @@ def false_color(spark, d):
     return out.select("scene", "y", "x", "r", "g", "b")
 
 
+RAMP, ALPHA = RAMPS["ndvi"], round(255 * OPACITY)
+
+
 def ramp_sql(ch):
-    s = [c[ch] for c in INDEX_RAMP]
+    s = [c[ch] for c in RAMP]
     return f"CAST(floor(CASE CAST(least(floor(v * 3), 2) AS INTEGER) " + " ".join(
         f"WHEN {i} THEN {s[i]}e0 + ({s[i + 1]} - {s[i]}) * (v * 3 - {i})" for i in range(3)) + " END) AS INTEGER)"
 
 
 @query("index_palette", f"""
-SELECT scene, y, x, {ramp_sql(0)} AS r, {ramp_sql(1)} AS g, {ramp_sql(2)} AS b, CASE WHEN v IS NULL THEN 0 ELSE 219 END AS alpha
-FROM (SELECT scene, y, x, least(greatest((ndvi + 0.2e0) / 1.0e0, 0e0), 1e0) AS v FROM feat WHERE ndvi IS NOT NULL)""")
+SELECT scene, y, x, {ramp_sql(0)} AS r, {ramp_sql(1)} AS g, {ramp_sql(2)} AS b, CASE WHEN v IS NULL THEN 0 ELSE {ALPHA} END AS alpha
+FROM (SELECT scene, y, x, least(greatest((ndvi - lo) / (hi - lo), 0e0), 1e0) AS v FROM feat CROSS JOIN
+      (SELECT quantile_cont(ndvi, 0.02) AS lo, quantile_cont(ndvi, 0.98) AS hi FROM feat) WHERE ndvi IS NOT NULL)""")
 def index_palette(spark, d):
-    v = geo.stretch01(F.col("ndvi"), F.lit(-0.2), F.lit(0.8))
-    f = obs.features(spark, d).where("ndvi IS NOT NULL").select("scene", "y", "x", v.alias("v"))
-    return f.select("scene", "y", "x", *[
-        geo.ramp_channel(F.col("v"), tuple(c[i] for c in INDEX_RAMP)).alias(n) for i, n in enumerate("rgb")],
-        F.when(F.col("v").isNull(), 0).otherwise(round(255 * 0.86)).alias("alpha"))
+    """Vegetation index stretched to its 2-98 percent range and coloured by its ramp."""
+    f = obs.features(spark, d).where("ndvi IS NOT NULL")
+    lim = tr.stretch_limits(f, "ndvi").select(F.struct("low", "high")).scalar()
+    v = f.select("scene", "y", "x", "ndvi").withColumn("_l", lim).withColumn(
+        "v", geo.stretch01(F.col("ndvi"), F.col("_l.low"), F.col("_l.high")))
+    return v.select("scene", "y", "x", *[
+        geo.ramp_channel(F.col("v"), tuple(c[i] for c in RAMP)).alias(n) for i, n in enumerate("rgb")],
+        F.when(F.col("v").isNull(), 0).otherwise(ALPHA).alias("alpha"))
+
+
+def color_sql(i):
+    return "CASE model_class " + " ".join(f"WHEN {k} THEN {c[i]}" for k, c in CLASS_COLORS.items()) + " ELSE 0 END"
+
+
+@query("class_palette", f"""
+SELECT m.scene, m.y, m.x, {color_sql(0)} AS r, {color_sql(1)} AS g, {color_sql(2)} AS b, CASE WHEN model_class = 0 OR NOT in_aoi THEN 0 ELSE {ALPHA} END AS alpha
+FROM model_out m JOIN aoi_px a ON m.scene = a.scene AND m.y = a.y AND m.x = a.x""")
+def class_palette(spark, d):
+    """Class colours; nodata and pixels outside the area of interest are transparent."""
+    px = tr.inside_ring(obs.model_output(spark, d).select("scene", "y", "x", "model_class"), aoi_ring(spark, d))
+    tables = [lb.int_map({k: c[i] for k, c in CLASS_COLORS.items()}) for i in range(3)]
+    return px.select("scene", "y", "x", *[
+        F.coalesce(F.try_element_at(t, F.col("model_class")), F.lit(0)).alias(n) for t, n in zip(tables, "rgb", strict=True)],
+        F.when((F.col("model_class") == 0) | ~F.col("in_aoi"), 0).otherwise(ALPHA).alias("alpha"))
 
 
 @query("pixel_positions", """
