@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from landshift.functions import model as md
 from landshift.operators.ranking import capped_strata, hash_order
@@ -47,11 +47,12 @@ def expert_sample(pixels: DataFrame, key: str, total: int, seed: int) -> DataFra
     """Expert design: reliable, review and minority strata with fixed shares, reproducible order."""
     # fixed values: shares of the three strata
     shares = {"reliable_prediction": 0.35, "review_zone": 0.35, "minority_classes": 0.30}
-    parts = [
-        pixels.where(F.col("stratum") == name).orderBy(hash_order(F.col(key), seed), key).limit(int(total * share + 1e-9))
-        for name, share in shares.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    quotas = {name: int(total * share + 1e-9) for name, share in shares.items()}
+    w = Window.partitionBy("stratum").orderBy(hash_order(F.col(key), seed), key)
+    ranked = pixels.where(F.col("stratum").isin(*quotas)).withColumn("_rn", F.row_number().over(w))
+    # the literal limit lets every task keep only its own first rows before the exchange
+    kept = ranked.where(F.col("_rn") <= max(quotas.values()))
+    limit = F.lit(0)
+    for name, n in quotas.items():
+        limit = F.when(F.col("stratum") == name, n).otherwise(limit)
+    return kept.where(F.col("_rn") <= limit).drop("_rn")
