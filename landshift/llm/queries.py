@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from landshift.llm.bpe import encode_decode
 from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.simhash import simhash_components
 
@@ -39,3 +41,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_near_dedup")
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op4_bpe_encode_decode")
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", "n_tokens", F.lower(F.sha2("ids", 256)).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
