@@ -11,6 +11,7 @@ from landshift.llm.bpe import encode_decode
 from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.language_id import identify_languages
 from landshift.llm.simhash import simhash_components
+from landshift.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,8 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
