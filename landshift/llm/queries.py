@@ -11,6 +11,7 @@ from landshift.llm.bpe import encode_decode
 from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.language_id import identify_languages
 from landshift.llm.simhash import simhash_components
+from landshift.llm.topk import quantised, top_k
 from landshift.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_top_k_search", """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
