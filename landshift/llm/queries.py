@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from landshift.llm.bpe import encode_decode
 from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.language_id import identify_languages
+from landshift.llm.mixing import mix
 from landshift.llm.simhash import simhash_components
 from landshift.llm.topk import quantised, top_k
 from landshift.llm.toxicity import score_toxicity
@@ -77,3 +78,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """)
 def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_mixing")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
