@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from landshift.llm.transducer import Transducer, compile_words
 
 LEXICON_WORDS = 60_000  # most frequent words compiled; bounds the broadcast to a few MB
-CACHED_WORDS = 150_000  # words a worker remembers before it starts afresh
+CACHED_WORDS = 400_000  # words a worker remembers before it starts afresh
 CHUNK = 256  # documents a worker returns at once
 
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -51,7 +51,8 @@ class Vocabulary:
         self.key = uuid.uuid4().hex
         self.inner = [ids[s] for s in symbols]
         self.last = [ids[s + end] for s in symbols]
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
+        self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(spec["model"]["merges"])}
+        self.made = [ids[a + b] for a, b in spec["model"]["merges"]]  # by rank
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in {**ids, **self.special}.items()}
 
@@ -72,37 +73,37 @@ class Vocabulary:
         """Ids of one word as little-endian unsigned 32-bit integers: the lowest rank first, the leftmost of equals."""
         ids = [self.inner[b] for b in word[:-1]]
         ids.append(self.last[word[-1]])
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at:at + 2] = [best[1]]
+        rank, none = self.ranks.get, len(self.made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (lowest := min(ranks)) < none:
+            i = ranks.index(lowest)
+            ids[i] = self.made[lowest]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
         return array("I", ids).tobytes()
 
     def merge_long(self, word: bytes) -> bytes:
         """As `merge`, in time n log n, for words of any length."""
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
         after, before, n = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), len(ids)
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := self.merges.get((ids[i], ids[j]))) is not None:
-                heapq.heappush(heap, (found[0], i, found[1], ids[i], ids[j]))
+            if j < n and (rank := self.ranks.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i

@@ -12,6 +12,7 @@ from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.language_id import identify_languages
 from landshift.llm.mixing import mix
 from landshift.llm.simhash import simhash_components
+from landshift.llm.suffix_dedup import remove_repeats
 from landshift.llm.topk import quantised, top_k
 from landshift.llm.toxicity import score_toxicity
 
@@ -83,3 +84,11 @@ def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

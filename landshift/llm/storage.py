@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from landshift.session import ensure_checkpoint_dir
 
@@ -37,9 +37,12 @@ def _forget(spark: SparkSession, app: str) -> None:
 
 def store(df: DataFrame) -> DataFrame:
     """`df` written once as a Parquet table and read back; `discard` drops it."""
-    spark = df.sparkSession
+    return _saved(df.sparkSession, df.write)
+
+
+def _saved(spark: SparkSession, writer: DataFrameWriter) -> DataFrame:
     name = f"{_database(spark)}.t_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").saveAsTable(name)
+    writer.format("parquet").option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     out.stored_as = name
     return out
@@ -49,3 +52,10 @@ def discard(*stored: DataFrame) -> None:
     """Drop tables made by `store` that no later step reads."""
     for df in stored:
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as} PURGE")
+
+
+def store_by_key(df: DataFrame, key: str) -> DataFrame:
+    """As `store`, but bucketed and sorted by `key`, so that later joins on it move only the other side."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _saved(spark, df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key))
