@@ -12,6 +12,7 @@ from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.language_id import identify_languages
 from landshift.llm.mixing import mix
 from landshift.llm.simhash import simhash_components
+from landshift.llm.substring_dedup import remove_seen_windows
 from landshift.llm.suffix_dedup import remove_repeats
 from landshift.llm.topk import quantised, top_k
 from landshift.llm.toxicity import score_toxicity
@@ -92,3 +93,27 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op8_substring_dedup", r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS name FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)
+), firsts AS (
+  SELECT name, min(doc_id) AS first FROM windows GROUP BY name
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (name) WHERE doc_id > first
+), kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.i) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) a
+  ANTI JOIN gone USING (doc_id, i) GROUP BY a.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+""")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return remove_seen_windows(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
