@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from landshift.llm.bpe import encode_decode
 from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.language_id import identify_languages
+from landshift.llm.licenses import scan_licenses
 from landshift.llm.mixing import mix
 from landshift.llm.simhash import simhash_components
 from landshift.llm.substring_dedup import remove_seen_windows
@@ -117,3 +118,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_seen_windows(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.size("licenses").alias("n_licenses"), F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"),
+        F.array_join("licenses.template", ",").alias("templates"), F.to_json("licenses").alias("licenses"),
+    )
