@@ -31,9 +31,11 @@ def struct_of(one_row: DataFrame) -> Column:
 
 def publish_gate(coregistration: DataFrame, consensus: DataFrame, reliability: DataFrame, g: PublishGate = GATE) -> DataFrame:
     """publish, review or hold from registration, temporal and reliability evidence."""
-    base = consensus.withColumns({"c": struct_of(coregistration), "r": struct_of(reliability)})
+    one = consensus.sparkSession.range(1)
+    base = one.select(struct_of(coregistration).alias("c"), struct_of(reliability).alias("r"), struct_of(consensus).alias("t"))
+    base = base.select("c", "r", F.col("t").isNull().alias("absent"), "t.mean_consensus", "t.unstable_fraction")
     temporal = (
-        F.when(F.col("mean_consensus").isNull() | F.col("unstable_fraction").isNull(), "incomplete")
+        F.when(F.col("absent"), "missing").when(F.col("mean_consensus").isNull() | F.col("unstable_fraction").isNull(), "incomplete")
         .when((F.col("mean_consensus") < g.min_consensus) | (F.col("unstable_fraction") > g.max_instability), "warning")
         .otherwise("passed")
     )

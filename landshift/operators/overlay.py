@@ -78,12 +78,11 @@ def compare_scenes(features: DataFrame, pairs: DataFrame, keep: Sequence[str] =
         "scene", "y", "x", *keep,
         F.lag(F.struct("scene", *keep)).over(w).alias("_b"),
     ).where(F.col("_b").isNotNull())
-    out = prior.join(
-        pairs,
-        (F.col("scene") == F.col("after_scene")) & (F.col("_b.scene") == F.col("before_scene")),
-    )
+    # one entry per date, carried as a scalar, so that no pixel moves for it
+    before = pairs.agg(F.map_from_entries(F.collect_list(F.struct("after_scene", "before_scene")))).scalar()
+    out = prior.withColumn("_pairs", before).where(F.try_element_at("_pairs", F.col("scene")) == F.col("_b.scene"))
     return out.select(
-        "before_scene", "after_scene", "y", "x",
+        F.col("_b.scene").alias("before_scene"), F.col("scene").alias("after_scene"), "y", "x",
         *[F.col(f"_b.{k}").alias(f"b_{k}") for k in keep],
         *[F.col(k).alias(f"a_{k}") for k in keep],
         *[(F.col(k) - F.col(f"_b.{k}")).alias(f"d_{k}") for k in keep],

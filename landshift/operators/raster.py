@@ -121,13 +121,17 @@ def tile_keys(pixels: DataFrame, mx: Column, my: Column, zooms: tuple[int, ...])
     return out.withColumns({"px": px, "py": py}).drop("_mx", "_my")
 
 
-def continuous_tiles(keyed: DataFrame, value: str) -> DataFrame:
+TILE_PIXEL = ("z", "tx", "ty", "px", "py")
+
+
+def continuous_tiles(keyed: DataFrame, value: str, layer: tuple[str, ...] = ()) -> DataFrame:
+    """Mean per tile pixel; `layer` names what has a pyramid of its own, such as each date."""
     n = F.count(value)
-    return keyed.where(F.col(value).isNotNull()).groupBy("z", "tx", "ty", "px", "py").agg(
+    return keyed.where(F.col(value).isNotNull()).groupBy(*layer, *TILE_PIXEL).agg(
         F.round(F.sum(F.round(F.col(value) * 1e6).cast("bigint")) / (n * 1e6), 12).alias("value"))
 
 
-def categorical_tiles(keyed: DataFrame, value: str) -> DataFrame:
+def categorical_tiles(keyed: DataFrame, value: str, layer: tuple[str, ...] = ()) -> DataFrame:
     """Most frequent class per tile pixel, lowest on ties; 0 stays transparent."""
-    c = keyed.where(F.col(value) > 0).groupBy("z", "tx", "ty", "px", "py", value).agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("z", "tx", "ty", "px", "py").agg((-F.max(F.struct("n", (-F.col(value)).alias("neg")))["neg"]).alias("value"))
+    c = keyed.where(F.col(value) > 0).groupBy(*layer, *TILE_PIXEL, value).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy(*layer, *TILE_PIXEL).agg((-F.max(F.struct("n", (-F.col(value)).alias("neg")))["neg"]).alias("value"))

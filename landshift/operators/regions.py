@@ -10,7 +10,7 @@ from landshift.functions import change as ch
 from landshift.operators.overlay import INDICES
 from landshift.session import cut_lineage
 
-ROW_STRIDE = 1 << 21  # wider than any raster row, so y * stride + x names a pixel
+ROW_STRIDE = 1 << 21  # y * stride + x names a pixel; a wider raster row is an error
 SALTS = 8
 
 
@@ -20,7 +20,8 @@ def with_runs(pixels: DataFrame, layer: str, value: str) -> DataFrame:
     start = F.coalesce(F.lag("x").over(w) != F.col("x") - 1, F.lit(True))
     marked = pixels.withColumn("_start", F.when(start, F.col("x")))
     x0 = F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("node", F.col("y") * ROW_STRIDE + x0).drop("_start")
+    fits = F.assert_true(F.col("x").between(0, ROW_STRIDE - 1), F.lit(f"raster rows must be narrower than {ROW_STRIDE}"))
+    return marked.withColumn("node", F.coalesce(fits.cast("bigint"), F.col("y") * ROW_STRIDE + x0)).drop("_start")
 
 
 def run_edges(runs: DataFrame, layer: str, value: str) -> DataFrame:

@@ -43,11 +43,20 @@ def review_samples(layer: DataFrame, max_samples: int, max_per_stratum: int) ->
     return capped_strata(scored, ["priority", "class_id", "year"], order, max_per_stratum, max_samples)
 
 
+def largest_remainders(total: int, shares: dict[str, float]) -> dict[str, int]:
+    """Whole quotas that add up to `total`; what rounding down leaves goes to the largest remainders, earlier names first."""
+    quotas = {name: int(total * share + 1e-9) for name, share in shares.items()}
+    by_rest = sorted(shares, key=lambda name: quotas[name] - total * shares[name])
+    for name in by_rest[:total - sum(quotas.values())]:
+        quotas[name] += 1
+    return quotas
+
+
 def expert_sample(pixels: DataFrame, key: str, total: int, seed: int) -> DataFrame:
     """Expert design: reliable, review and minority strata with fixed shares, reproducible order."""
     # fixed values: shares of the three strata
     shares = {"reliable_prediction": 0.35, "review_zone": 0.35, "minority_classes": 0.30}
-    quotas = {name: int(total * share + 1e-9) for name, share in shares.items()}
+    quotas = largest_remainders(total, shares)
     w = Window.partitionBy("stratum").orderBy(hash_order(F.col(key), seed), key)
     ranked = pixels.where(F.col("stratum").isin(*quotas)).withColumn("_rn", F.row_number().over(w))
     # the literal limit lets every task keep only its own first rows before the exchange

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landshift.config import SceneSearch
 
+FOOTPRINT = 10.0  # side of a footprint in box units
 MISSING_CLOUD = 100.0  # fixed value: cloud cover assumed when the item has none
 
 ITEM_SCHEMA = (
@@ -30,12 +31,13 @@ def flatten_items(raw: DataFrame, column: str = "item") -> DataFrame:
     )
 
 
-def search(scenes: DataFrame, collection: str, box: tuple[float, float], start: str, end: str,
+def search(scenes: DataFrame, collection: str, box: tuple[float, float, float, float], start: str, end: str,
            max_cloud: float | None = None) -> DataFrame:
-    """Footprints touching the box, dates inclusive, cloud strictly below the limit."""
+    """Footprints touching the box (x and y from, x and y to), dates inclusive, cloud strictly below the limit."""
     out = scenes.where(
         (F.col("collection") == collection)
-        & (F.col("x0") <= box[1]) & (F.col("x0") + 10 >= box[0])
+        & (F.col("x0") <= box[2]) & (F.col("x0") + FOOTPRINT >= box[0])
+        & (F.col("y0") <= box[3]) & (F.col("y0") + FOOTPRINT >= box[1])
         & F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     )
     return out if max_cloud is None else out.where(F.col("cloud_cover") < max_cloud)
@@ -193,19 +195,27 @@ def missing_ids(requested: DataFrame, scenes: DataFrame) -> DataFrame:
     return requested.join(scenes.select("id"), "id", "left_anti")
 
 
+def require_all(requested: DataFrame, scenes: DataFrame, shown: int = 20) -> DataFrame:
+    """Found scenes in the order asked for; an error names the first missing ids, in that order."""
+    absent = [r.id for r in missing_ids(requested, scenes).orderBy("position").limit(shown + 1).collect()]
+    if absent:
+        raise LookupError(f"scenes not in the catalogue: {', '.join(map(str, absent[:shown]))}{', ...' if len(absent) > shown else ''}")
+    return ordered_lookup(requested, scenes).orderBy("position")
+
+
 def selected_scenes(requested: DataFrame, scenes: DataFrame) -> DataFrame:
     return scenes.join(requested.select("id"), "id", "left_semi")
 
 
 def pair_readiness(pair_scenes: DataFrame, catalogue: DataFrame, required_assets: Sequence[str]) -> DataFrame:
-    """(pair, id) rows against the catalogue: missing scenes and missing assets per pair."""
+    """(pair, id, optical) rows against the catalogue: missing scenes, and missing assets of the optical ones, per pair."""
     need = F.array(*[F.lit(a) for a in required_assets])
     joined = pair_scenes.join(catalogue.select("id", "assets", F.lit(True).alias("_hit")), "id", "left")
     per = joined.groupBy("pair").agg(
         F.count(F.lit(1)).alias("scene_count"),
         F.sort_array(F.collect_list(F.when(F.col("_hit").isNull(), F.col("id")))).alias("missing_scenes"),
         F.sort_array(F.flatten(F.collect_list(F.when(
-            F.col("_hit"),
+            F.col("_hit") & F.col("optical"),
             F.transform(F.array_except(need, F.map_keys("assets")), lambda a: F.concat_ws(":", F.col("id").cast("string"), a)),
         )))).alias("missing_assets"),
     )

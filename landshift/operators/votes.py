@@ -11,7 +11,7 @@ from landshift.functions import labels as lb, model as md
 
 HARMONIZED = range(1, 7)
 MODEL = range(1, 6)
-LABEL_SPAN = 1 << 16  # labels are class codes below this
+LABEL_SPAN = 1 << 16  # labels are class codes below this; a larger one is an error
 
 
 def majority_vote(df: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -72,9 +72,16 @@ def consensus_summary(consensus: DataFrame, t: ReviewThresholds = REVIEW) -> Dat
 
 
 def modal_label(images: DataFrame, start: str, end: str) -> DataFrame:
-    """Most frequent label per pixel over [start, end); lowest label on ties."""
+    """Most frequent label per pixel over [start, end); lowest label on ties.
+
+    Labels outside 0..LABEL_SPAN - 1 and an empty window are errors.
+    """
     windowed = images.where((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
-    counts = windowed.groupBy("y", "x", "label").agg(F.count(F.lit(1)).alias("n"))
+    if windowed.isEmpty():
+        raise ValueError(f"no image from {start} to before {end}")
+    coded = F.col("label").between(0, LABEL_SPAN - 1)
+    label = F.when(coded, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("label out of range: "), F.col("label").cast("string"))).cast("int"))
+    counts = windowed.withColumn("label", label).groupBy("y", "x", "label").agg(F.count(F.lit(1)).alias("n"))
     # count and label share one number, so the winner is a plain hash aggregate
     best = F.max(F.col("n") * LABEL_SPAN + (LABEL_SPAN - 1 - F.col("label")))
     return counts.groupBy("y", "x").agg(best.alias("b"), F.sum("n").alias("image_count")).select(

@@ -90,7 +90,7 @@ def _m(c, side):
     return f"(sum(CASE WHEN {side} THEN CAST(round({c} * 1e6) AS BIGINT) END) / (count(*) FILTER ({side}) * 1e6))"
 
 
-V, Z = "scene < 6", "scene = 6"
+V, Z = "scene < latest", "scene = latest"
 view("drivers", f"""
 SELECT round({_m('mean_confidence', V)} - {_m('mean_confidence', Z)}, 5) AS confidence_gap, round({_m('mean_entropy', Z)} - {_m('mean_entropy', V)}, 5) AS entropy_gap,
   round({_m('review_fraction', Z)} - {_m('review_fraction', V)}, 5) AS review_gap, round({_m('compatible_fraction', V)} - {_m('compatible_fraction', Z)}, 5) AS compatibility_gap,
@@ -100,14 +100,16 @@ SELECT round({_m('mean_confidence', V)} - {_m('mean_confidence', Z)}, 5) AS conf
   (SELECT round(mean_consensus, 5) FROM cons_sum) AS mean_consensus, (SELECT round(unstable_fraction, 5) FROM cons_sum) AS unstable_fraction,
   (SELECT round(round(avg(round(abs(midpoint - support_rate), 6)), 5), 5) FROM calibration) AS calibration_gap,
   (SELECT round(quantile_cont(round(slope, 6), 0.95), 4) FROM deriv_h) AS slope_p95,
-  (SELECT round(sum(pixels) FILTER (class_id IN (3, 4, 5)) / CAST(sum(pixels) AS DOUBLE), 5) FROM class_totals) AS rare_class_fraction FROM reliability""")
+  (SELECT round(sum(class_3 + class_4 + class_5) / CAST(sum(class_1 + class_2 + class_3 + class_4 + class_5) AS DOUBLE), 5) FROM patch_seq) AS rare_class_fraction
+FROM reliability CROSS JOIN (SELECT max(scene) AS latest FROM reliability)""")
 
 
 def drivers(spark, d):
     ev = stored_evidence(spark, d)
+    latest = ev.agg(F.max("scene")).scalar()
     return au.uncertainty_drivers(
-        votes.reliability_records(ev), F.col("scene") == 6, consensus_report(ev), votes.calibration_gap(votes.calibration_bins(ev)),
-        pter.terrain_summary(spark, d), pp.class_totals(spark, d), (3, 4, 5))
+        votes.reliability_records(ev).withColumn("_latest", latest), F.col("scene") == F.col("_latest"), consensus_report(ev), votes.calibration_gap(votes.calibration_bins(ev)),
+        pter.terrain_summary(spark, d), pp.input_class_totals(spark, d), (3, 4, 5))
 
 
 @query("uncertainty_drivers", "SELECT * FROM drivers")

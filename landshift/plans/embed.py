@@ -259,7 +259,7 @@ def clustering_experiments(spark, d):
 WITH k AS (SELECT scene || '_' || y || '_' || x AS px_id, CASE WHEN agreement > 0 AND source_count >= 2 AND NOT disagreement AND confidence >= 0.6e0 AND entropy < 0.65e0 THEN 'reliable_prediction'
   WHEN model_class IN (3, 4, 5) AND entropy < 0.65e0 THEN 'minority_classes' WHEN disagreement OR entropy >= 0.65e0 OR confidence < 0.6e0 THEN 'review_zone' END AS stratum FROM evidence)
 SELECT px_id, stratum FROM k WHERE stratum IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5(px_id || '-150'), px_id) <= CASE stratum WHEN 'minority_classes' THEN 45 ELSE 52 END""")
+QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5(px_id || '-150'), px_id) <= CASE stratum WHEN 'minority_classes' THEN 45 WHEN 'reliable_prediction' THEN 53 ELSE 52 END""")
 def expert_sample(spark, d):
     z = votes.with_zones(evidence(spark, d))
     s = F.when(F.col("agreement_zone") & (F.col("confidence") >= 0.6) & (F.col("entropy") < 0.65), "reliable_prediction").when(

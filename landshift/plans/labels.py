@@ -294,17 +294,18 @@ def high_confidence_pixels(spark, d):
 
 
 @query("first_valid_mosaic", """
-SELECT y, x, arg_min(price, seq) AS price, min(seq) AS seq FROM (
-  SELECT l_partkey // 8 AS y, CAST((l_partkey % 8) * 7 + l_linenumber - 1 AS INTEGER) AS x, l_suppkey * 1000000000 + l_orderkey AS seq,
-         CASE WHEN l_discount > 0.03 THEN l_extendedprice END AS price FROM lineitem) WHERE price IS NOT NULL GROUP BY y, x""")
+SELECT y, x, price, suppkey, orderkey FROM (
+  SELECT l_partkey // 8 AS y, CAST((l_partkey % 8) * 7 + l_linenumber - 1 AS INTEGER) AS x, l_suppkey AS suppkey, l_orderkey AS orderkey,
+         CASE WHEN l_discount > 0.03 THEN l_extendedprice END AS price FROM lineitem) WHERE price IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY suppkey, orderkey) = 1""")
 def first_valid_mosaic(spark, d):
     """Line items as overlapping tiles of sources in supplier order; low discounts are nodata."""
     t = obs.table(spark, d, "lineitem").select(
         F.expr("l_partkey div 8").alias("y"),
         ((F.col("l_partkey") % 8) * 7 + F.col("l_linenumber") - 1).cast("int").alias("x"),
-        (F.col("l_suppkey") * 1000000000 + F.col("l_orderkey")).alias("seq"),
+        F.struct(F.col("l_suppkey").alias("suppkey"), F.col("l_orderkey").alias("orderkey")).alias("seq"),
         F.when(F.col("l_discount") > 0.03, F.col("l_extendedprice")).alias("price"))
-    return votes.first_valid_mosaic(t, "price", "seq")
+    return votes.first_valid_mosaic(t, "price", "seq").select("y", "x", "price", "seq.*")
 
 
 @query("latest_per_split", """

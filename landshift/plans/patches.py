@@ -139,6 +139,11 @@ def class_totals(spark, d):
     return pt.class_totals(balanced(spark, d).where("split = 'train'"))
 
 
+def input_class_totals(spark, d):
+    """Labelled pixels per class of all patches, before any balancing."""
+    return pt.class_totals(sequenced(spark, d))
+
+
 @query("class_weights", "SELECT class_id, pixels, weight FROM class_weights")
 def class_weights(spark, d):
     return weights(spark, d)

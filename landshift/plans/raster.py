@@ -113,13 +113,12 @@ def rasterized_features(spark, d):
 
 
 @query("element_centroids", """
-SELECT o_orderkey AS id, o_orderkey % 53 + (o_custkey % 3 + 1) / 2e0 AS cx, o_orderkey // 53 + CASE o_orderkey % 5 WHEN 0 THEN 0.25e0 ELSE 0.75e0 END AS cy
-FROM orders WHERE o_orderkey % 5 IN (0, 3, 4)""")
+SELECT o_orderkey AS id, o_orderkey % 53 + CASE o_orderkey % 5 WHEN 1 THEN 0e0 ELSE (o_custkey % 3 + 1) / 2e0 END AS cx,
+  o_orderkey // 53 + CASE o_orderkey % 5 WHEN 0 THEN 0.25e0 WHEN 1 THEN 0e0 WHEN 2 THEN 0e0 ELSE 0.75e0 END AS cy FROM orders""")
 def element_centroids(spark, d):
     e = vector_shapes(spark, d)
     cx, cy = geo.ring_bbox_center(F.col("points"))
-    long_enough = F.size("points").isin(2, 5)
-    return e.where(long_enough).select("id", F.round(cx, 9).alias("cx"), F.round(cy, 9).alias("cy"))
+    return e.select("id", F.round(cx, 9).alias("cx"), F.round(cy, 9).alias("cy"))
 
 
 MX, MY = 3336000.0, -206000.0
@@ -133,16 +132,16 @@ def keyed(df):
 
 
 @query("index_tiles", f"""
-SELECT z, tx, ty, px, py, round(sum(CAST(round(v * 1e6) AS BIGINT)) / (count(v) * 1e6), 12) AS value FROM ({TILE_SQL.format(v='ndvi', t='feat')}) WHERE v IS NOT NULL GROUP BY ALL""")
+SELECT scene, z, tx, ty, px, py, round(sum(CAST(round(v * 1e6) AS BIGINT)) / (count(v) * 1e6), 12) AS value FROM ({TILE_SQL.format(v='ndvi', t='feat')}) WHERE v IS NOT NULL GROUP BY ALL""")
 def index_tiles(spark, d):
-    return rs.continuous_tiles(keyed(obs.features(spark, d).select("y", "x", "ndvi")), "ndvi")
+    return rs.continuous_tiles(keyed(obs.features(spark, d).select("scene", "y", "x", "ndvi")), "ndvi", ("scene",))
 
 
 @query("class_tiles", f"""
-SELECT z, tx, ty, px, py, CAST(arg_max(v, n * 10 - v) AS INTEGER) AS value FROM (
-  SELECT z, tx, ty, px, py, v, count(*) AS n FROM ({TILE_SQL.format(v='model_class', t='model_out')}) GROUP BY ALL) GROUP BY ALL""")
+SELECT scene, z, tx, ty, px, py, CAST(arg_max(v, n * 10 - v) AS INTEGER) AS value FROM (
+  SELECT scene, z, tx, ty, px, py, v, count(*) AS n FROM ({TILE_SQL.format(v='model_class', t='model_out')}) GROUP BY ALL) GROUP BY ALL""")
 def class_tiles(spark, d):
-    return rs.categorical_tiles(keyed(obs.model_output(spark, d).select("y", "x", "model_class")), "model_class")
+    return rs.categorical_tiles(keyed(obs.model_output(spark, d).select("scene", "y", "x", "model_class")), "model_class", ("scene",))
 
 
 view("nlim", "SELECT " + ", ".join(f"quantile_cont({b}, 0.02) AS {b}_lo, quantile_cont({b}, 0.98) AS {b}_hi" for b in ("nir", "red", "green")) + " FROM px")

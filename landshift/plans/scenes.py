@@ -66,10 +66,10 @@ UNION ALL SELECT *, 'fallback', 60e0 FROM pairs_loose WHERE period NOT IN (SELEC
 
 
 @query("scene_search", """
-SELECT id, tile, cloud_cover FROM scene_rows WHERE collection = 'optical' AND x0 <= 80 AND x0 + 10 >= 20
+SELECT id, tile, cloud_cover FROM scene_rows WHERE collection = 'optical' AND x0 <= 80 AND x0 + 10 >= 20 AND y0 <= 70 AND y0 + 10 >= 15
   AND day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND cloud_cover < 30""")
 def scene_search(spark, d):
-    return sc.search(obs.scenes(spark, d), "optical", (20, 80), "2024-01-05", "2024-01-20", 30.0).select(
+    return sc.search(obs.scenes(spark, d), "optical", (20, 15, 80, 70), "2024-01-05", "2024-01-20", 30.0).select(
         "id", "tile", "cloud_cover")
 
 
@@ -162,11 +162,11 @@ def period_status(spark, d):
     return sc.period_status(optical(spark, d), pairs(spark, d), SEARCH, REQUIRED, OPTIONAL)
 
 
-view("requested", "SELECT doc_id AS position, doc_id * 3 AS id FROM documents")
+view("requested", "SELECT doc_id AS position, doc_id * 11 AS id FROM documents")
 
 
 def requested(spark, d):
-    return obs.table(spark, d, "documents").select(F.col("doc_id").alias("position"), (F.col("doc_id") * 3).alias("id"))
+    return obs.table(spark, d, "documents").select(F.col("doc_id").alias("position"), (F.col("doc_id") * 11).alias("id"))
 
 
 @query("ordered_scene_lookup", """
@@ -186,21 +186,21 @@ def selected_scenes(spark, d):
 
 
 view("pair_scenes", """
-SELECT t.day, t.id FROM tile_best t JOIN (SELECT day FROM groups_all WHERE tiles = 2) g ON t.day = g.day
-UNION ALL SELECT day, radar_id FROM radar_match WHERE day IN (SELECT day FROM groups_all WHERE tiles = 2)""")
+SELECT t.day, t.id, true AS optical FROM tile_best t JOIN (SELECT day FROM groups_all WHERE tiles = 2) g ON t.day = g.day
+UNION ALL SELECT day, radar_id, false FROM radar_match WHERE day IN (SELECT day FROM groups_all WHERE tiles = 2)""")
 view("readiness", """
 SELECT p.day AS day, count(*) AS scene_count,
   coalesce(string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) FILTER (c.id IS NULL), '') AS missing_scenes,
-  coalesce(string_agg(p.id || ':nir', ',' ORDER BY p.id || ':nir') FILTER (c.id IS NOT NULL AND NOT c.has_nir), '') AS missing_assets,
-  count(*) FILTER (c.id IS NULL) = 0 AND count(*) FILTER (c.id IS NOT NULL AND NOT c.has_nir) = 0 AS ready
-FROM pair_scenes p LEFT JOIN (SELECT * FROM scene_rows WHERE x0 < 130) c ON p.id = c.id GROUP BY p.day""")
+  coalesce(string_agg(p.id || ':nir', ',' ORDER BY p.id || ':nir') FILTER (c.id IS NOT NULL AND p.optical AND NOT c.has_nir), '') AS missing_assets,
+  count(*) FILTER (c.id IS NULL) = 0 AND count(*) FILTER (c.id IS NOT NULL AND p.optical AND NOT c.has_nir) = 0 AS ready
+FROM pair_scenes p LEFT JOIN scene_rows c ON p.id = c.id GROUP BY p.day""")
 
 
 def readiness(spark, d):
     g = sc.optical_groups(optical(spark, d), SEARCH.required_tiles).where("complete")
-    ids = g.select(F.col("day").alias("pair"), F.explode(F.transform("items", lambda i: i["id"])).alias("id"))
-    r = sc.nearest_radar(g, radar(spark, d), SEARCH, SEARCH.max_gap_hours).select(F.col("day").alias("pair"), F.col("radar_id").alias("id"))
-    return sc.pair_readiness(ids.unionByName(r), obs.scenes(spark, d).where(F.col("x0") < 130), ("red", "nir"))
+    ids = g.select(F.col("day").alias("pair"), F.explode(F.transform("items", lambda i: i["id"])).alias("id"), F.lit(True).alias("optical"))
+    r = sc.nearest_radar(g, radar(spark, d), SEARCH, SEARCH.max_gap_hours).select(F.col("day").alias("pair"), F.col("radar_id").alias("id"), F.lit(False).alias("optical"))
+    return sc.pair_readiness(ids.unionByName(r), obs.scenes(spark, d), ("red", "nir"))
 
 
 @query("pair_readiness", "SELECT CAST(day AS VARCHAR) AS day, scene_count, missing_scenes, missing_assets, ready FROM readiness")
@@ -250,10 +250,10 @@ def best_candidate(spark, d):
 @query("incomplete_dates", """
 SELECT CAST(day AS VARCHAR) AS day, CASE WHEN has0 THEN 'T1' ELSE 'T0' END AS missing_tiles FROM (
   SELECT day, bool_or(tile = 'T0') AS has0, bool_or(tile = 'T1') AS has1 FROM scene_rows
-  WHERE collection = 'optical' AND cloud_cover < 2 GROUP BY day)
+  WHERE collection = 'optical' AND cloud_cover < 12 GROUP BY day)
 WHERE NOT (has0 AND has1) ORDER BY day LIMIT 20""")
 def incomplete_dates(spark, d):
-    g = sc.optical_groups(optical(spark, d).where(F.col("cloud_cover") < 2), SEARCH.required_tiles)
+    g = sc.optical_groups(optical(spark, d).where(F.col("cloud_cover") < SEARCH.preferred_cloud), SEARCH.required_tiles)
     return g.where(~F.col("complete")).orderBy("day").limit(20).select(
         F.col("day").cast("string").alias("day"), F.array_join("missing_tiles", ",").alias("missing_tiles"))
 

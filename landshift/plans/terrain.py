@@ -125,7 +125,7 @@ def best_shift(spark, d):
 
 view("meta", """
 SELECT s_suppkey AS id, 'family_' || (s_nationkey % 7) AS family, s_suppkey % 11 = 5 AS bad_crs, s_suppkey % 13 = 6 AS bad_shape,
-  s_suppkey % 10 = 3 AS bad_off FROM supplier""")
+  s_suppkey % 10 IN (3, 7) AS bad_off, s_suppkey % 10 = 7 AS leaves FROM supplier""")
 
 
 @query("grid_mismatches", """
@@ -136,8 +136,8 @@ def grid_mismatches(spark, d):
 
 
 @query("alignment_report", """
-SELECT family, count(*) AS checked, count(*) FILTER (bad_crs OR bad_shape OR bad_off) AS mismatched, CAST(0 AS BIGINT) AS outside_grid,
-  CASE WHEN count(*) FILTER (bad_crs OR bad_shape OR bad_off) = 0 THEN 'ok' ELSE 'needs_attention' END AS status FROM meta GROUP BY family""")
+SELECT family, count(*) AS checked, count(*) FILTER (bad_crs OR bad_shape OR bad_off) AS mismatched, count(*) FILTER (leaves) AS outside_grid,
+  CASE WHEN count(*) FILTER (bad_crs OR bad_shape OR bad_off OR leaves) = 0 THEN 'ok' ELSE 'needs_attention' END AS status FROM meta GROUP BY family""")
 def alignment_report(spark, d):
     return tr.alignment_report(obs.raster_meta(spark, d))
 

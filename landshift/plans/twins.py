@@ -64,12 +64,12 @@ SELECT vec_id AS y, i - 1 AS x, round(CAST(embedding[i] AS DOUBLE) * 1000, 3) AS
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
 
 view("scene_rows", """
-SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'optical' ELSE 'radar' END AS collection,
+SELECT event_id AS id, CASE WHEN event_type IN ('view', 'signup') THEN 'optical' ELSE 'radar' END AS collection,
        ts AS acquired_at, CAST(ts AS DATE) AS day, weekofyear(ts) AS period, value AS cloud_cover,
        'T' || (user_id % 2) AS tile,
        CASE event_type WHEN 'click' THEN 'ascending' WHEN 'purchase' THEN 'descending' END AS orbit,
-       event_id % 5 <> 0 AS has_both, event_id % 7 <> 0 AS has_nir, user_id AS x0, props AS properties
-FROM events WHERE event_type IN ('view', 'click', 'purchase')""")
+       event_id % 5 <> 0 AS has_both, event_id % 7 <> 0 AS has_nir, user_id AS x0, event_id % 97 AS y0, props AS properties
+FROM events""")
 
 STATE = """CASE c_mktsegment WHEN 'BUILDING' THEN 'built_up' WHEN 'AUTOMOBILE' THEN 'bare_sparse'
     WHEN 'MACHINERY' THEN 'mixed' WHEN 'HOUSEHOLD' THEN 'vegetation' WHEN 'FURNITURE' THEN 'water_moisture' END"""

@@ -98,12 +98,12 @@ def terrain(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scene catalogue: optical views, ascending clicks, descending purchases."""
+    """Scene catalogue: optical views and sign-ups; radar clicks (ascending), purchases (descending) and errors (orbit unknown)."""
     ev = table(spark, sf_dir, "events")
     kind = F.col("event_type")
-    return ev.where(kind.isin("view", "click", "purchase")).select(
+    return ev.select(
         F.col("event_id").alias("id"),
-        F.when(kind == "view", "optical").otherwise("radar").alias("collection"),
+        F.when(kind.isin("view", "signup"), "optical").otherwise("radar").alias("collection"),
         F.col("ts").alias("acquired_at"),
         F.to_date("ts").alias("day"),
         F.weekofyear("ts").alias("period"),
@@ -116,6 +116,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.create_map(F.lit("red"), F.concat(F.lit("r/"), F.col("event_id")),
                                 F.lit("nir"), F.concat(F.lit("n/"), F.col("event_id")))).alias("assets"),
         F.col("user_id").alias("x0"),
+        (F.col("event_id") % 97).alias("y0"),
         F.col("props").alias("properties"),
     )
 
@@ -229,7 +230,7 @@ def raster_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    off = F.when(k % 10 == 3, 1.0).when(k % 10 == 4, 0.0001).otherwise(0.0)
+    off = F.when(k % 10 == 3, 1.0).when(k % 10 == 4, 0.0001).when(k % 10 == 7, 5.0).otherwise(0.0)
     return s.select(
         k.alias("id"),
         F.concat(F.lit("family_"), F.col("s_nationkey") % 7).alias("family"),

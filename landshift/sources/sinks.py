@@ -53,7 +53,16 @@ def publish_rows(scored: DataFrame, run_id: str) -> DataFrame:
 
 
 def publish(scored: DataFrame, path: str, run_id: str, replace: bool = True) -> None:
-    publish_rows(scored, run_id).write.mode("overwrite" if replace else "append").parquet(path)
+    """Rows in a folder per run. A run that is published again replaces its own folder; `replace` drops the other runs too."""
+    rows = publish_rows(scored, run_id).write.mode("overwrite").partitionBy("run_id")
+    rows.option("partitionOverwriteMode", "static" if replace else "dynamic").parquet(path)
+
+
+def run_row(scored: DataFrame, run_id: str, status: str = "published") -> DataFrame:
+    """Bookkeeping of one run: its status and how many rows it published and held back."""
+    ready = F.count(F.when(F.col("publish_ready"), 1))
+    return scored.agg(ready.alias("published_count"), (F.count(F.lit(1)) - ready).alias("held_count")).select(
+        F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), "published_count", "held_count")
 
 
 def upsert_scenes(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landshift.config import SceneSearch
-from landshift.operators import embed as em, overlay, patches as pt, quantiles, ranking, raster as rs, regions as rg, scenes as sc, terrain as tr, votes
+from landshift.operators import audit as au, embed as em, overlay, patches as pt, quantiles, ranking, raster as rs, regions as rg, review as rv, scenes as sc, terrain as tr, votes
 from landshift.sources.sinks import upsert_scenes
 
 
@@ -245,3 +245,40 @@ def test_resampling_at_scale_one_is_identity(spark):
     for fn in (rs.resample_nearest, rs.resample_bilinear):
         got = {(r.ty, r.tx): r.v for r in fn(df, "v", 1.0, F.lit(5), F.lit(6)).collect()}
         assert got == {(y, x): v for y, x, v in rows}
+
+
+def test_box_search_looks_at_both_axes(spark):
+    rows = [(1, 0, 0), (2, 0, 90), (3, 90, 0), (4, 40, 40)]
+    df = spark.createDataFrame(rows, "id int, x0 int, y0 int").withColumns({
+        "collection": F.lit("optical"), "day": F.to_date(F.lit("2024-01-01")), "cloud_cover": F.lit(1.0)})
+    found = sc.search(df, "optical", (5.0, 5.0, 45.0, 45.0), "2024-01-01", "2024-01-01", 2.0)
+    assert {r.id for r in found.collect()} == {1, 4}
+
+
+def test_missing_scenes_are_named_in_order(spark):
+    wanted = spark.createDataFrame([(0, 7), (1, 1), (2, 9)], "position int, id int")
+    have = spark.createDataFrame([(1, "optical", "T0")], "id int, collection string, tile string")
+    with pytest.raises(LookupError, match="7, 9"):
+        sc.require_all(wanted, have)
+    assert [r.id for r in sc.require_all(wanted.where("id = 1"), have).collect()] == [1]
+
+
+def test_quotas_add_up():
+    assert rv.largest_remainders(150, {"a": 0.35, "b": 0.35, "c": 0.3}) == {"a": 53, "b": 52, "c": 45}
+    assert sum(rv.largest_remainders(7, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}).values()) == 7
+
+
+def test_modal_label_bounds(spark):
+    one = spark.createDataFrame([(0, 0, 70000)], "y int, x int, label int").withColumn("day", F.to_date(F.lit("2024-01-01")))
+    with pytest.raises(ValueError):
+        votes.modal_label(one, "2025-01-01", "2025-02-01")
+    with pytest.raises(Exception, match="label out of range"):
+        votes.modal_label(one, "2024-01-01", "2024-02-01").collect()
+
+
+def test_gate_holds_without_a_temporal_report(spark):
+    ok = spark.createDataFrame([("passed",)], "status string")
+    none = spark.createDataFrame([], "mean_consensus double, unstable_fraction double")
+    rel = spark.createDataFrame([(0.9, 0.9, 0.1)], "mean_confidence double, mean_compatible_fraction double, mean_review_fraction double")
+    r = au.publish_gate(ok, none, rel).first()
+    assert r.temporal_status == "missing" and r.recommendation.startswith("hold")
