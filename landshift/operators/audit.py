@@ -58,8 +58,11 @@ def publish_gate(coregistration: DataFrame, consensus: DataFrame, reliability: D
 
 
 def uncertainty_drivers(records: DataFrame, frozen: Column, consensus: DataFrame, calibration: DataFrame,
-                        terrain: DataFrame, classes: DataFrame, rare: Sequence[int]) -> DataFrame:
-    """Gaps between validation scenes and the frozen scene plus stability, calibration and balance."""
+                        terrain: DataFrame, classes: DataFrame, rare: Sequence[int], refined: DataFrame) -> DataFrame:
+    """Gaps between validation scenes and the frozen scene plus stability, calibration and balance.
+
+    `classes` are input counts before balancing; `refined` is the summary of refined labels per scene.
+    """
     def mean(c: str, side: Column) -> Column:
         units = F.sum(F.when(side, F.round(F.col(c) * 1e6).cast("bigint")))
         return units / (F.nullif(F.count(F.when(side, F.col(c))), F.lit(0)) * 1e6)
@@ -67,6 +70,7 @@ def uncertainty_drivers(records: DataFrame, frozen: Column, consensus: DataFrame
     def total(c: str) -> Column:
         return F.sum(F.when(frozen, F.col(c)))
 
+    strict = refined.where(~frozen).agg(fraction(F.coalesce(F.sum("strict_pixels"), F.lit(0)), F.sum("valid_pixels"))).scalar()
     share = classes.agg(fraction(
         F.coalesce(F.sum(F.when(F.col("class_id").isin(*rare), F.col("pixels"))), F.lit(0)), F.sum("pixels"))).scalar()
     valid = total("valid_pixels")
@@ -78,12 +82,15 @@ def uncertainty_drivers(records: DataFrame, frozen: Column, consensus: DataFrame
         fraction(total("low_confidence_pixels"), valid).alias("low_confidence_fraction"),
         fraction(total("high_entropy_pixels"), valid).alias("high_entropy_fraction"),
         fraction(total("disagreement_pixels"), valid).alias("disagreement_fraction"),
+        fraction(total("agreement_zone_pixels"), valid).alias("agreement_zone_fraction"),
     ).withColumns({
+        "strict_pseudo_label_fraction": strict,
         "_c": struct_of(consensus), "_k": struct_of(calibration), "_t": struct_of(terrain), "rare_class_fraction": share,
     }).select(*[F.round(c, 5).alias(n) for n, c in {
         "confidence_gap": F.col("confidence_gap"), "entropy_gap": F.col("entropy_gap"), "review_gap": F.col("review_gap"),
         "compatibility_gap": F.col("compatibility_gap"), "low_confidence_fraction": F.col("low_confidence_fraction"),
         "high_entropy_fraction": F.col("high_entropy_fraction"), "disagreement_fraction": F.col("disagreement_fraction"),
+        "agreement_zone_fraction": F.col("agreement_zone_fraction"), "strict_pseudo_label_fraction": F.col("strict_pseudo_label_fraction"),
         "mean_consensus": F.col("_c.mean_consensus"), "unstable_fraction": F.col("_c.unstable_fraction"),
         "calibration_gap": F.col("_k.mean_abs_gap"), "slope_p95": F.col("_t.slope_p95"), "rare_class_fraction": F.col("rare_class_fraction"),
     }.items()])

@@ -162,6 +162,35 @@ def silhouette(df: DataFrame, key: str, vector: str, cluster: str, sample: int,
         F.count(F.lit(1)).cast("int").alias("sample_size"), F.lit(n_clusters).alias("cluster_count"), F.round(F.avg("s"), 5).alias("silhouette"))
 
 
+def silhouette_all(df: DataFrame, vector: str, cluster: str, dims: int) -> DataFrame:
+    """Silhouette of all rows with squared distances, which a cluster's size, sum and sum of squares give exactly.
+
+    One row per cluster comes out of the aggregation and goes back to the rows as a
+    scalar; NULL with fewer than two clusters.
+    """
+    square = F.aggregate(F.col(vector), F.lit(0.0), lambda acc, v: acc + v * v)
+    rows = df.where(F.col(cluster) > 0).select(F.col(vector).alias("v"), F.col(cluster).alias("own"), square.alias("sq"))
+    sums = rows.groupBy(F.col("own").alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("sq").alias("sq"), F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(dims)]).alias("s"))
+    clusters = sums.agg(F.sort_array(F.collect_list(F.struct("k", "n", "sq", "s")))).scalar()
+
+    def total(c: Column) -> Column:
+        dot = F.aggregate(F.zip_with("v", c["s"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        return c["n"] * F.col("sq") + c["sq"] - 2 * dot
+
+    own = F.get(F.filter("c", lambda c: c["k"] == F.col("own")), F.lit(0))
+    scored = rows.withColumn("c", clusters).withColumns({
+        "a": total(own) / F.greatest(own["n"] - 1, F.lit(1)), "n": own["n"],
+        "b": F.array_min(F.transform(F.filter("c", lambda c: c["k"] != F.col("own")), lambda c: total(c) / c["n"])),
+    })
+    top = F.greatest("a", "b")
+    s = F.when((F.col("n") > 1) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    many = F.max(F.size("c"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("row_count"), F.coalesce(many, F.lit(0)).cast("bigint").alias("cluster_count"),
+        F.when(many > 1, F.round(F.avg(s), 5)).alias("silhouette"))
+
+
 def cluster_profile(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Size, label mix, means and first examples per cluster.
 

@@ -97,6 +97,9 @@ SELECT round({_m('mean_confidence', V)} - {_m('mean_confidence', Z)}, 5) AS conf
   round(sum(low_confidence_pixels) FILTER ({Z}) / CAST(sum(valid_pixels) FILTER ({Z}) AS DOUBLE), 5) AS low_confidence_fraction,
   round(sum(high_entropy_pixels) FILTER ({Z}) / CAST(sum(valid_pixels) FILTER ({Z}) AS DOUBLE), 5) AS high_entropy_fraction,
   round(sum(disagreement_pixels) FILTER ({Z}) / CAST(sum(valid_pixels) FILTER ({Z}) AS DOUBLE), 5) AS disagreement_fraction,
+  round(sum(agreement_zone_pixels) FILTER ({Z}) / CAST(sum(valid_pixels) FILTER ({Z}) AS DOUBLE), 5) AS agreement_zone_fraction,
+  (SELECT round(count(*) FILTER (strict) / CAST(count(*) FILTER (model_class > 0) AS DOUBLE), 5) FROM refined
+   WHERE scene < (SELECT max(scene) FROM reliability)) AS strict_pseudo_label_fraction,
   (SELECT round(mean_consensus, 5) FROM cons_sum) AS mean_consensus, (SELECT round(unstable_fraction, 5) FROM cons_sum) AS unstable_fraction,
   (SELECT round(round(avg(round(abs(midpoint - support_rate), 6)), 5), 5) FROM calibration) AS calibration_gap,
   (SELECT round(quantile_cont(round(slope, 6), 0.95), 4) FROM deriv_h) AS slope_p95,
@@ -107,9 +110,10 @@ FROM reliability CROSS JOIN (SELECT max(scene) AS latest FROM reliability)""")
 def drivers(spark, d):
     ev = stored_evidence(spark, d)
     latest = ev.agg(F.max("scene")).scalar()
+    refined = votes.refined_summary(votes.refine(ev)).withColumn("_latest", latest)
     return au.uncertainty_drivers(
         votes.reliability_records(ev).withColumn("_latest", latest), F.col("scene") == F.col("_latest"), consensus_report(ev), votes.calibration_gap(votes.calibration_bins(ev)),
-        pter.terrain_summary(spark, d), pp.input_class_totals(spark, d), (3, 4, 5))
+        pter.terrain_summary(spark, d), pp.input_class_totals(spark, d), (3, 4, 5), refined)
 
 
 @query("uncertainty_drivers", "SELECT * FROM drivers")

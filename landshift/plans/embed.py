@@ -10,6 +10,7 @@ from landshift.operators.ranking import hash_sample
 from landshift.plans.labels import evidence
 from landshift.plans.patches import dominant
 from landshift.plans.registry import query, view
+from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 
 # parameters of a small fixed encoder and of fixed centroids, written as rules
@@ -184,14 +185,15 @@ def priority_areas(spark, d):
 
 @query("review_samples", """
 SELECT patch_id, priority, class_id, year, review_score, row_number() OVER (ORDER BY review_score DESC, anomaly DESC, patch_id) AS sample_rank,
-  CASE WHEN priority = 'embedding_supported' THEN 'control_after_review' ELSE 'candidate_review' END AS sampling_role
+  CASE WHEN priority = 'embedding_supported' THEN 'control_after_review' ELSE 'candidate_review' END AS sampling_role,
+  CASE priority """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rv.ACTIONS.items()) + """ END AS recommended_action
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY priority, class_id, year ORDER BY review_score DESC, anomaly DESC, patch_id) AS s FROM (
   SELECT *, round(0.5e0 * anomaly + 0.35e0 * greatest(0e0, 1 - fraction)
     + 0.15e0 * CASE priority WHEN 'high_anomaly' THEN 1e0 WHEN 'weak_support_review' THEN 0.75e0 ELSE 0.15e0 END, 6) AS review_score FROM layer)) WHERE s <= 3)
 ORDER BY sample_rank LIMIT 40""")
 def review_samples(spark, d):
     return rv.review_samples(rv.with_priority(anomalies(spark, d)), 40, 3).select(
-        "patch_id", "priority", "class_id", "year", "review_score", "sample_rank", "sampling_role")
+        "patch_id", "priority", "class_id", "year", "review_score", "sample_rank", "sampling_role", "recommended_action")
 
 
 @query("hash_sample", "SELECT doc_id FROM documents ORDER BY md5(doc_id || '-11'), doc_id LIMIT 200")
@@ -219,6 +221,36 @@ def silhouette(spark, d):
     return em.silhouette(encoded(spark, d), "patch_id", "code", "cluster", 300, 42)
 
 
+@query("silhouette_all", """
+WITH p AS (SELECT patch_id, cluster, list(h ORDER BY j) AS v, sum(h * h) AS sq FROM codes JOIN assigned USING (patch_id) GROUP BY 1, 2),
+c AS (SELECT cluster, j, sum(h) AS s FROM codes JOIN assigned USING (patch_id) GROUP BY 1, 2),
+k AS (SELECT cluster, count(*) AS n, sum(sq) AS sq FROM p GROUP BY 1),
+d AS (SELECT p.patch_id, p.cluster AS own, k.cluster AS other, k.n,
+        k.n * p.sq + k.sq - 2 * (SELECT sum(p.v[c.j + 1] * c.s) FROM c WHERE c.cluster = k.cluster) AS total FROM p CROSS JOIN k),
+m AS (SELECT patch_id, max(total / greatest(n - 1, 1)) FILTER (own = other) AS a, min(total / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS n FROM d GROUP BY 1)
+SELECT count(*) AS row_count, (SELECT count(*) FROM k) AS cluster_count,
+  round(avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette FROM m""")
+def silhouette_all(spark, d):
+    """Squared-distance silhouette of every patch, from one sum per cluster."""
+    return em.silhouette_all(encoded(spark, d), "code", "cluster", CODE)
+
+
+PIXEL_CLUSTER_SQL = """
+SELECT scene, y, x, CAST(k AS INTEGER) AS cluster FROM (
+  SELECT scene, y, x, k, row_number() OVER (PARTITION BY scene, y, x ORDER BY sqrt((ndvi - c[1]) * (ndvi - c[1]) + (ndwi - c[2]) * (ndwi - c[2]) + (ndbi - c[3]) * (ndbi - c[3])), k) AS rn
+  FROM feat, (SELECT unnest([1, 2, 3, 4]) AS k, unnest([[0.6e0, -0.7e0, 0e0], [-0.3e0, 0.2e0, 0.3e0], [0.2e0, -0.2e0, -0.3e0], [0.8e0, -0.9e0, -0.6e0]]) AS c)
+  WHERE ndvi IS NOT NULL AND ndwi IS NOT NULL AND ndbi IS NOT NULL) WHERE rn = 1
+UNION ALL SELECT scene, y, x, 0 FROM feat WHERE ndvi IS NULL OR ndwi IS NULL OR ndbi IS NULL"""
+
+
+@query("pixel_clusters", PIXEL_CLUSTER_SQL)
+def pixel_clusters(spark, d):
+    """Cluster raster: the nearest centroid of every pixel, 0 where an index is missing."""
+    f = obs.features(spark, d).withColumn("v", F.when(
+        F.col("ndvi").isNotNull() & F.col("ndwi").isNotNull() & F.col("ndbi").isNotNull(), F.array("ndvi", "ndwi", "ndbi")))
+    return em.assign_clusters(f, "v", PIXEL_CENTROIDS).select("scene", "y", "x", "cluster")
+
+
 @query("pixel_cluster_profile", """
 WITH a AS (SELECT *, row_number() OVER (PARTITION BY scene, y, x ORDER BY dist, k) AS rn FROM (
   SELECT scene, y, x, ndvi, ndwi, ndbi, k, sqrt((ndvi - c[1]) * (ndvi - c[1]) + (ndwi - c[2]) * (ndwi - c[2]) + (ndbi - c[3]) * (ndbi - c[3])) AS dist
@@ -236,14 +268,14 @@ def pixel_cluster_profile(spark, d):
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark, d):
-    s = scaled(spark, d).cache()
+    s = cut_lineage(scaled(spark, d))
     c = em.fit_kmeans(s.where("split = 'train'"), "scaled", 4, 42)
     return em.assign_clusters(s, "scaled", c).groupBy("cluster").agg(F.count(F.lit(1)).alias("patch_count"))
 
 
 @query("linear_autoencoder")
 def linear_autoencoder(spark, d):
-    s = scaled(spark, d).cache()
+    s = cut_lineage(scaled(spark, d))
     axes, variance = em.fit_pca(s.where("split = 'train'"), "scaled", 6)
     return em.linear_autoencode(s, "scaled", axes).select(
         "patch_id", F.round("error", 6).alias("error"), F.lit(round(sum(variance), 6)).alias("explained_variance"))
@@ -251,7 +283,7 @@ def linear_autoencoder(spark, d):
 
 @query("clustering_experiments")
 def clustering_experiments(spark, d):
-    s = scaled(spark, d).withColumn("code", em.dense_layer(F.col("scaled"), W, B)).cache()
+    s = cut_lineage(scaled(spark, d).withColumn("code", em.dense_layer(F.col("scaled"), W, B)))
     return em.ranked_experiments(em.experiments(s, ["scaled", "code"], [2, 4], 42, 300))
 
 

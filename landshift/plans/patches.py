@@ -10,6 +10,7 @@ from landshift.operators import patches as pt, votes
 from landshift.operators.overlay import INDICES
 from landshift.plans.labels import SOURCES
 from landshift.plans.registry import query, view
+from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 
 POLICY = PatchPolicy(size=8, min_agreement_fraction=0.05, min_valid_fraction=0.4, min_training_pixels=2,
@@ -126,7 +127,7 @@ def balanced_patches(spark, d):
 SELECT (SELECT count(*) FROM patch_seq) AS input_count, count(*) AS output_count, (SELECT count(*) FROM patch_seq) - count(*) AS dropped_count,
   count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM balanced""")
 def balance_report(spark, d):
-    seq = sequenced(spark, d)
+    seq = cut_lineage(sequenced(spark, d))
     n_in = seq.agg(F.count(F.lit(1))).scalar()
     out = pt.balance(seq, POLICY, MINORITY)
     return out.agg(F.count(F.lit(1)).alias("output_count"), *[
@@ -151,7 +152,7 @@ def class_weights(spark, d):
 
 @query("patch_sampling_weights", "SELECT scene, block_id, round(sampling_weight, 6) AS sampling_weight FROM weighted")
 def patch_sampling_weights(spark, d):
-    b = balanced(spark, d)
+    b = cut_lineage(balanced(spark, d))
     return pt.sampling_weights(b.where("split = 'train'"), weights(spark, d, b), 1.5).select(
         "scene", "block_id", F.round("sampling_weight", 6).alias("sampling_weight"))
 
@@ -162,7 +163,7 @@ s AS (SELECT block_id, round(t.n * CAST(round(sampling_weight * 1e6) AS BIGINT)
       CAST('0x' || substr(md5(block_id || '-7'), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM weighted, t)
 SELECT block_id, CAST(floor(share) + CASE WHEN u < share - floor(share) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM s""")
 def oversampled_patches(spark, d):
-    b = balanced(spark, d)
+    b = cut_lineage(balanced(spark, d))
     w = pt.sampling_weights(b.where("split = 'train'"), weights(spark, d, b), 1.5)
     return pt.oversample(w, "block_id", "sampling_weight", 1.5, 7).select("block_id", "copies")
 

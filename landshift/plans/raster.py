@@ -10,8 +10,10 @@ from landshift.operators import classify, patches as pt, raster as rs, terrain a
 from landshift.operators.overlay import INDICES
 from landshift.plans.labels import SOURCES, vector_shapes
 from landshift.plans.patches import weights
+from landshift.operators.quantiles import exact_quantiles_by
 from landshift.plans.registry import query, view
 from landshift.plans.terrain import aoi_ring, extent
+from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 
 WK = [f"((sum_supp * {k} + sum_ord + wrow + 2 * wcol) % 11 + 1)" for k in range(1, 6)]
@@ -154,11 +156,12 @@ def stretch_sql(b):
 @query("false_color", f"SELECT scene, y, x, {stretch_sql('nir')} AS r, {stretch_sql('red')} AS g, {stretch_sql('green')} AS b FROM px CROSS JOIN nlim")
 def false_color(spark, d):
     px = obs.pixels(spark, d)
-    out = px.select("scene", "y", "x", "nir", "red", "green")
-    for band, name in (("nir", "r"), ("red", "g"), ("green", "b")):
-        lim = tr.stretch_limits(px, band).select(F.struct("low", "high")).scalar()
-        out = out.withColumn("_l", lim).withColumn(
-            name, F.floor(geo.stretch01(F.col(band), F.col("_l.low"), F.col("_l.high")) * 255 + 1e-9).cast("int")).drop("_l")
+    bands = {"nir": "r", "red": "g", "green": "b"}
+    limits = exact_quantiles_by(px, list(bands), [0.02, 0.98]).agg(F.map_from_entries(F.collect_list(F.struct("name", "q")))).scalar()
+    out = px.select("scene", "y", "x", *bands).withColumn("_l", limits)
+    for band, name in bands.items():
+        q = F.col("_l")[band]
+        out = out.withColumn(name, F.floor(geo.stretch01(F.col(band), F.get(q, 0), F.get(q, 1)) * 255 + 1e-9).cast("int"))
     return out.select("scene", "y", "x", "r", "g", "b")
 
 
@@ -230,7 +233,8 @@ def patch_footprints(spark, d):
 def pixel_classifier(spark, d):
     """Class-weighted pixel classifier evaluated against the voted labels."""
     v = votes.majority_vote(obs.features(spark, d), SOURCES)
-    m = pt.training_mask(v, INDICES).withColumn("truth", lb.harmonized_to_model(F.col("agreement"))).cache()
+    m = pt.training_mask(v, INDICES).withColumn("truth", lb.harmonized_to_model(F.col("agreement")))
+    m = cut_lineage(m)
     predicted = classify.train_and_predict(m, INDICES, "truth", "trainable", weights(spark, d))
     return votes.class_metrics(predicted, "truth", "model_class")
 

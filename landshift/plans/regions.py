@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from landshift.config import GRID
+from landshift.functions import geo
 from landshift.operators import regions as rg
 from landshift.operators.overlay import INDICES
 from landshift.plans.change import STATE_SQL, detected, score
@@ -53,6 +55,30 @@ def region_members(spark, d):
     return labelled(spark, d).select("after_scene", "region", "change_class", "y", "x")
 
 
+@query("region_runs", RECURSIVE + "z AS (SELECT 1) SELECT after_scene, region, y, x0, x0 + n - 1 AS x1 FROM runs")
+def region_runs(spark, d):
+    """Region geometry as pixel runs."""
+    return rg.region_runs(labelled(spark, d), "after_scene").select("after_scene", "region", "y", "x0", "x1")
+
+
+RUN_RING = "[" + ", ".join(f"[830650e0 + ({x}) * 10, 9794800e0 - ({y}) * 10]" for x, y in (("x0", "y"), ("x1 + 1", "y"), ("x1 + 1", "y + 1"), ("x0", "y + 1"), ("x0", "y"))) + "]"
+
+
+@query("region_outlines", RECURSIVE + f"""
+r AS (SELECT after_scene, region, y, x0, x0 + n - 1 AS x1 FROM runs)
+SELECT after_scene, region, count(*) AS run_count, to_json(list({RUN_RING} ORDER BY y, x0)) AS rings FROM r GROUP BY 1, 2""")
+def region_outlines(spark, d):
+    """One multi-part outline per region in map coordinates: a ring around each of its runs.
+
+    A region's rings are one value, as a feature needs them; they grow with its rows, not its pixels.
+    """
+    runs = rg.region_runs(labelled(spark, d), "after_scene")
+    corners = [("x0", 0, "y", 0), ("x1", 1, "y", 0), ("x1", 1, "y", 1), ("x0", 0, "y", 1), ("x0", 0, "y", 0)]
+    ring = F.array(*[F.array(*geo.pixel_to_map(F.col(y) + dy, F.col(x) + dx, GRID, center=False)) for x, dx, y, dy in corners])
+    rings = F.sort_array(F.collect_list(F.struct("y", "x0", ring.alias("ring"))))
+    return runs.groupBy("after_scene", "region").agg(F.count(F.lit(1)).alias("run_count"), F.to_json(F.transform(rings, lambda r: r["ring"])).alias("rings"))
+
+
 @query("change_regions", RECURSIVE + STATS + """
 SELECT after_scene, region, change_type, pixel_count, pixel_count * 100e0 AS area_m2, y_min, y_max, x_min, x_max, point_y, point_x, base_confidence,
   change_magnitude, before_state || '_to_' || after_state AS transition, monitored_land_cover, round(d_ndvi, 4) AS d_ndvi, round(d_ratio, 4) AS d_ratio FROM described""")
