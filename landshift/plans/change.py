@@ -72,7 +72,7 @@ def expanded_indices(spark, d):
 
 @query("band_scan", "SELECT scene, y, x, round(nir, 6) AS value FROM px WHERE scene = 3 AND x BETWEEN 8 AND 31")
 def band_scan(spark, d):
-    """Scene and column window reach the scan as predicates on the source columns."""
+    """The scene range reaches the scan as a ship-date predicate; the column window filters pixels after aggregation."""
     px = obs.pixels(spark, d, (3, 3))
     return overlay.scan_band(px, "nir", (0, 2**40, 8, 31), scene=3).withColumn("value", F.round("value", 6))
 
