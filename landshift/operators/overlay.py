@@ -67,6 +67,44 @@ def consecutive_pairs(scenes: DataFrame) -> DataFrame:
     )
 
 
+def pair_map(pairs: DataFrame) -> Column:
+    """after -> before of consecutive scenes as a scalar; one entry per date, so that no pixel moves for it."""
+    return pairs.agg(F.map_from_entries(F.collect_list(F.struct("after_scene", "before_scene")))).scalar()
+
+
+def with_touching(features: DataFrame, pairs: DataFrame, t: ChangeThresholds = CHANGE) -> DataFrame:
+    """Beside every pixel of a scene what the two comparisons that touch the scene say about it.
+
+    Both neighbours come from one window, so the comparisons need no rows of their own:
+    change_confidence is the larger confidence of the changes, group the monitored group
+    of the later one; both NULL where nothing changed. Each step is a column of its own,
+    which keeps the generated code small.
+    """
+    w = Window.partitionBy("y", "x").orderBy("scene")
+    near = features.withColumns({
+        "_here": F.struct("scene", *INDICES), "_b": F.lag(F.struct("scene", *INDICES)).over(w), "_n": F.lead(F.struct("scene", *INDICES)).over(w),
+    }).withColumn("_pairs", pair_map(pairs))
+    sides = {"_e": ("_b", "_here"), "_l": ("_here", "_n")}
+    out = near.withColumns({
+        f"{s}_{k}": F.when(F.try_element_at("_pairs", F.col(f"{after}.scene")) == F.col(f"{before}.scene"), F.col(f"{after}.{k}") - F.col(f"{before}.{k}"))
+        for s, (before, after) in sides.items() for k in INDICES
+    })
+    deltas = {s: [F.col(f"{s}_{k}") for k in INDICES] for s in sides}
+    out = out.withColumns({f"{s}_raw": ch.classify_change(*deltas[s], t=t) for s in sides})
+    out = out.withColumns({f"{s}_score": ch.change_confidence(F.col(f"{s}_raw"), *deltas[s], t=t) for s in sides})
+    out = out.withColumns({f"{s}_class": ch.gate(F.col(f"{s}_raw"), F.col(f"{s}_score"), t) for s in sides})
+    out = out.withColumns({f"{o}_state": ch.landcover_state(*[F.col(f"{o}.{k}") for k in ("ndvi", "ndbi", "ndwi")]) for o in ("_b", "_here", "_n")})
+    out = out.withColumns({
+        f"{s}_group": F.when(F.col(f"{s}_class") > 0, ch.monitored_land_cover(ch.change_type(F.col(f"{s}_class")), F.col(f"{before}_state"), F.col(f"{after}_state")))
+        for s, (before, after) in sides.items()
+    })
+    found = {s: F.col(f"{s}_class") > 0 for s in sides}
+    return out.select(
+        *features.columns, F.greatest(*[F.when(found[s], F.col(f"{s}_score")) for s in sides]).alias("change_confidence"),
+        F.when(found["_l"], F.col("_l_group")).otherwise(F.col("_e_group")).alias("group"),
+    )
+
+
 def compare_scenes(features: DataFrame, pairs: DataFrame, keep: Sequence[str] = INDICES) -> DataFrame:
     """Before/after rows of every consecutive pair, with one shuffle by pixel.
 
@@ -78,9 +116,7 @@ def compare_scenes(features: DataFrame, pairs: DataFrame, keep: Sequence[str] =
         "scene", "y", "x", *keep,
         F.lag(F.struct("scene", *keep)).over(w).alias("_b"),
     ).where(F.col("_b").isNotNull())
-    # one entry per date, carried as a scalar, so that no pixel moves for it
-    before = pairs.agg(F.map_from_entries(F.collect_list(F.struct("after_scene", "before_scene")))).scalar()
-    out = prior.withColumn("_pairs", before).where(F.try_element_at("_pairs", F.col("scene")) == F.col("_b.scene"))
+    out = prior.withColumn("_pairs", pair_map(pairs)).where(F.try_element_at("_pairs", F.col("scene")) == F.col("_b.scene"))
     return out.select(
         F.col("_b.scene").alias("before_scene"), F.col("scene").alias("after_scene"), "y", "x",
         *[F.col(f"_b.{k}").alias(f"b_{k}") for k in keep],

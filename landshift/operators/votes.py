@@ -241,18 +241,6 @@ def first_valid_mosaic(tiles: DataFrame, value: str, order: str) -> DataFrame:
         F.min_by(value, order).alias(value), F.min(order).alias(order))
 
 
-def touching_confidence(detected: DataFrame) -> DataFrame:
-    """Per scene pixel: strongest confidence of any comparison that touches the scene,
-    and the class of the latest one."""
-    hits = detected.where("change_class > 0").withColumn(
-        "scene", F.explode(F.array("before_scene", "after_scene"))
-    )
-    return hits.groupBy("scene", "y", "x").agg(
-        F.max("confidence").alias("change_confidence"),
-        F.max(F.struct("after_scene", "group")).getField("group").alias("group"),
-    )
-
-
 def latest_per_split(records: DataFrame, split: str, wanted: str, tag: str) -> DataFrame:
     """Newest record of a split, or of any split when the wanted one is empty."""
     best = F.max(F.struct((F.col(split) == wanted).alias("hit"), F.col(tag).alias("tag"), F.col(split).alias("s")))

@@ -14,9 +14,12 @@ R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
 
 def compared(spark: SparkSession, d: str) -> DataFrame:
-    f = obs.features(spark, d)
+    return overlay.compare_scenes(obs.features(spark, d), scene_pairs(spark, d))
+
+
+def scene_pairs(spark: SparkSession, d: str) -> DataFrame:
     days = obs.table(spark, d, "lineitem").select((F.year("l_shipdate") - obs.SCENE_EPOCH).alias("scene"))
-    return overlay.compare_scenes(f, overlay.consecutive_pairs(days))
+    return overlay.consecutive_pairs(days)
 
 
 def detected(spark: SparkSession, d: str) -> DataFrame:

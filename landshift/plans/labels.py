@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from landshift.config import LABEL_COLLECTION_CODES, WORLD_COVER_CODES
 from landshift.functions import change as ch, labels as lb
-from landshift.operators import votes
-from landshift.plans.change import STATE_SQL, detected
+from landshift.operators import overlay, votes
+from landshift.plans.change import STATE_SQL, scene_pairs
 from landshift.plans.registry import query, view
 from landshift.plans.twins import H2M
+from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 
 SOURCES = ("s1", "s2", "s3", "s4")
@@ -38,10 +39,9 @@ FROM (SELECT scene, y, x, CASE WHEN ok THEN [q1/t, q2/t, q3/t, q4/t, q5/t, q6/t]
       FROM (SELECT *, 0e0 + q1 + q2 + q3 + q4 + q5 + q6 AS t FROM soft_scores))""")
 
 
-def soft(spark, d):
+def soft(f):
     c = F.col
     p = c("probs")
-    f = obs.features(spark, d)
     return f.withColumn("probs", lb.soft_probabilities(c("ndvi"), c("ndwi"), c("ndbi"), c("ratio"))).withColumns({
         "dominant": lb.argmax_class(p), "max_probability": F.array_max(p), "gap": lb.probability_gap(p)})
 
@@ -52,7 +52,7 @@ SELECT scene, y, x, round(p[1], 6) AS p_built, round(p[2], 6) AS p_managed, roun
        round(1 - max_p, 6) AS uncertainty, round(gap, 6) AS gap FROM soft""")
 def soft_labels(spark, d):
     names = ("built", "managed", "natural", "bare", "water", "mixed")
-    return soft(spark, d).select(
+    return soft(obs.features(spark, d)).select(
         "scene", "y", "x", *[F.round(F.get("probs", i), 6).alias(f"p_{n}") for i, n in enumerate(names)],
         "dominant", F.round(1 - F.col("max_probability"), 6).alias("uncertainty"), F.round("gap", 6).alias("gap"),
     )
@@ -76,18 +76,15 @@ SELECT *, CASE WHEN max_p >= 0.55e0 AND conf >= 0.65e0 AND gap >= 0.15e0 THEN do
           + 0.2e0 * least(greatest(cc, 0e0), 1e0) AS conf FROM weak_raw)""")
 
 
-def touching(spark, d):
-    c = F.col
-    det = detected(spark, d)
-    before = ch.landcover_state(c("b_ndvi"), c("b_ndbi"), c("b_ndwi"))
-    after = ch.landcover_state(c("a_ndvi"), c("a_ndbi"), c("a_ndwi"))
-    return votes.touching_confidence(
-        det.withColumn("group", ch.monitored_land_cover(ch.change_type(c("change_class")), before, after)))
+def touched(spark, d):
+    """Features with the changes that touch their scene."""
+    return overlay.with_touching(obs.features(spark, d), scene_pairs(spark, d))
 
 
 def weak(spark, d):
     c = F.col
-    j = soft(spark, d).join(touching(spark, d), ["scene", "y", "x"], "left")
+    # written once: the label rules use the group many times, and inlined they would make one huge expression
+    j = soft(cut_lineage(touched(spark, d).select("scene", "y", "x", *overlay.INDICES, "change_confidence", "group")))
     monitoring = F.when(c("group").isNull(), 0).otherwise(
         lb.monitored_group_class(c("group"), F.get("probs", 1), F.get("probs", 2)))
     j = j.withColumn("monitoring", monitoring)
@@ -288,8 +285,7 @@ SELECT f.scene, f.y, f.x, round(f.ndvi, 6) AS ndvi FROM feat f WHERE EXISTS (SEL
   AND t.y = f.y AND t.x = f.x AND (t.before_scene = f.scene OR t.after_scene = f.scene))""")
 def high_confidence_pixels(spark, d):
     """Feature rows under a strong change of any comparison that touches their scene."""
-    mask = touching(spark, d).where("change_confidence >= 0.9").select("scene", "y", "x")
-    return obs.features(spark, d).join(mask, ["scene", "y", "x"], "left_semi").select(
+    return touched(spark, d).where("change_confidence >= 0.9").select(
         "scene", "y", "x", F.round("ndvi", 6).alias("ndvi"))
 
 
