@@ -53,7 +53,15 @@ def best_per_tile(optical: DataFrame, keys: Sequence[str] = ("day", "tile")) ->
 
 def optical_groups(optical: DataFrame, required: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """One row per date with its tiles, cloud statistics and missing required tiles."""
-    best = best_per_tile(optical.where(F.col("tile").isin(*required)), (*extra, "day", "tile"))
+    return tile_groups(best_per_tile(optical.where(F.col("tile").isin(*required)), (*extra, "day", "tile")), required, extra)
+
+
+def tile_groups(best: DataFrame, required: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """`optical_groups` from the cleanest item of each tile and date.
+
+    An item that is cleanest of all is also the cleanest below any limit it meets,
+    so one table of them serves every cloud limit.
+    """
     need = F.array(*[F.lit(t) for t in sorted(required)])
     return (
         best.groupBy(*extra, "day")
@@ -74,8 +82,13 @@ def nearest_radar(days: DataFrame, radar: DataFrame, s: SceneSearch, max_gap_hou
     rank, which is all a date can ever pick, so the day join stays tiny even
     when one day holds most of the catalogue.
     """
+    return match_radar(days, radar_by_day(radar, s), s, max_gap_hours)
+
+
+def radar_by_day(radar: DataFrame, s: SceneSearch) -> DataFrame:
+    """Earliest and latest usable item of each day and orbit rank."""
     usable = radar.where(F.array_contains("polarizations", "VV") & F.array_contains("polarizations", "VH"))
-    per_day = (
+    return (
         usable.withColumn("penalty", F.when(F.col("orbit") == s.preferred_orbit, 0).otherwise(1))
         .groupBy(F.col("day").alias("radar_day"), "penalty")
         .agg(
@@ -83,6 +96,10 @@ def nearest_radar(days: DataFrame, radar: DataFrame, s: SceneSearch, max_gap_hou
             F.max(F.struct(F.col("acquired_at").alias("t"), (-F.col("id")).alias("k"))).alias("last"),
         )
     )
+
+
+def match_radar(days: DataFrame, per_day: DataFrame, s: SceneSearch, max_gap_hours: float | None = None) -> DataFrame:
+    """`nearest_radar` from the items that `radar_by_day` keeps."""
     offsets = F.sequence(F.lit(-s.radar_days), F.lit(s.radar_days))
     keyed = days.select("day").distinct().withColumn("offset", F.explode(offsets)).withColumn(
         "radar_day", F.date_add("day", F.col("offset"))
@@ -122,21 +139,29 @@ def split_for(period: Column, train: Sequence[int], validation: Sequence[int], t
     )
 
 
-def training_pairs(optical: DataFrame, radar: DataFrame, s: SceneSearch, cloud: float) -> DataFrame:
-    """Matched optical/radar pairs of every period at one cloud limit."""
-    groups = ranked_groups(
-        optical_groups(optical.where(F.col("cloud_cover") < cloud), s.required_tiles, ("period",)), s.max_groups
-    )
-    matched = groups.join(nearest_radar(groups, radar, s, s.max_gap_hours), "day")
+def cleanest_tiles(optical: DataFrame, s: SceneSearch) -> DataFrame:
+    """Cleanest item per period, date and required tile, below the relaxed limit."""
+    usable = optical.where(F.col("tile").isin(*s.required_tiles) & (F.col("cloud_cover") < s.fallback_cloud))
+    return best_per_tile(usable, ("period", "day", "tile"))
+
+
+def training_pairs(best: DataFrame, per_day: DataFrame, s: SceneSearch, cloud: float) -> DataFrame:
+    """Matched optical/radar pairs of every period at one cloud limit, from the reduced tables of `two_tier_pairs`."""
+    groups = ranked_groups(tile_groups(best.where(F.col("cloud") < cloud), s.required_tiles, ("period",)), s.max_groups)
+    matched = groups.join(match_radar(groups, per_day, s, s.max_gap_hours), "day")
     w = Window.partitionBy("period").orderBy("rank")
     out = matched.withColumn("pair_seq", F.row_number().over(w)).where(F.col("pair_seq") <= s.max_pairs)
     return out.withColumn("cloud_limit", F.lit(float(cloud)))
 
 
-def two_tier_pairs(optical: DataFrame, radar: DataFrame, s: SceneSearch) -> DataFrame:
-    """Strict pairs; a period without any falls back to the relaxed limit."""
-    strict = training_pairs(optical, radar, s, s.preferred_cloud).withColumn("cloud_tier", F.lit("preferred"))
-    relaxed = training_pairs(optical, radar, s, s.fallback_cloud).withColumn("cloud_tier", F.lit("fallback"))
+def two_tier_pairs(best: DataFrame, per_day: DataFrame, s: SceneSearch) -> DataFrame:
+    """Strict pairs; a period without any falls back to the relaxed limit.
+
+    `best` (`cleanest_tiles`) and `per_day` (`radar_by_day`) have a row per date and tile
+    or orbit; store them, as every tier reads them.
+    """
+    strict = training_pairs(best, per_day, s, s.preferred_cloud).withColumn("cloud_tier", F.lit("preferred"))
+    relaxed = training_pairs(best, per_day, s, s.fallback_cloud).withColumn("cloud_tier", F.lit("fallback"))
     return strict.unionByName(relaxed.join(strict.select("period").distinct(), "period", "left_anti"))
 
 
@@ -152,15 +177,15 @@ def tag_day(tag: Column, position: int) -> Column:
     return F.when(part.rlike("^[0-9]{8}$"), F.try_to_timestamp(part, F.lit("yyyyMMdd")).cast("date"))
 
 
-def period_status(optical: DataFrame, pairs: DataFrame, s: SceneSearch, required: Sequence[int], optional: Sequence[int]) -> DataFrame:
+def period_status(best: DataFrame, pairs: DataFrame, s: SceneSearch, required: Sequence[int], optional: Sequence[int]) -> DataFrame:
     """Per wanted period: tier used, candidate groups, pairs and status; absent periods stay visible."""
-    spark = optical.sparkSession
+    spark = best.sparkSession
     wanted = spark.createDataFrame(
         [(p, True) for p in required] + [(p, False) for p in optional], "period int, required boolean"
     )
 
     def groups_at(limit: float, name: str) -> DataFrame:
-        g = optical_groups(optical.where(F.col("cloud_cover") < limit), s.required_tiles, ("period",))
+        g = tile_groups(best.where(F.col("cloud") < limit), s.required_tiles, ("period",))
         return g.where("complete").groupBy("period").agg(F.least(F.count(F.lit(1)), F.lit(s.max_groups)).alias(name))
 
     found = pairs.groupBy("period").agg(

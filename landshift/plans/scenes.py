@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from landshift.config import SceneSearch
 from landshift.operators import scenes as sc
 from landshift.plans.registry import query, view
+from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 from landshift.sources.sinks import upsert_scenes
 
@@ -24,8 +25,13 @@ def radar(spark, d):
     return obs.scenes(spark, d).where("collection = 'radar'")
 
 
+def reduced(spark, d):
+    """The cleanest tiles and the radar items that can match, written once: one scan of the events each."""
+    return cut_lineage(sc.cleanest_tiles(optical(spark, d), SEARCH)), cut_lineage(sc.radar_by_day(radar(spark, d), SEARCH))
+
+
 def pairs(spark, d):
-    return sc.two_tier_pairs(optical(spark, d), radar(spark, d), SEARCH)
+    return sc.two_tier_pairs(*reduced(spark, d), SEARCH)
 
 
 view("tile_best", """
@@ -159,7 +165,8 @@ SELECT w.period, required, CASE WHEN coalesce(strict, false) THEN 'preferred' EL
        CASE WHEN coalesce(f.n, 0) > 0 THEN 'ok' WHEN required THEN 'missing_required' ELSE 'optional_missing' END AS status
 FROM w LEFT JOIN f USING (period) LEFT JOIN a USING (period) LEFT JOIN b USING (period)""")
 def period_status(spark, d):
-    return sc.period_status(optical(spark, d), pairs(spark, d), SEARCH, REQUIRED, OPTIONAL)
+    best, per_day = reduced(spark, d)
+    return sc.period_status(best, sc.two_tier_pairs(best, per_day, SEARCH), SEARCH, REQUIRED, OPTIONAL)
 
 
 view("requested", "SELECT doc_id AS position, doc_id * 11 AS id FROM documents")
