@@ -11,7 +11,6 @@ from landshift.operators.overlay import INDICES
 from landshift.session import cut_lineage
 
 ROW_STRIDE = 1 << 21  # y * stride + x names a pixel; a wider raster row is an error
-SALTS = 8
 
 
 def with_runs(pixels: DataFrame, layer: str, value: str) -> DataFrame:
@@ -50,7 +49,7 @@ def connected_components(edges: DataFrame, layer: str) -> DataFrame:
 
     Minimum labels spread along edges, are hooked onto the current label's own
     node and then short-cut, so long thin components close in few rounds. Edge
-    lists keep their bounded degree; popular labels are salted in the short-cut.
+    lists keep their bounded degree.
     """
     both = cut_lineage(
         edges.select(layer, F.col("a").alias("u"), F.col("b").alias("v"))
@@ -70,13 +69,10 @@ def connected_components(edges: DataFrame, layer: str) -> DataFrame:
         hooked = spread.join(hooks, [layer, "node"], "left").select(
             layer, "node", "label", F.least("low", F.coalesce("hook", F.col("low"))).alias("low")
         ).persist()
-        moved = hooked.where(F.col("low") < F.col("node")).select(
-            layer, F.col("node").alias("low"), F.col("low").alias("next"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-        )
-        salted = hooked.withColumn("_salt", (F.pmod(F.xxhash64("node"), F.lit(SALTS))).cast("int"))
+        # a popular label is a skewed key with plain rows on either side, which Spark splits at run time
+        moved = hooked.where(F.col("low") < F.col("node")).select(layer, F.col("node").alias("low"), F.col("low").alias("next"))
         after = cut_lineage(
-            salted.join(moved, [layer, "low", "_salt"], "left").select(
+            hooked.join(moved, [layer, "low"], "left").select(
                 layer, "node", F.col("label").alias("_old"), F.coalesce("next", "low").alias("label")
             )
         )
