@@ -91,7 +91,7 @@ def terrain(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
     """Elevation grid: a row per vector, a column per component."""
     cells = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v")
-    ).select("y", "x", F.round(F.col("v").cast("double") * 1000, 3).alias("elevation"))
+    ).select("y", "x", bands.finite(F.round(F.col("v").cast("double") * 1000, 3)).alias("elevation"))
     if holes:
         return cells.withColumn("elevation", F.when((F.col("y") + F.col("x")) % 11 != 0, F.col("elevation")))
     return cells

@@ -41,6 +41,11 @@ def write_features(df: DataFrame, geometry: str, properties: Sequence[str], path
     as_features(df, geometry, properties).write.mode("overwrite").text(path)
 
 
+def write_manifest(patches: DataFrame, path: str) -> None:
+    """Patch manifest in (split, tag, patch_id) order: files hold consecutive ranges, rows are ordered inside them."""
+    patches.orderBy("split", "tag", "patch_id").write.mode("overwrite").json(path)
+
+
 def publish_rows(scored: DataFrame, run_id: str) -> DataFrame:
     """Publish-ready rows with a retry-safe id and their residual properties."""
     ready = scored.where("publish_ready")

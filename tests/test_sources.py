@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from landshift.operators import audit as au
-from landshift.sources import grid as gr, sinks
+from landshift.sources import grid as gr, observations as obs, sinks
 from landshift.streaming import catalogue
 
 RING = [[29.971674588098654, -1.8539907197602912], [30.15205257721712, -1.8536766484566063], [30.152387520306693, -2.034074211175956],
@@ -71,3 +71,16 @@ def test_scene_stream_upserts(spark, tmp_path):
     run()
     got = {r.id: (r.collection, r.cloud_cover, r.assets) for r in catalogue.read_catalogue(spark, out).collect()}
     assert got == {1: ("a", 4.0, "x2"), 2: ("b", 1.0, "y2"), 3: ("c", 2.0, "z")}
+
+
+def test_manifest_is_written_in_order(spark, tmp_path):
+    rows = [("train", "b", 2), ("test", "a", 9), ("train", "a", 3), ("train", "b", 1)]
+    sinks.write_manifest(spark.createDataFrame(rows, "split string, tag string, patch_id int").repartition(3), str(tmp_path / "m"))
+    lines = [json.loads(line) for f in sorted((tmp_path / "m").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [(r["split"], r["tag"], r["patch_id"]) for r in lines] == sorted(rows)
+
+
+def test_terrain_drops_what_is_no_number(spark, tmp_path):
+    spark.createDataFrame([(0, [1.0, float("nan"), float("inf"), None])], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.x: r.elevation for r in obs.terrain(spark, str(tmp_path)).collect()}
+    assert got == {0: 1000.0, 1: None, 2: None, 3: None}
