@@ -25,7 +25,7 @@ SCALE = 100.0  # weight a character, so that sums over long words stay in range
 UNSEEN = 1e-8  # probability of a character that no piece covers
 SMOOTHING = 0.05  # added to each expected piece count
 UNDETERMINED = "und"
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 4_000_000  # of texts split into words at once; bounds a worker's memory
 MICRO = 1e6
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -208,28 +208,29 @@ def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str],
     return names, scores
 
 
-def _classify(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _classify(batches: Iterator[pa.RecordBatch], shared, with_text: bool) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
         sizes = np.cumsum([len(t.as_py() or "") for t in batch.column("text")]) // CHUNK_CHARS
         cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+        kept = batch.num_columns if with_text else batch.num_columns - 1
         for a, b in zip(cuts, cuts[1:]):
             part = batch.slice(a, b - a)
             names, scores = classify(part.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+                [*part.columns[:kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:kept], "lang_pred", "score"])
 
 
-def predict(documents: DataFrame, model: LanguageModel, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """`keep` of every row with lang_pred and score.
+def predict(documents: DataFrame, model: LanguageModel, keep: list[Column], text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """`keep` of every row, its text if asked for, lang_pred and score.
 
     A null text and one without a letter is `und` with score 0, as is everything when no
     language was learned. Repeated rows and null ids stay; an empty table gives an empty result.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*keep, F.col(text_col).cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(lambda it: _classify(it, shared), ", ".join([*fields, "lang_pred string", "score double"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:None if with_text else -1]]
+    return rows.mapInArrow(lambda it: _classify(it, shared, with_text), ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -250,6 +251,7 @@ def keep_identified(documents: DataFrame, vocabulary_path: str, least: float = 0
     """The rows of `documents`, all columns, whose language is found with at least the given score."""
     learn = documents.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     model = fit(learn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), vocabulary_path)
-    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(documents.columns)]
-    found = predict(documents, model, kept, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns) if c != text_col}
+    found = predict(documents, model, [F.col(c).alias(n) for c, n in names.items()], text_col, with_text=True)
+    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.select(*[F.col(names.get(c, "text")).alias(c) for c in documents.columns])
