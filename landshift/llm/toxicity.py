@@ -278,7 +278,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     texts = documents.where(F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = store(texts.join(marked, "_id").select("text", "toxic"))
+    # the labels grow with the documents, so their join is never a broadcast
+    labelled = store(texts.join(marked.hint("merge"), "_id").select("text", "toxic"))
     model = fit(labelled, character_model(documents, text_col))
     discard(labelled)
     return predict(documents, model, [F.col(id_col), held_out(id_col).alias("held_out")], text_col)
