@@ -22,9 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from landshift.llm.storage import discard, store
 from landshift.llm.transducer import Transducer, compile_words
 
-LEXICON_WORDS = 60_000  # most frequent words compiled; bounds the broadcast to a few MB
+LEXICON_WORDS = 60_000  # most frequent words compiled, at most; bounds the broadcast to a few MB
 CACHED_WORDS = 400_000  # words a worker remembers before it starts afresh
 CHUNK = 256  # documents a worker returns at once
 
@@ -138,9 +139,22 @@ def word_counts(documents: DataFrame, vocabulary: Vocabulary, text_col: str = "t
 
 
 def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS, text_col: str = "text") -> bytes:
-    """The compiled transducer of the `size` most frequent words, ties to the smaller word."""
-    top = word_counts(documents, vocabulary, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
-    words = sorted(r.word.encode() for r in top)
+    """The compiled transducer of the most frequent words, `size` at most.
+
+    Words are taken by steps of a sixteenth of a power of two of their counts, as many
+    whole steps as fit, so the driver receives those words and one number per step.
+    """
+    counts = store(word_counts(documents, vocabulary, text_col).withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
+    steps = {r.step: r["count"] for r in counts.groupBy("step").count().collect()}
+    held, least = 0, None
+    for step in sorted(steps, reverse=True):
+        held += steps[step]
+        if held > size:
+            break
+        least = step
+    rows = [] if least is None else counts.where(F.col("step") >= least).select("word").collect()
+    discard(counts)
+    words = sorted(r.word.encode() for r in rows)
     return compile_words(words, [vocabulary.merge_long(w) for w in words])
 
 
