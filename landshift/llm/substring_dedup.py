@@ -152,7 +152,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch], window: int, gram: int) ->
 
 
 def popular_anchors(texts: DataFrame, window: int, gram: int) -> np.ndarray:
-    sample = texts.select("data").limit(SAMPLE).mapInArrow(lambda it: _surroundings(it, window, gram), "inner bigint, outer bigint")
+    """Anchors with many surroundings in a sample of about SAMPLE rows, drawn by hash, each in the task that has it."""
+    rate = min(1.0, SAMPLE / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 20)) < int(rate * (1 << 20))).select("data")
+    sample = drawn.mapInArrow(lambda it: _surroundings(it, window, gram), "inner bigint, outer bigint")
     many = sample.distinct().groupBy("inner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= POPULAR * SAMPLE).collect()
     return np.array([r.inner for r in many], dtype=np.int64).view(np.uint64)
 
