@@ -28,9 +28,9 @@ OFFSETS = ARITY**ROUNDS
 LENGTH = 400
 CHUNK = 512
 
-MEMBER = "id bigint, key bigint, at int, run_lo int, run_hi int, core bigint, node int, active boolean, inner bigint, outer bigint"
+MEMBER = "row bigint, at int, run_lo int, run_hi int, core bigint, node int, active boolean, inner bigint, outer bigint"
 NAMES = [f.split()[0] for f in MEMBER.split(", ")]
-KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
 
 
 def _signed(value: int) -> int:
@@ -55,14 +55,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     gram = length - OFFSETS + 1
     for batch in batches:
         rows: list[tuple] = []
-        for doc, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("data")):
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("data")):
             data = text.as_py()
             if len(data) < length:
                 continue
             order = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))[:len(data) - gram + 1]
             for at, first, last in zip(*(a.tolist() for a in window_anchors(order, OFFSETS))):
                 inner = _name(data[at:at + gram])
-                rows.append((doc, key, at, at - last, at - first, inner, 0, True, inner, _outer(data, at, at - last, at - first, length)))
+                rows.append((row, at, at - last, at - first, inner, 0, True, inner, _outer(data, at, at - last, at - first, length)))
             if len(rows) > 50_000:
                 yield _batch(rows)
                 rows = []
@@ -73,7 +73,7 @@ def _children(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Ite
     """Members of the next round: for each range of offsets to refine, its parts of `width` offsets that the anchor serves."""
     for batch in batches:
         rows: list[tuple] = []
-        for doc, key, text, todo in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("data"), batch.column("todo").to_pylist()):
+        for row, text, todo in zip(batch.column("row").to_pylist(), batch.column("data"), batch.column("todo").to_pylist()):
             data = text.as_py()
             for t in todo:
                 at = t["at"]
@@ -81,7 +81,7 @@ def _children(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Ite
                     lo, hi = max(node, t["run_lo"]), min(node + width - 1, t["run_hi"])
                     if lo <= hi:
                         inner = _name(data[at - node:at - node - width + 1 + length])
-                        rows.append((doc, key, at, t["run_lo"], t["run_hi"], t["core"], node, t["active"], inner, _outer(data, at, lo, hi, length)))
+                        rows.append((row, at, t["run_lo"], t["run_hi"], t["core"], node, t["active"], inner, _outer(data, at, lo, hi, length)))
             if len(rows) > 50_000:
                 yield _batch(rows)
                 rows = []
@@ -89,7 +89,7 @@ def _children(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Ite
 
 
 def _settle(members: DataFrame, bucket: list[str], width: int) -> tuple[DataFrame, DataFrame | None]:
-    """(repeats, rest): strings that repeat, as (id, key, start, end) of their first bytes; and members to refine.
+    """(repeats, rest): strings that repeat, as (row, start, end) of their first bytes; and members to refine.
 
     Buckets and classes are counted by aggregation; what joins back to the members is
     a written table on either side, so that a popular bucket can be split.
@@ -100,18 +100,18 @@ def _settle(members: DataFrame, bucket: list[str], width: int) -> tuple[DataFram
         ).where("n > 1 AND some").select(*bucket, (F.col("low") == F.col("high")).alias("whole"))
     )
     lo, hi = F.greatest("node", "run_lo"), F.least(F.col("node") + width - 1, F.col("run_hi"))
-    span = ["id", "key", (F.col("at") - hi).alias("start"), (F.col("at") - lo).alias("end")]
+    span = ["row", (F.col("at") - hi).alias("start"), (F.col("at") - lo).alias("end")]
     met = members.join(buckets, bucket)
     if width == 1:
         return met.where("active").select(*span), None
     met = store(met)
     mixed = met.where("NOT whole").drop("whole")
     classes = store(mixed.groupBy(*bucket, "outer").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "at")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("first")
     ).where("n > 1"))
     marked = mixed.join(classes, [*bucket, "outer"], "left")
     repeats = met.where("whole AND active").select(*span).unionByName(marked.where("n IS NOT NULL AND active").select(*span))
-    one = F.struct("id", "key", "at") == F.col("first")
+    one = F.struct("row", "at") == F.col("first")
     rest = marked.where(F.col("n").isNull() | one).select(*[c for c in NAMES if c != "active"], (F.col("active") & F.col("n").isNull()).alias("active"))
     return repeats, rest
 
@@ -137,17 +137,9 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 ["id", "n_bytes", "spans", "kept"])
 
 
-def keyed_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, data): id and a hash of the text name a row; equal rows share them and their results."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return documents.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
-
-
 def _with_lists(texts: DataFrame, rows: DataFrame, name: str, columns: list[str | Column], how: str) -> DataFrame:
     """Texts with the rows that belong to them in one list, which their own length bounds."""
-    lists = rows.groupBy("id", "key").agg(F.collect_list(F.struct(*columns)).alias(name)).withColumnsRenamed({"id": "_id", "key": "_key"})
-    same = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
-    return texts.join(lists, same, how).select("id", "key", "data", name)
+    return texts.join(rows.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias(name)), "row", how)
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -159,7 +151,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if length < OFFSETS + 8:
         raise ValueError(f"length must be at least {OFFSETS + 8}")
-    texts = store_by_key(keyed_texts(documents, id_col, text_col), "key")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # bucketed by a number of its own for each row, so that copies are spread and later joins leave the texts where they are
+    texts = store_by_key(documents.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), text.cast("binary").alias("data")), "row")
     members = store(texts.mapInArrow(lambda it: _anchors(it, length), MEMBER))
     repeats, rest = _settle(members, ["inner"], OFFSETS)
     found = [store(repeats)]
