@@ -2,8 +2,8 @@
 
 Token counts are summed to cells of source, language and topic. Sweeps scale the cells
 until their source, language and topic sums meet the targets; a cell's fitted tokens over
-its real ones, scaled so that the largest is one, is the probability with which each of
-its documents is taken. The draw hashes the document, so it repeats on any cluster.
+its real ones, scaled to a budget of tokens and at most one, is the probability with which
+each of its documents is taken. The draw hashes the document, so it repeats on any cluster.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ DIMENSIONS = ("source", "language", "topic")
 TEMPER = {"source": 0.6, "language": 0.7, "topic": 0.8}
 TOLERANCE = 1e-4  # largest relative miss of a target that ends the sweeps
 SWEEPS = 25
+KEPT = 0.2  # least share of the tokens that is kept, whatever the rarest cell holds
 SEED = 17
 MISSING = "(none)"
 
@@ -81,32 +82,59 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     return now
 
 
-def with_probabilities(fitted: DataFrame) -> DataFrame:
-    """Probability of each cell's documents: fitted over real tokens, the largest scaled to one; 1 for cells without tokens."""
+def budget_scale(fitted: DataFrame, kept: float) -> float:
+    """The c at which sum(least(1, c * fitted / tokens) * tokens) is `kept` of all tokens, or of those that targets allow if these are fewer.
+
+    Each round takes the cells that c fills as settled and solves for the others; c only
+    rises, so cells stay settled. A round is one sum over the cells.
+    """
+    taken = F.col("fitted") > 0
+    everything, allowed = (x or 0 for x in fitted.agg(F.sum("tokens"), F.sum(F.when(taken, F.col("tokens")))).first())
+    wanted, scale = min(kept * everything, allowed), 0.0
+    while True:
+        full = taken & (F.lit(scale) * F.col("fitted") >= F.col("tokens"))
+        settled, slope = (x or 0 for x in fitted.where("tokens > 0").agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("fitted")))).first())
+        after = (wanted - settled) / slope if slope > 0 else scale
+        if after <= scale * (1 + 1e-12):
+            return scale
+        scale = after
+
+
+def with_probabilities(fitted: DataFrame, kept: float | None = None) -> DataFrame:
+    """Probability of each cell's documents: fitted over real tokens times a scale, at most 1; 1 for cells without tokens.
+
+    With `kept` the scale is that which takes this share of all tokens. Without, the largest
+    ratio is scaled to one if that takes KEPT of the tokens or more, and else the scale is
+    that for KEPT: cells that are too rare for their targets are taken whole.
+    """
     ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens"))
-    top = fitted.agg(F.max(ratio)).first()[0]
-    return fitted.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.round(ratio / F.lit(top or 1.0), 9)), F.lit(1.0)))
+    scale = budget_scale(fitted, KEPT if kept is None else kept)
+    if kept is None:
+        scale = max(scale, 1 / (fitted.agg(F.max(ratio)).first()[0] or 1.0))
+    return fitted.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.round(ratio * F.lit(scale), 9)), F.lit(1.0)))
 
 
-def calibrate(described: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def calibrate(described: DataFrame, targets: dict[str, DataFrame] | None = None, kept: float | None = None) -> DataFrame:
     """(dimensions, tokens, fitted, probability) of each cell of documents with their dimensions and n_tokens."""
     cells = store(described.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     if targets is None:
         targets = {d: store(tempered_targets(cells, d, TEMPER[d])) for d in DIMENSIONS}
-    return store(with_probabilities(rake(cells, targets)))
+    return store(with_probabilities(rake(cells, targets), kept))
 
 
 def mix(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, id_col: str = "doc_id",
-        text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED) -> DataFrame:
+        text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED,
+        kept: float | None = None) -> DataFrame:
     """(id, source, language, topic, n_tokens, probability, weight, selected) of every row.
 
-    weight is the share of all fitted tokens that the document stands for. A null source,
+    weight is the share of all fitted tokens that the document stands for; kept is the share
+    of tokens to take (see `with_probabilities`). A null source,
     language or topic is a value of its own; null and empty texts have no tokens and
     are always taken; repeated rows share their draw; an empty table gives an empty result.
     """
     columns = _described(source_col, lang_col, topic, id_col, text_col, seed)
     rows = store(documents.select(F.col(id_col).alias("_id"), *[c.alias(k) for k, c in columns.items()]))
-    cells = calibrate(rows, targets)
+    cells = calibrate(rows, targets, kept)
     share = F.when(F.col("tokens") > 0, F.col("fitted") * F.col("n_tokens") / F.col("tokens")).otherwise(0.0)
     return rows.join(cells, list(DIMENSIONS)).select(
         F.col("_id").alias(id_col), *DIMENSIONS, "n_tokens", "probability", share.alias("weight"),
@@ -115,11 +143,12 @@ def mix(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topic
 
 
 def sample_documents(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, id_col: str = "doc_id",
-                     text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED) -> DataFrame:
+                     text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED,
+                     kept: float | None = None) -> DataFrame:
     """The rows of `documents`, all columns, that `mix` selects."""
     columns = _described(source_col, lang_col, topic, id_col, text_col, seed)
     described = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(documents.columns)], *[c.alias(f"_{k}") for k, c in columns.items()])
-    cells = calibrate(documents.select(*[c.alias(k) for k, c in columns.items() if k != "draw"]), targets)
+    cells = calibrate(documents.select(*[c.alias(k) for k, c in columns.items() if k != "draw"]), targets, kept)
     cells = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
     out = described.join(cells, [f"_{d}" for d in DIMENSIONS]).where(F.col("_draw") < F.col("_probability"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])

@@ -59,3 +59,20 @@ def test_odd_rows(spark):
         (2, "s", "(none)", "prose", 9000), (3, "(none)", "en", "table", 1)], key=str)
     assert mixing.sample_documents(df).columns == df.columns
     assert mixing.mix(df.limit(0)).collect() == []
+
+
+def test_rare_cells_do_not_set_the_kept_share(spark):
+    rows = [("a", 600_000, .5), ("b", 400_000, .44), ("rare", 20, .03), ("rarer", 3, .03), ("none", 0, 0.0), ("unwanted", 50_000, 0.0)]
+    fitted = spark.createDataFrame(rows, "source string, tokens bigint, fitted double")
+    total = sum(r[1] for r in rows)
+    for kept, want in ((None, mixing.KEPT), (0.05, 0.05), (0.7, 0.7), (1.0, 1 - 50_000 / total)):
+        got = {r.source: r for r in mixing.with_probabilities(fitted, kept).collect()}
+        assert math.isclose(sum(r.probability * r.tokens for r in got.values()), want * total, rel_tol=1e-6)
+        assert got["rare"].probability == got["rarer"].probability == got["none"].probability == 1 and got["unwanted"].probability == 0
+        assert kept == 1.0 or kept == 0.7 or math.isclose(got["b"].probability / got["a"].probability, .44 / 400_000 * 600_000 / .5, rel_tol=1e-4)
+
+
+def test_one_rare_document_leaves_the_others(spark):
+    docs = [(i, "a b c d e f g h i j " * 20, "xy"[i % 7 == 0], "en") for i in range(4000)] + [(9999, "one short text", "z", "fr")]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")).collect()
+    assert sum(r.probability * r.n_tokens for r in got) >= 0.999 * mixing.KEPT * sum(r.n_tokens for r in got)
