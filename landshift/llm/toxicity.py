@@ -14,10 +14,10 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landshift.llm.storage import discard, store
@@ -36,11 +36,15 @@ PART = 32  # a longer token is read in parts of so many characters
 BEAM = 12
 PREFIXES = (4, 5)
 SUPPORT = 5  # toxic documents a feature must be in
-FEATURES = 100_000  # most frequent features of toxic documents that are weighed; bounds the broadcast
+FEATURES = 100_000  # more weights, or FEATURE_CHARS of their names, are joined and not broadcast
+FEATURE_CHARS = 4_000_000
+FILTER_BITS = 1 << 23  # of the filter that goes before the join
+COUNTED = 100_000  # features a task counts before it sends them on
 STRENGTH = 6.0  # documents that the base rate counts for
 PURITY = 0.8  # least share of toxic documents among those that hold a feature
 EVIDENCE = 0.5  # weaker features say nothing
 CACHED = 200_000
+CACHED_FEATURES = 50_000
 COUNTED_CHARS = 2_000_000
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'`()[]{}<>|/\\*#$%&@~^+=_-—–…«»“”„’‘¡¿"
 
@@ -163,26 +167,43 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) >= n)]
 
 
-def document_features(text: str, model: np.ndarray) -> set[str]:
-    tokens = text.lower().split()
-    out: set[str] = set()
-    for token in [*set(tokens), *spaced(tokens)]:
-        for word in readings(token, model):
-            out.update(features(word))
-    return out
+class Features(dict):
+    """Features of the words that a token may be."""
+
+    def __init__(self, model: np.ndarray) -> None:
+        self.model = model
+
+    def of(self, token: str) -> set[str]:
+        return {f for word in readings(token, self.model) for f in features(word)}
+
+    def __missing__(self, token: str) -> set[str]:
+        if len(self) > CACHED_FEATURES:
+            self.clear()
+        self[token] = out = self.of(token)
+        return out
+
+    def document(self, text: str | None) -> set[str]:
+        tokens = text.lower().split() if text else []
+        return set().union(*map(self.__getitem__, set(tokens)), *map(self.of, spaced(tokens)))
 
 
 def _count_features(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that hold a feature; only features in `wanted` where that is given."""
-    model, wanted = shared.value
+    """Toxic and clean documents that hold a feature."""
+    found, counts = Features(shared.value), (Counter(), Counter())
+
+    def out() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (counts[1], counts[0]))]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
+
     for batch in batches:
-        counts: Counter[str] = Counter()
-        for text in batch.column("text"):
-            found = document_features(text.as_py(), model)
-            counts.update(found if wanted is None else found & wanted)
-        items = iter(counts.items())
-        while some := list(islice(items, 20_000)):
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["feature", "n"])
+        for text, toxic in zip(batch.column("text"), batch.column("toxic")):
+            counts[bool(toxic.as_py())].update(found.document(text.as_py()))
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield out()
+    yield out()
 
 
 class ToxicityModel:
@@ -210,35 +231,23 @@ class ToxicityModel:
         return max(best, self.base)
 
 
-def fit(labelled: DataFrame, characters: np.ndarray) -> ToxicityModel:
-    """A model from rows (text, toxic 0/1) without nulls.
-
-    Features of toxic documents are counted first; the most frequent FEATURES of those
-    in at least SUPPORT documents are then counted in the clean ones.
-    """
-    context = labelled.sparkSession.sparkContext
+def fit(labelled: DataFrame, characters: np.ndarray) -> tuple[DataFrame, float]:
+    """Weights (feature, weight), a stored table that grows with the rows, and the base rate, from rows (text, toxic 0/1) without nulls."""
     sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     base = min(0.4, (toxic + 0.5) / (toxic + clean + 1)) / 2
-    schema = "feature string, n bigint"
-
-    def counted(label: int, wanted: frozenset | None) -> DataFrame:
-        shared = context.broadcast((characters, wanted))
-        rows = labelled.where(F.col("toxic") == label).select("text")
-        return rows.mapInArrow(lambda it: _count_features(it, shared), schema).groupBy("feature").agg(F.sum("n").alias("n"))
-
-    held = {r.feature: r.n for r in counted(1, None).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature").limit(FEATURES).collect()}
-    for word, n in list(held.items()):  # a beginning that one word accounts for says no more than the word
-        for feature in features(word)[1:] if not word.endswith("-") else ():
-            if 2 * n >= held.get(feature, n * 3):
-                del held[feature]
-    other = {r.feature: r.n for r in counted(0, frozenset(held)).collect()}
-    rate = toxic / max(1, toxic + clean)
-    weights = {
-        f: (n + STRENGTH * rate) / (n + other.get(f, 0) + STRENGTH)
-        for f, n in held.items() if n >= PURITY * (n + other.get(f, 0))
-    }
-    return ToxicityModel(characters, {f: w for f, w in weights.items() if w > EVIDENCE}, base)
+    shared = labelled.sparkSession.sparkContext.broadcast(characters)
+    counts = labelled.where(F.col("toxic").isin(0, 1)).select("text", "toxic").mapInArrow(lambda it: _count_features(it, shared), "feature string, toxic bigint, clean bigint")
+    held = store(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= SUPPORT))
+    # a beginning that one word accounts for says no more than the word
+    begins = F.array_compact(F.array(*[F.when(F.length("feature") >= n, F.concat(F.substring("feature", 1, n), F.lit("-"))) for n in PREFIXES]))
+    words = held.where(~F.col("feature").endswith("-")).select(F.explode(begins).alias("feature"), "toxic").groupBy("feature").agg(F.max("toxic").alias("most"))
+    own = held.join(words, "feature", "left").where(F.col("most").isNull() | (2 * F.col("most") < F.col("toxic")))
+    every = F.col("toxic") + F.col("clean")
+    weight = (F.col("toxic") + F.lit(STRENGTH * toxic / max(1, toxic + clean))) / (every + F.lit(STRENGTH))
+    weights = store(own.where(F.col("toxic") >= F.lit(PURITY) * every).select("feature", weight.alias("weight")).where(F.col("weight") > EVIDENCE))
+    discard(held)
+    return weights, base
 
 
 _MODELS: dict[str, ToxicityModel] = {}  # of this worker, so that token scores outlive a task
@@ -254,12 +263,51 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
 
-def predict(documents: DataFrame, model: ToxicityModel, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """`keep` of every row with score (the base rate for null, empty and unsuspicious texts) and predicted."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(*keep, F.col(text_col).cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    out = rows.mapInArrow(lambda it: _score(it, shared), ", ".join([*fields, "score double"]))
+def feature_filter(weights: DataFrame) -> np.ndarray:
+    """A bit for each hash of a feature, in words of 64; the driver receives one row per word, of which there are FILTER_BITS / 64."""
+    bits = weights.select(F.pmod(F.xxhash64("feature"), F.lit(FILTER_BITS)).alias("bit"))
+    words = bits.groupBy(F.expr("bit DIV 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("word")).collect()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words:
+        out[r["at"]] = r.word
+    return out
+
+
+def _held(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """In place of a text those of its features that the filter lets through."""
+    characters, bits = shared.value
+    found, words = Features(characters), bits.view(np.uint64).tolist()
+
+    def passes(feature: str) -> int:
+        at = xxhash.xxh64_intdigest(feature.encode("utf-8", "replace"), 42) % FILTER_BITS
+        return words[at >> 6] >> (at & 63) & 1
+
+    for batch in batches:
+        held = [list(filter(passes, found.document(t.as_py()))) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, pa.list_(pa.string()))], [*batch.schema.names[:-1], "features"])
+
+
+def predict(documents: DataFrame, characters: np.ndarray, weights: DataFrame, base: float, keep: list[Column], text_col: str = "text") -> DataFrame:
+    """`keep` of every row with score (the base rate for null, empty and unsuspicious texts) and predicted.
+
+    Few weights are broadcast; more are joined with the features of the rows, with the same scores.
+    """
+    context = documents.sparkSession.sparkContext
+    text = F.col(text_col).cast("string").alias("text")
+    n, chars = weights.agg(F.count(F.lit(1)), F.sum(F.length("feature"))).first()
+    if n <= FEATURES and (chars or 0) <= FEATURE_CHARS:
+        shared = context.broadcast(ToxicityModel(characters, {r.feature: r.weight for r in weights.collect()}, base))
+        rows = documents.select(*keep, text)
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+        out = rows.mapInArrow(lambda it: _score(it, shared), ", ".join([*fields, "score double"]))
+    else:
+        shared = context.broadcast((characters, feature_filter(weights)))
+        rows = documents.select(*keep, F.monotonically_increasing_id().alias("_row"), text)
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+        held = store(rows.mapInArrow(lambda it: _held(it, shared), ", ".join([*fields, "features array<string>"])))
+        best = held.select("_row", F.explode("features").alias("feature")).join(weights, "feature").groupBy("_row").agg(F.max("weight").alias("_best"))
+        score = F.greatest(F.coalesce("_best", F.lit(0.0)), F.lit(base)).alias("score")
+        out = held.join(best, "_row", "left").select(*[F.col(f"`{f.name}`") for f in rows.schema.fields[:-2]], score)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -280,6 +328,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     texts = documents.where(F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     # the labels grow with the documents, so their join is never a broadcast
     labelled = store(texts.join(marked.hint("merge"), "_id").select("text", "toxic"))
-    model = fit(labelled, character_model(documents, text_col))
+    characters = character_model(documents, text_col)
+    weights, base = fit(labelled, characters)
     discard(labelled)
-    return predict(documents, model, [F.col(id_col), held_out(id_col).alias("held_out")], text_col)
+    return predict(documents, characters, weights, base, [F.col(id_col), held_out(id_col).alias("held_out")], text_col)

@@ -69,3 +69,16 @@ def test_edges(spark):
     assert got == [(100, 0), (101, 1), (101, 1), (102, 0), (103, 1), (None, 0)]
     assert {r.predicted for r in tx.score_toxicity(df, labels.limit(0)).collect()} == {0}
     assert tx.score_toxicity(df.limit(0), labels).collect() == []
+
+
+def test_any_number_of_features(spark, monkeypatch):
+    """A rare pure word keeps its weight beside more frequent ones, and joined weights score as broadcast ones do."""
+    docs = [(i, f"you idiot {'blockhead' if i < 12 else 'fool'} go away" if i % 2 else f"have a nice day {i}") for i in range(80)]
+    docs += [(100, "blockhead"), (101, ""), (None, None), (102, "you 1d10t"), (102, "b l o c k h e a d"), (103, "a nice day")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    score = lambda: sorted(((r.doc_id, r.held_out, r.score, r.predicted) for r in tx.score_toxicity(df, labels).collect()), key=str)
+    want = score()
+    monkeypatch.setattr(tx, "FEATURES", 3)
+    monkeypatch.setattr(tx, "COUNTED", 10)
+    assert score() == want and {p for d, _, _, p in want if d == 100} == {1}
