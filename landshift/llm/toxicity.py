@@ -14,6 +14,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ LOOKALIKES = {
 }
 REPLACED, REPEATED, DROPPED, KEPT_RUN, KEPT_GAP = -1.0, -0.5, -3.0, -4.0, -1.0  # log costs of the channel
 
+JOINERS = ".-_"  # may stand between the letters of a word or between words
+
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 SIZE = 64  # character classes: white space or sign, the letters above, any other letter
 OTHER = len(LETTERS) + 1
-PART = 32  # a longer token is read in parts of so many characters
+SETTLED = 1024  # characters after which what all readings share is settled
 BEAM = 12
 PREFIXES = (4, 5)
 SUPPORT = 5  # toxic documents a feature must be in
@@ -109,29 +112,47 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 ways = [(c, KEPT_RUN if long else 0.0), ("", REPEATED if long else DROPPED)]
         elif c == " ":
             ways = [("", 0.0), (" ", KEPT_GAP)]
+        elif c in JOINERS:
+            ways = [("", REPLACED), (" ", REPLACED + KEPT_GAP)]
         else:
             ways = [(a, REPLACED) for a in LOOKALIKES.get(c, "")] + [("", DROPPED if c in LOOKALIKES else REPLACED)]
         out.append(ways)
     return out
 
 
+def _spelled(made: tuple | None) -> str:
+    parts = []
+    while made:
+        made, c = made
+        parts.append(c)
+    return "".join(reversed(parts))
+
+
 def decode(token: str, model: np.ndarray) -> str:
-    """Likeliest reading of a lower-case token, best of its lattice under the character model."""
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in lattice(token):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in beam.items():
+    """Likeliest reading of a lower-case token of any length, best of its lattice under the character model.
+
+    Readings share their beginnings as linked pairs; what all of them begin with is settled from time to time.
+    """
+    settled: list[str] = []
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for at, ways in enumerate(lattice(token), 1):
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, made) in beam.items():
             for c, cost in ways:
                 if c:
                     k = CLASS.get(c, 0 if c == " " else OTHER)
-                    state, total, made = (b, k), score + cost + float(model[a, b, k]), text + c
+                    state, total, text = (b, k), score + cost + float(model[a, b, k]), (made, c)
                 else:
-                    state, total, made = (a, b), score + cost, text
-                if state not in step or (total, made) > step[state]:
-                    step[state] = (total, made)
-        beam = step if len(step) <= BEAM else dict(sorted(step.items(), key=lambda x: x[1], reverse=True)[:BEAM])
-    ends = [(score + float(model[a, b, 0]), text) for (a, b), (score, text) in beam.items()]
-    return max(ends)[1] if ends else ""
+                    state, total, text = (a, b), score + cost, made
+                if state not in step or total > step[state][0]:
+                    step[state] = (total, text)
+        beam = step if len(step) <= BEAM else dict(sorted(step.items(), key=lambda x: x[1][0], reverse=True)[:BEAM])
+        if at % SETTLED == 0:
+            texts = {state: _spelled(made) for state, (_, made) in beam.items()}
+            settled.append(commonprefix(list(texts.values())))
+            beam = {state: (score, (None, texts[state][len(settled[-1]):])) for state, (score, _) in beam.items()}
+    ends = [(score + float(model[a, b, 0]), _spelled(made)) for (a, b), (score, made) in beam.items()]
+    return "".join(settled) + max(ends)[1]
 
 
 _PLAIN_RUN = re.compile(r"(.)\1\1")
@@ -143,10 +164,8 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     if core.isalpha() and not _PLAIN_RUN.search(core):
         return [core]
     found = [core] if core else []
-    for at in range(0, len(token), PART):
-        part = token[at:at + PART]
-        if any(map(str.isalpha, part)):
-            found += decode(part.strip(" .,;:?\"'()[]"), model).split()
+    if any(map(str.isalpha, token)):
+        found += decode(token.strip(" .,;:?\"'()[]"), model).split()
     return found
 
 
@@ -160,7 +179,7 @@ def spaced(tokens: list[str]) -> list[str]:
             run = []
         run.append(i)
     runs.append(run)
-    return [" ".join(tokens[i].strip(EDGE) or tokens[i] for i in r[k:k + PART // 2]) for r in runs if len(r) > 2 for k in range(0, len(r), PART // 2)]
+    return [" ".join(tokens[i].strip(EDGE) or tokens[i] for i in r) for r in runs if len(r) > 2]
 
 
 def features(word: str) -> list[str]:

@@ -82,3 +82,21 @@ def test_any_number_of_features(spark, monkeypatch):
     monkeypatch.setattr(tx, "FEATURES", 3)
     monkeypatch.setattr(tx, "COUNTED", 10)
     assert score() == want and {p for d, _, _, p in want if d == 100} == {1}
+
+
+@pytest.mark.parametrize("joiner", [" ", ".", "-", "_"])
+def test_words_anywhere_in_a_long_run(characters, joiner, monkeypatch):
+    monkeypatch.setattr(tx, "SETTLED", 7)
+    letters = "youareanidiotandastupidpersonsoyouseeamoronandanidiot"
+    for stray in range(0, 20):
+        token = joiner.join("i" * (stray % 2) + "you" * (stray // 2) + letters)
+        (run,) = tx.spaced(token.split()) if joiner == " " else [token]
+        assert {"idiot", "stupid", "moron"} <= set(tx.readings(run, characters)), token
+
+
+def test_settling_changes_no_reading(characters, monkeypatch):
+    token = "y0u-ar3-@n-1d10t_4nd.a.st*p1d-p3rs*n" * 3
+    want = tx.decode(token, characters)
+    monkeypatch.setattr(tx, "SETTLED", 2)
+    assert tx.decode(token, characters) == want
+    assert len(tx.decode("ab1" * 20_000, characters)) >= 40_000
