@@ -155,17 +155,17 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(settled) + max(ends)[1]
 
 
-_PLAIN_RUN = re.compile(r"(.)\1\1")
+_DOUBLED = re.compile(r"(.)\1")
 
 
 def readings(token: str, model: np.ndarray) -> list[str]:
-    """Words that a lower-case token may be: itself without outer signs and, if it is suspicious, its restored form."""
+    """Words that a lower-case token may be: itself without outer signs and, unless it is of letters none of which is doubled, its restored form."""
     core = token.strip(EDGE)
-    if core.isalpha() and not _PLAIN_RUN.search(core):
+    if core.isalpha() and not _DOUBLED.search(core):
         return [core]
     found = [core] if core else []
     if any(map(str.isalpha, token)):
-        found += decode(token.strip(" .,;:?\"'()[]"), model).split()
+        found += [w for w in decode(token.strip(" .,;:?\"'()[]"), model).split() if w != core]
     return found
 
 

@@ -84,6 +84,11 @@ def test_any_number_of_features(spark, monkeypatch):
     assert score() == want and {p for d, _, _, p in want if d == 100} == {1}
 
 
+@pytest.mark.parametrize("token, word", [("stuupid", "stupid"), ("idiiot", "idiot"), ("mmoron", "moron")])
+def test_doubled_letters(characters, token, word):
+    assert tx.readings(token, characters) == [token, word]
+
+
 @pytest.mark.parametrize("joiner", [" ", ".", "-", "_"])
 def test_words_anywhere_in_a_long_run(characters, joiner, monkeypatch):
     monkeypatch.setattr(tx, "SETTLED", 7)
