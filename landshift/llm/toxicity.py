@@ -36,7 +36,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòó
 SIZE = 64  # character classes: white space or sign, the letters above, any other letter
 OTHER = len(LETTERS) + 1
 SETTLED = 1024  # characters after which what all readings share is settled
-BEAM = 12
+BEAM = SIZE**2  # states there are at most; all are kept
 PREFIXES = (4, 5)
 SUPPORT = 5  # toxic documents a feature must be in
 FEATURES = 100_000  # more weights, or FEATURE_CHARS of their names, are joined and not broadcast
@@ -146,7 +146,7 @@ def decode(token: str, model: np.ndarray) -> str:
                     state, total, text = (a, b), score + cost, made
                 if state not in step or total > step[state][0]:
                     step[state] = (total, text)
-        beam = step if len(step) <= BEAM else dict(sorted(step.items(), key=lambda x: x[1][0], reverse=True)[:BEAM])
+        beam = step
         if at % SETTLED == 0:
             texts = {state: _spelled(made) for state, (_, made) in beam.items()}
             settled.append(commonprefix(list(texts.values())))

@@ -84,7 +84,7 @@ def test_any_number_of_features(spark, monkeypatch):
     assert score() == want and {p for d, _, _, p in want if d == 100} == {1}
 
 
-@pytest.mark.parametrize("token, word", [("stuupid", "stupid"), ("idiiot", "idiot"), ("mmoron", "moron")])
+@pytest.mark.parametrize("token, word", [("stuupid", "stupid"), ("idiiot", "idiot"), ("mmoron", "moron"), ("morron", "moron")])
 def test_doubled_letters(characters, token, word):
     assert tx.readings(token, characters) == [token, word]
 
@@ -105,3 +105,15 @@ def test_settling_changes_no_reading(characters, monkeypatch):
     monkeypatch.setattr(tx, "SETTLED", 2)
     assert tx.decode(token, characters) == want
     assert len(tx.decode("ab1" * 20_000, characters)) >= 40_000
+
+
+@pytest.mark.parametrize("token", ["*#1#e", "1*1#e", "y*a##e", "st*p1d", "m0r0n"])
+def test_viterbi_is_best_as_it_runs(characters, token):
+    """Against all readings, with the values that queries run with."""
+
+    def score(text):
+        k = [0, 0, *(tx.CLASS.get(c, 0 if c == " " else tx.OTHER) for c in text), 0]
+        return sum(float(characters[t]) for t in zip(k, k[1:], k[2:]))
+
+    best = max((sum(w[1] for w in ways) + score(t := "".join(w[0] for w in ways)), t) for ways in itertools.product(*tx.lattice(token)))
+    assert tx.decode(token, characters) == best[1]
