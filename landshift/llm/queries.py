@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from landshift.llm.alignment import align_tokenizers
 from landshift.llm.bpe import encode_decode
 from landshift.llm.exact_dedup import exact_dedup
 from landshift.llm.language_id import identify_languages
 from landshift.llm.licenses import scan_licenses
+from landshift.llm.merkle import merkle_manifest
 from landshift.llm.mixing import mix
 from landshift.llm.simhash import simhash_components
 from landshift.llm.substring_dedup import remove_seen_windows
@@ -127,3 +129,69 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("licenses").alias("n_licenses"), F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"),
         F.array_join("licenses.template", ",").alias("templates"), F.to_json("licenses").alias("licenses"),
     )
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokenizers(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query("op13_merkle_manifest", """
+WITH RECURSIVE d AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text,
+         list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+           lambda crc, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), 4294967295) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, xor(crc, 4294967295) % 5 = 0 AS tampered,
+         sha256(concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'),
+           coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+         sha256(concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'),
+           coalesce(strlen(lower_text) || ':' || lower_text, '-'))) AS changed
+  FROM d
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes AS (
+  SELECT tree, 0 AS level, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, n, i // 16
+), subroots AS (
+  SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM upper_nodes WHERE n > 1 GROUP BY level, n, i // 16
+), fold AS (
+  SELECT tree, i AS leaf_i, 0 AS level, i, n, CASE WHEN tampered THEN changed ELSE leaf END AS h FROM placed
+  UNION ALL
+  SELECT f.tree, leaf_i, f.level + 1, f.i // 16, (f.n + 15) // 16, sha256(string_agg(CASE WHEN x.i = f.i THEN f.h ELSE x.h END, '' ORDER BY x.i))
+  FROM fold f JOIN nodes x ON x.tree = f.tree AND x.level = f.level AND x.i // 16 = f.i // 16
+  WHERE f.n > 1 GROUP BY f.tree, leaf_i, f.level, f.n, f.i // 16
+), upper_fold AS (
+  SELECT f.tree, leaf_i, 0 AS level, s.i, s.n, f.h FROM fold f JOIN subroots s USING (tree) WHERE f.n = 1
+  UNION ALL
+  SELECT f.tree, leaf_i, f.level + 1, f.i // 16, (f.n + 15) // 16, sha256(string_agg(CASE WHEN x.i = f.i THEN f.h ELSE x.h END, '' ORDER BY x.i))
+  FROM upper_fold f JOIN upper_nodes x ON x.level = f.level AND x.i // 16 = f.i // 16
+  WHERE f.n > 1 GROUP BY f.tree, leaf_i, f.level, f.n, f.i // 16
+), steps AS (
+  SELECT p.tree, p.i AS leaf_i, x.level, x.i, x.h FROM placed p JOIN nodes x
+    ON x.tree = p.tree AND x.n > 1 AND x.i // 16 = p.i // CAST(16 ** (x.level + 1) AS BIGINT) AND x.i <> p.i // CAST(16 ** x.level AS BIGINT)
+  UNION ALL
+  SELECT p.tree, p.i, 100 + x.level, x.i, x.h FROM placed p JOIN subroots s ON s.tree = p.tree JOIN upper_nodes x
+    ON x.n > 1 AND x.i // 16 = s.i // CAST(16 ** (x.level + 1) AS BIGINT) AND x.i <> s.i // CAST(16 ** x.level AS BIGINT)
+), proofs AS (
+  SELECT tree, leaf_i, sha256(string_agg(h, '' ORDER BY level, i)) AS proof FROM steps GROUP BY tree, leaf_i
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN upper_fold f ON f.tree = p.tree AND f.leaf_i = p.i AND f.n = 1
+JOIN upper_nodes r ON r.n = 1 LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_i = p.i
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
