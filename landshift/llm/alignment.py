@@ -6,12 +6,12 @@ among those it overlaps, or to itself where none reaches farther; doubling the s
 all tokens at once, until nothing moves, leads each to the last token of its group, which
 names the group.
 
-A space between two characters that are no white space is such a place for every byte-level and
-every prefix-space vocabulary used here, whatever stands around it. A text is therefore aligned
-unit by unit, and a unit (a word with the space before it) is tokenized once per worker, not
-once per occurrence. How often two ids are linked is counted over the corpus; the most
-frequent pairs are broadcast, up to a fixed number, and links of the others meet their count
-in a join.
+A single space or line feed between two characters that are no white space is such a place, whatever
+stands around it: no piece of either vocabulary reaches over its front. A text is therefore aligned
+unit by unit, and a unit (a word with the space or line feed before it) is tokenized once per worker as long
+as it is remembered, not once per occurrence. The links of every text are written once; how
+often two ids are linked is counted over all of them. The most frequent pairs are broadcast, up
+to a fixed number, and links of the others meet their count in a join.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,16 @@ CACHED_BYTES = 64_000_000  # of these units' texts
 CHUNK_CHARS = 2_000_000  # of texts handled at once
 CHUNK_ROWS = 512
 
-_ODD_SPACE = re.compile(r"^\s|\s$|\s\s")
-_BORDER = re.compile(r"(?<=\S) (?=\S)")
+_UNIT = re.compile(r"[ \n]\S+")
+_BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def units(text: str) -> list[str]:
-    """The text in parts that both tokenizers cut at, each without the space before it."""
-    return _BORDER.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    """A space and the text, in parts that both tokenizers cut at."""
+    line = " " + text
+    found = _UNIT.findall(line)
+    return found if sum(map(len, found)) == len(line) else _BORDER.split(line)
 
 
 class Tokenizers:
@@ -66,6 +69,10 @@ class Tokenizers:
         self._a = tiktoken.Encoding(uuid.uuid4().hex, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [self._piece(i) for i in range(self._b.get_piece_size())]
+        self.front = self._b.piece_to_id("▁")  # what B puts before a text that starts with white space
+        # a space starts a piece of B, and a line feed is a byte of its own
+        if any("▁" in p.lstrip("▁") or ("\n" in p and len(p) > 1) for p in map(self._b.id_to_piece, range(len(self.b_bytes)))):
+            raise ValueError("vocabulary B has pieces that reach over a space or a line feed")
         self.a_length = np.array(list(map(len, self.a_bytes)), dtype=np.int64)
         self.b_length = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
 
@@ -76,12 +83,14 @@ class Tokenizers:
     def __call__(self, some: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """Ids of A and B per unit, and whether the bytes of both are those of the unit; ids of others are dropped."""
         encode = self._a.encode_ordinary
-        a = [encode(" " + u) for u in some]
-        b = self._b.encode(some, num_threads=1)
+        a = list(map(encode, some))
+        b = self._b.encode([u[u[0] == " ":] for u in some], num_threads=1)
         ok = np.zeros(len(some), dtype=bool)
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for i, unit in enumerate(some):
-            data = b" " + unit.encode()
+            data = unit.encode()
+            if unit[0] != " " and b[i][:1] == [self.front]:
+                del b[i][0]
             ok[i] = b"".join(map(a_bytes, a[i])) == data == b"".join(map(b_bytes, b[i]))
             if not ok[i]:
                 a[i], b[i] = [], []
@@ -110,10 +119,10 @@ def links(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Units:
     """Aligned units of a worker; `add` gives each a number, by which the columns are read."""
 
-    COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "ok", "n_best", "count_sum", "n_tail")
+    COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "ok")
 
-    def __init__(self, tokenizers: Tokenizers, counts: PairCounts | None) -> None:
-        self.tokenizers, self.counts = tokenizers, counts
+    def __init__(self, tokenizers: Tokenizers) -> None:
+        self.tokenizers = tokenizers
         self.clear()
 
     def clear(self) -> None:
@@ -122,7 +131,6 @@ class Units:
         self.size = 0
         self._parts: list[dict[str, np.ndarray]] = []
         self._keys: list[np.ndarray] = []
-        self._tails: list[np.ndarray] = []
 
     def full(self) -> bool:
         return len(self.number) > CACHED_UNITS or self.size > CACHED_BYTES
@@ -132,12 +140,11 @@ class Units:
             self._parts = [{c: np.concatenate([p[c] for p in self._parts]) for c in self.COLUMNS}]
         return self._parts[0][name] if self._parts else np.empty(0, dtype=np.int64)
 
-    def keys(self, tail: bool = False) -> np.ndarray:
-        """Pairs of ids of all links in the order of the units; with `tail`, those whose count is not at hand."""
-        held = self._tails if tail else self._keys
-        if len(held) > 1:
-            held[:] = [np.concatenate(held)]
-        return held[0] if held else np.empty(0, dtype=np.int64)
+    def keys(self) -> np.ndarray:
+        """Pairs of ids of all links in the order of the units."""
+        if len(self._keys) > 1:
+            self._keys = [np.concatenate(self._keys)]
+        return self._keys[0] if self._keys else np.empty(0, dtype=np.int64)
 
     def add(self, some: list[str]) -> None:
         """Align units that are not yet known."""
@@ -151,7 +158,7 @@ class Units:
         a_ids, b_ids = (np.fromiter((i for x in y for i in x), np.int64, n) for y, n in ((a, n_a.sum()), (b, n_b.sum())))
         zero = np.zeros(len(some), dtype=np.int64)
         part = {c: zero for c in self.COLUMNS} | {"n_a": n_a, "n_b": n_b, "ok": ok.astype(np.int64)}
-        keys = tails = np.empty(0, dtype=np.int64)
+        keys = np.empty(0, dtype=np.int64)
         strings = [""] * len(some)
         if len(a_ids):
             a_end, b_end = np.cumsum(self.tokenizers.a_length[a_ids]), np.cumsum(self.tokenizers.b_length[b_ids])
@@ -164,17 +171,8 @@ class Units:
             part["n_links"] = np.diff(np.searchsorted(ends, unit_end, "right"), prepend=0)
             keys = a_ids[at_a] << 32 | b_ids[at_b]
             strings = self._strings(a_ids, b_ids, last, b_last, part["n_groups"])
-            if self.counts is not None:
-                owner = np.repeat(np.arange(len(some)), part["n_links"])
-                count, best = self.counts.of(keys)
-                known = count > 0
-                part["count_sum"] = np.bincount(owner, count, len(some)).astype(np.int64)
-                part["n_best"] = np.bincount(owner[best], minlength=len(some))
-                part["n_tail"] = np.bincount(owner[~known], minlength=len(some))
-                tails = keys[~known]
         self._parts.append(part)
         self._keys.append(keys)
-        self._tails.append(tails)
         self.groups += strings
 
     @staticmethod
@@ -194,30 +192,14 @@ class Units:
         return out
 
 
-class PairCounts:
-    """Counts of the most frequent pairs of ids, sorted by pair, and the highest count of each id of B."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> None:
-        self.keys, self.counts, self.highest = keys, counts, best
-
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each pair, zero where it is not at hand, and whether it is the highest of its id of B."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        count = np.where(self.keys[at] == keys, self.counts[at], 0)
-        return count, (count > 0) & (count == self.highest[keys & 0xFFFFFFFF])
-
-
-_HELD: dict[str, Units] = {}  # of this worker; one at a time
+_HELD: dict[tuple[str, str], Units] = {}  # of this worker; one pair of tokenizers at a time
 
 
-def _held(shared) -> Units:
-    name, a_path, b_path, counts = shared.value
-    if name not in _HELD:
+def _held(a_path: str, b_path: str) -> Units:
+    if (a_path, b_path) not in _HELD:
         _HELD.clear()
-        _HELD[name] = Units(Tokenizers(a_path, b_path), counts)
-    return _HELD[name]
+        _HELD[a_path, b_path] = Units(Tokenizers(a_path, b_path))
+    return _HELD[a_path, b_path]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
@@ -238,7 +220,7 @@ def _numbered(known: Units, texts: list[list[str]]) -> tuple[np.ndarray, np.ndar
     known.add(list(set().union(*texts).difference(known.number)))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     number = known.number.__getitem__
-    return np.fromiter((i for t in texts for i in map(number, t)), np.int64, sizes.sum()), sizes
+    return np.fromiter(chain.from_iterable(map(number, t) for t in texts), np.int64, sizes.sum()), sizes
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -247,61 +229,70 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _folded(known: Units, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(pair, n) of the links of all units, each unit counted as often as its weight says."""
-    n_links = known.column("n_links")
-    weight = np.repeat(weights[:len(n_links)], n_links)
-    keys = known.keys()[weight > 0]
-    pairs, place = np.unique(keys, return_inverse=True)
-    counts = np.zeros(len(pairs), dtype=np.int64)
-    np.add.at(counts, place, weight[weight > 0])
-    for i in range(0, len(pairs), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[i:i + 100_000]), pa.array(counts[i:i + 100_000])], ["pair", "n"])
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    known = _held(shared)
-    weights = np.zeros(len(known.number), dtype=np.int64)
-    for _, texts in _chunks(batches):
-        if known.full():
-            yield from _folded(known, weights)
-            known.clear()
-            weights = np.zeros(0, dtype=np.int64)
-        numbers, sizes = _numbered(known, texts)
-        if not len(numbers):
-            continue
-        whole = _sums(known.column("ok")[numbers], sizes) == sizes
-        found = np.bincount(numbers[np.repeat(whole, sizes)], minlength=len(known.number))
-        found[:len(weights)] += weights
-        weights = found
-    if len(weights):
-        yield from _folded(known, weights)
-
-
-def _align(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    known = _held(shared)
-    tail_type = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
+def _align(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+    known = _held(a_path, b_path)
     for part, texts in _chunks(batches):
         if known.full():
             known.clear()
         numbers, sizes = _numbered(known, texts)
         whole = (_sums(known.column("ok")[numbers], sizes) == sizes) & (sizes > 0)
-        columns = [np.where(whole, _sums(known.column(c)[numbers], sizes), 0) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-        groups = [";".join([known.groups[i] for i in numbers[end - n:end]]) if ok else ""
-                  for ok, n, end in zip(whole, sizes.tolist(), np.cumsum(sizes).tolist())]
-        tails: list[list[dict[str, int]]] = [[] for _ in texts]
-        n_tail = known.column("n_tail")
-        if len(n_tail) and n_tail[numbers].any():
-            first = np.cumsum(n_tail) - n_tail
-            for t in np.flatnonzero(whole & (_sums(n_tail[numbers], sizes) > 0)):
-                end = int(sizes[:t + 1].sum())
-                mine = numbers[end - sizes[t]:end]
-                found = np.concatenate([known.keys(tail=True)[first[i]:first[i] + n_tail[i]] for i in mine if n_tail[i]])
-                pairs, n = np.unique(found, return_counts=True)
-                tails[t] = [{"pair": p, "n": m} for p, m in zip(pairs.tolist(), n.tolist())]
+        columns = [np.where(whole, _sums(known.column(c)[numbers], sizes), 0) for c in ("n_a", "n_b", "n_groups", "n_links")]
+        ends, held, strings = np.cumsum(sizes).tolist(), numbers.tolist(), known.groups.__getitem__
+        groups = [";".join(map(strings, held[end - n:end])) if ok else "" for ok, n, end in zip(whole.tolist(), sizes.tolist(), ends)]
+        n_links = known.column("n_links")
+        mine = numbers[np.repeat(whole, sizes)]
+        count = n_links[mine]
+        # each unit's links, one after another
+        at = np.repeat((np.cumsum(n_links) - n_links)[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns[:-1], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(groups, pa.string()), _lists(known.keys()[at], columns[-1])],
+            [*part.schema.names[:-1], "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n) of the links of each batch."""
+    for batch in batches:
+        pairs, n = np.unique(batch.column("links").flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    counts = shared.value
+    names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups"]
+    for batch in batches:
+        links = batch.column("links")
+        pairs, sizes = links.flatten().to_numpy().astype(np.int64), links.value_lengths().to_numpy()
+        count, best = counts.of(pairs)
+        missing = count == 0
+        n_missing = _sums(missing, sizes)
+        tail: list[list[dict[str, int]]] = [[] for _ in sizes]
+        ends = np.cumsum(sizes)
+        for t in np.flatnonzero(n_missing):
+            mine = slice(ends[t] - sizes[t], ends[t])
+            some, n = np.unique(pairs[mine][missing[mine]], return_counts=True)
+            tail[t] = [{"pair": p, "n": m} for p, m in zip(some.tolist(), n.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [*part.columns[:-1], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(groups, pa.string()), pa.array(tails, tail_type)],
-            [*part.schema.names[:-1], "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "tail"])
+            [*[batch.column(c) for c in names], pa.array(_sums(best, sizes)), pa.array(_sums(count, sizes)),
+             pa.array(tail, pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())])))], [*names, "n_best", "count_sum", "tail"])
+
+
+class PairCounts:
+    """Counts of the most frequent pairs of ids, sorted by pair, and the highest count of each id of B."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> None:
+        self.keys, self.counts, self.highest = keys, counts, best
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each pair, zero where it is not at hand, and whether it is the highest of its id of B."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        count = np.where(self.keys[at] == keys, self.counts[at], 0)
+        return count, (count > 0) & (count == self.highest[keys & 0xFFFFFFFF])
 
 
 def _frequent(pairs: DataFrame, b_size: int, most: int) -> tuple[PairCounts, bool]:
@@ -333,22 +324,20 @@ def align_tokenizers(documents: DataFrame, a_path: str, b_path: str, id_col: str
     each; null ids are kept; other columns are not read; an empty table gives an empty result.
     """
     spark = documents.sparkSession
-    text = F.col(text_col).cast("string").alias("text")
-    first = spark.sparkContext.broadcast((uuid.uuid4().hex, a_path, b_path, None))
-    found = documents.select(text).where("text IS NOT NULL AND text != ''").mapInArrow(lambda it: _count(it, first), "pair bigint, n bigint")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    fields = f"row bigint, id {rows.schema['id'].dataType.simpleString()}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string"
+    aligned = store(rows.mapInArrow(lambda it: _align(it, a_path, b_path), f"{fields}, links array<bigint>"))
+    found = aligned.select("links").mapInArrow(_count, "pair bigint, n bigint")
     pairs = store(found.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
-    tokenizers = Tokenizers(a_path, b_path)
-    counts, all_held = _frequent(pairs, len(tokenizers.b_bytes), head_pairs)
-    second = spark.sparkContext.broadcast((uuid.uuid4().hex, a_path, b_path, counts))
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text)
-    kind = rows.schema["id"].dataType.simpleString()
+    counts, all_held = _frequent(pairs, len(Tokenizers(a_path, b_path).b_bytes), head_pairs)
+    shared = spark.sparkContext.broadcast(counts)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = f"row bigint, id {kind}, {', '.join(f'{n} bigint' for n in names)}, groups string, tail array<struct<pair:bigint,n:bigint>>"
-    out = rows.mapInArrow(lambda it: _align(it, second), schema)
+    out = aligned.mapInArrow(lambda it: _score(it, shared), f"{fields}, n_best bigint, count_sum bigint, tail array<struct<pair:bigint,n:bigint>>")
     if all_held:
         discard(pairs)
     else:
         out = store(out)
+        discard(aligned)
         highest = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")).agg(F.max("n").alias("highest"))
         rest = out.select("row", F.explode("tail").alias("t")).select("row", F.col("t.pair").alias("pair"), F.col("t.n").alias("times"))
         met = rest.join(pairs.select("pair", "n"), "pair").join(highest, F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("b"))
