@@ -30,7 +30,8 @@ from landshift.llm.storage import discard, store, store_by_key
 
 SHINGLE = 3
 PERCENT = 90  # links: 100 * intersection >= PERCENT * union
-HUBS = 8  # of a group in one round after the first
+HUBS = 8  # of a group in one round after the first, or as many as give PAIRS comparisons if that is more
+PAIRS = 1024
 SMALL = 8  # up to so many differences, larger subsets make up for small sets
 
 _ODD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -160,26 +161,39 @@ def _components(lines: DataFrame, signed: DataFrame, width: int, percent: int) -
     while True:
         labelled = store(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", F.coalesce("root", "row").alias("label")))
         discard(members)
-        mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
-        members = store(labelled.join(mixed, "sig", "left_semi"))
+        groups = store(labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+                       .where("low < high").select("sig", "size"))
+        members = store(labelled.join(groups.select("sig"), "sig", "left_semi"))
         discard(labelled)
         if members.isEmpty():
             return roots
         parts = store(members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("hub")))
         # the largest component of a group needs no hub: all others are compared with its members
         order = Window.partitionBy("sig").orderBy("n", "hub")
-        first = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
-        several = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("labels"))
-        hubs = store(first.join(several, "sig").where("rank < labels").select("sig", "hub", F.col("label").alias("hub_label")))
+        first = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PAIRS // 2)
+        labels = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("labels")).join(groups, "sig")
+        some = (F.col("rank") < F.col("labels")) & (F.col("rank") <= F.greatest(F.lit(HUBS), F.floor(PAIRS / F.col("size"))))
+        hubs = store(first.join(labels, "sig").where(some).select("sig", "hub", F.col("label").alias("hub_label")))
         ends = [F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b")]
         pairs = store(members.join(hubs, "sig").where("label != hub_label").select(*ends).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
         more = _verified(pairs, lines, width, percent)
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
-        discard(roots)
-        roots = store(connected_components(links))
+        if not more.isEmpty():
+            roots = _merged(roots, more)
         rest = members.join(hubs.select("sig", F.col("hub").alias("row")), ["sig", "row"], "left_anti").select("sig", "row")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after further links, which are followed between components, not rows."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(end, F.coalesce(f"root_{end}", end))
+    joined = store(connected_components(ends.select("a", "b")))
+    after = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    alone = joined.join(roots.select("node"), "node", "left_anti")
+    return store(after.unionByName(alone.select("node", "root")))
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                        percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) per row, by links between sets of at least `percent` percent Jaccard similarity.
