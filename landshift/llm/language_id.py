@@ -9,6 +9,7 @@ likeliest. Pieces do not cross white space, so words are scored once per batch a
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from landshift.llm.storage import discard, store
 
 ROUNDS = 2  # of expectation-maximisation
-PART = 32  # a longer word is cut into parts of so many characters
-SCALE = 100.0  # weight a character, so that sums over long words stay in range
+SHORT = 40  # words of more characters are summed in logarithms, one by one, with equal results
+SCALE = 100.0  # weight a character, so that sums over short words stay in range
+CACHED_WORDS = 300_000  # words whose likelihoods a worker remembers before it starts afresh
 UNSEEN = 1e-8  # probability of a character that no piece covers
 SMOOTHING = 0.05  # added to each expected piece count
 UNDETERMINED = "und"
@@ -55,6 +57,13 @@ class Pieces:
     def _slot(codes: np.ndarray) -> np.ndarray:
         return ((codes ^ (codes >> np.uint64(31))) * _Q) >> np.uint64(64 - _FILTER_BITS)
 
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Number of the piece of each hash, -1 where there is none."""
+        if not self.count:
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), self.count - 1)
+        return np.where(self.codes[at] == codes, self.order[at], -1)
+
     def edges(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, rows, pieces) of all pieces in `words`, which are equally long; an uncovered character is one edge."""
         length = len(words[0])
@@ -84,50 +93,98 @@ def vocabulary_pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not any(f(i) for f in special)]
 
 
-def parts(word: str) -> list[str]:
-    word = "▁" + word
-    return [word] if len(word) <= PART else [word[i:i + PART] for i in range(0, len(word), PART)]
+def _by_length(words: list[str]) -> Iterator[tuple[int, list[int], list[str]]]:
+    """(length, places, words with the sign of a word's start) of equally long words; long ones come one by one."""
+    groups: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
+    for i, word in enumerate(words):
+        if len(word) < SHORT:
+            rows, some = groups[len(word) + 1]
+            rows.append(i)
+            some.append("▁" + word)
+        else:
+            yield len(word) + 1, [i], ["▁" + word]
+    for length, (rows, some) in groups.items():
+        yield length, rows, some
+
+
+def _edges_at(word: str, pieces: Pieces) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each end in a word: the starts of the pieces that end there, and their numbers."""
+    found: list[tuple[list[int], list[int]]] = [([], []) for _ in range(len(word) + 1)]
+    codes = np.array([ord(c) for c in word], dtype=np.uint64) + np.uint64(1)
+    code = np.zeros(len(word), dtype=np.uint64)
+    for size in range(1, min(len(word), pieces.longest) + 1):
+        starts = len(word) - size + 1
+        code = code[:starts] * _P + codes[size - 1:]
+        hits = pieces.find(code)
+        for start in np.flatnonzero(hits >= 0).tolist():
+            found[start + size][0].append(start)
+            found[start + size][1].append(int(hits[start]))
+        if size == 1:
+            for start in np.flatnonzero(hits < 0).tolist():
+                found[start + 1][0].append(start)
+                found[start + 1][1].append(pieces.count)
+    return [(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) for a, b in found]
+
+
+def _log_sum(values: np.ndarray) -> np.ndarray:
+    top = values.max(axis=0)
+    return top + np.log(np.exp(values - top).sum(axis=0))
+
+
+def _log_forward(edges: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray) -> np.ndarray:
+    forward = np.zeros((len(edges), logs.shape[1]))
+    for end in range(1, len(edges)):
+        starts, piece = edges[end]
+        forward[end] = _log_sum(forward[starts] + logs[piece])
+    return forward
 
 
 def log_likelihood(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language (column of `probs`, whose last row is for uncovered characters)."""
     out = np.zeros((len(words), probs.shape[1]))
-    by_length: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
-    for i, word in enumerate(words):
-        for part in parts(word):
-            rows, some = by_length[len(part)]
-            rows.append(i)
-            some.append(part)
-    for length, (rows, some) in by_length.items():
+    for length, rows, some in _by_length(words):
+        if length > SHORT:
+            out[rows[0]] = _log_forward(_edges_at(some[0], pieces), np.log(probs))[-1]
+            continue
         forward = np.zeros((length + 1, len(some), probs.shape[1]))
         forward[0] = 1
         for start, end, at, piece in pieces.edges(some):
             forward[end][at] += forward[start][at] * probs[piece] * SCALE ** (end - start)
-        np.add.at(out, rows, np.log(forward[length]) - length * np.log(SCALE))
+        out[rows] = np.log(forward[length]) - length * np.log(SCALE)
     return out
 
 
-def expected_counts(words: list[str], weights: np.ndarray, languages: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in each language's words, over all segmentations."""
-    total = np.zeros(probs.size)
-    by_length: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
-    for i, word in enumerate(words):
-        for part in parts(word):
-            by_length[len(part)][0].append(i)
-            by_length[len(part)][1].append(part)
-    for length, (rows, some) in by_length.items():
-        language, weight = languages[rows], weights[rows]
-        forward, back = np.zeros((2, length + 1, len(some)))
+def _long_counts(word: str, weights: np.ndarray, pieces: Pieces, logs: np.ndarray, total: np.ndarray) -> None:
+    edges = _edges_at(word, pieces)
+    forward = _log_forward(edges, logs)
+    back = np.full(forward.shape, -np.inf)
+    back[-1] = 0
+    for end in range(len(edges) - 1, 0, -1):
+        starts, piece = edges[end]
+        back[starts] = np.logaddexp(back[starts], back[end] + logs[piece])  # each start once
+        total[piece] += weights * np.exp(forward[starts] + logs[piece] + back[end] - forward[-1])
+
+
+def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in each language, over all segmentations of words that have a weight per language."""
+    total = np.zeros(probs.shape)
+    for length, rows, some in _by_length(words):
+        if length > SHORT:
+            _long_counts(some[0], weights[rows[0]], pieces, np.log(probs), total)
+            continue
+        forward, back = np.zeros((2, length + 1, len(some), probs.shape[1]))
         forward[0], back[length] = 1, 1
-        edges = [(s, e, at, piece, probs[piece, language[at]] * SCALE ** (e - s)) for s, e, at, piece in pieces.edges(some)]
+        edges = [(s, e, at, piece, probs[piece] * SCALE ** (e - s)) for s, e, at, piece in pieces.edges(some)]
         for start, end, at, _, p in edges:
             forward[end][at] += forward[start][at] * p
         for start, end, at, _, p in reversed(edges):
             back[start][at] += back[end][at] * p
-        share = weight / forward[length]
+        share = weights[rows] / forward[length]
         for start, end, at, piece, p in edges:
-            total += np.bincount(piece * probs.shape[1] + language[at], forward[start][at] * p * back[end][at] * share[at], probs.size)
-    return total.reshape(probs.shape)
+            expected = forward[start][at] * p * back[end][at] * share[at]
+            for language in range(probs.shape[1]):
+                total[:, language] += np.bincount(piece, expected[:, language], len(probs))
+    return total
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +205,13 @@ def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     number = {language: i for i, language in enumerate(languages)}
     total = np.zeros(probs.shape)
     for batch in batches:
-        language = np.array([number[v] for v in batch.column("lang").to_pylist()], dtype=np.int64)
-        weights = batch.column("n").to_numpy().astype(float)
-        total += expected_counts(batch.column("word").to_pylist(), weights, language, pieces, probs)
+        counts = batch.column("counts")
+        words = batch.column("word").to_pylist()
+        row = np.repeat(np.arange(len(words)), counts.value_lengths().to_numpy())
+        held = counts.flatten()
+        weights = np.zeros((len(words), len(languages)))
+        weights[row, [number[v] for v in held.field("lang").to_pylist()]] = held.field("n").to_numpy()
+        total += expected_counts(words, weights, pieces, probs)
     piece, language = np.nonzero(total[:-1])
     micro = np.rint(total[piece, language] * MICRO).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(language), pa.array(micro)], ["piece", "language", "micro"])
@@ -161,6 +222,34 @@ class LanguageModel:
 
     def __init__(self, pieces: Pieces, languages: list[str], probs: np.ndarray) -> None:
         self.pieces, self.languages, self.probs = pieces, languages, probs
+        self.key = uuid.uuid4().hex
+
+
+class KnownWords:
+    """Likelihoods of the words that a worker has met lately: `place` gives their rows in `logs`."""
+
+    def __init__(self, model: LanguageModel) -> None:
+        self.model = model
+        self.place: dict[str, int] = {}
+        self.logs = np.zeros((0, len(model.languages)))
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.place) > CACHED_WORDS:
+            self.place, self.logs = {}, self.logs[:0]
+        new = list(words.difference(self.place))
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.logs = np.concatenate([self.logs, log_likelihood(new, self.model.pieces, self.model.probs)])
+
+
+_KNOWN: dict[str, KnownWords] = {}  # of this worker; one model at a time
+
+
+def _known(model: LanguageModel) -> KnownWords:
+    if model.key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[model.key] = KnownWords(model)
+    return _KNOWN[model.key]
 
 
 def fit(training: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> LanguageModel:
@@ -170,7 +259,9 @@ def fit(training: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Lang
     """
     pieces = Pieces(vocabulary_pieces(vocabulary_path))
     counts = store(training.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n bigint")
-                   .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+                   .groupBy("lang", "word").agg(F.sum("n").alias("n"))
+                   # one row per word, so that its pieces are found once for all languages
+                   .groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("counts")))
     languages = sorted(r.lang for r in training.select("lang").distinct().collect())
     probs = np.full((pieces.count + 1, len(languages)), 1 / max(1, pieces.count))
     probs[-1] = UNSEEN
@@ -190,11 +281,11 @@ def fit(training: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Lang
 def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str], list[float]]:
     """Likeliest language and its posterior under equal priors for each text."""
     split = [t.split() if t and any(map(str.isalpha, t)) else [] for t in texts]
-    words = list(set().union(*split))
-    if not words or not model.languages:
+    if not model.languages:
         return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    place = dict(zip(words, range(len(words))))
-    logs = log_likelihood(words, model.pieces, model.probs)
+    known = _known(model)
+    known.learn(set().union(*split))
+    place, logs = known.place, known.logs
     names, scores = [], []
     for some in split:
         if not some:

@@ -49,8 +49,53 @@ def test_expected_counts():
         for p, s in ways:
             for piece in s:
                 want[names.index(piece), lang] += n * p / sum(q for q, _ in ways)
-    got = li.expected_counts(words, weights, language, li.Pieces(names), probs)
-    assert np.allclose(got, want, atol=1e-6)
+    each = np.zeros((3, 2))
+    each[[0, 1, 2], language] = weights
+    assert np.allclose(li.expected_counts(words, each, li.Pieces(names), probs), want, atol=1e-6)
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """Words on either side of the limit, summed both ways, and a word far beyond the range of a double."""
+    names = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "bbbb"]
+    rng = np.random.default_rng(2)
+    probs = np.vstack([rng.random((len(names), 3)) / 9, [li.UNSEEN] * 3])
+    words = ["".join(rng.choice(list("abx"), n, p=[.5, .45, .05])) for n in (3, 30, 38, 39, 40, 41, 60)] + ["ab" * 20, "x"]
+    weights = rng.random((len(words), 3))
+    pieces = li.Pieces(names)
+    monkeypatch.setattr(li, "SHORT", 100)
+    together, counts = li.log_likelihood(words, pieces, probs), li.expected_counts(words, weights, pieces, probs)
+    monkeypatch.setattr(li, "SHORT", 0)
+    assert np.allclose(li.log_likelihood(words, pieces, probs), together, rtol=1e-12)
+    assert np.allclose(li.expected_counts(words, weights, pieces, probs), counts, rtol=1e-9)
+    monkeypatch.undo()
+    assert np.allclose(li.log_likelihood(words, pieces, probs), together, rtol=1e-12)
+    assert np.isfinite(li.log_likelihood(["ab" * 5000], pieces, probs)).all()
+
+
+def test_query_against_the_definition(spark):
+    """Scores of whole texts from the model's probabilities, piece by piece, with words that no cut may change."""
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the hund", None), ("catdogcatdogcatdogcatdogcatdogcatdogcatdog", None)] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit(df.where("lang is not null").select("lang", "text"), PATH)
+    names = li.vocabulary_pieces(PATH)
+    tables = [dict(zip(names, model.probs[:-1, j])) for j in range(2)]
+    got = {r.doc_id: r for r in li.predict(df, model, [df.doc_id]).collect()}
+    for i, text, _ in rows:
+        logs = []
+        for table in tables:
+            total = 0.0
+            for word in text.split():
+                word, forward = "▁" + word, [1.0]
+                for end in range(1, len(word) + 1):
+                    ways = [forward[a] * table[word[a:end]] for a in range(end) if word[a:end] in table]
+                    if word[end - 1] not in table:
+                        ways.append(forward[end - 1] * li.UNSEEN)
+                    forward.append(sum(ways))
+                total += math.log(forward[-1])
+            logs.append(total)
+        best = max(logs)
+        assert got[i].lang_pred == model.languages[logs.index(best)]
+        assert math.isclose(got[i].score, 1 / sum(math.exp(x - best) for x in logs), rel_tol=1e-9)
 
 
 def test_held_out_accuracy(spark):
