@@ -9,9 +9,10 @@ names the group.
 A single space or line feed between two characters that are no white space is such a place, whatever
 stands around it: no piece of either vocabulary reaches over its front. A text is therefore aligned
 unit by unit, and a unit (a word with the space or line feed before it) is tokenized once per worker as long
-as it is remembered, not once per occurrence. The links of every text are written once; how
-often two ids are linked is counted over all of them. The most frequent pairs are broadcast, up
-to a fixed number, and links of the others meet their count in a join.
+as it is remembered, not once per occurrence. One pass counts how often two ids are linked in
+all texts; a second one aligns again, which costs less than writing all links, and adds the
+counts up. The most frequent pairs are broadcast, up to a fixed number, and links of the others
+meet their count in a join.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ CACHED_UNITS = 250_000  # units a worker remembers before it starts afresh
 CACHED_BYTES = 64_000_000  # of these units' texts
 CHUNK_CHARS = 2_000_000  # of texts handled at once
 CHUNK_ROWS = 512
+TOGETHER = 500  # units encoded as one text
+
+_SIGNS = np.array([",", "|", ";"], dtype=object)
 
 _UNIT = re.compile(r"[ \n]\S+")
 _BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -75,26 +79,50 @@ class Tokenizers:
             raise ValueError("vocabulary B has pieces that reach over a space or a line feed")
         self.a_length = np.array(list(map(len, self.a_bytes)), dtype=np.int64)
         self.b_length = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
+        self.a_names, self.b_names = (np.array(list(map(str, range(len(x)))), dtype=object) for x in (self.a_bytes, self.b_bytes))
 
     def _piece(self, i: int) -> bytes:
         piece = self._b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def __call__(self, some: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of A and B per unit, and whether the bytes of both are those of the unit; ids of others are dropped."""
-        encode = self._a.encode_ordinary
-        a = list(map(encode, some))
-        b = self._b.encode([u[u[0] == " ":] for u in some], num_threads=1)
-        ok = np.zeros(len(some), dtype=bool)
-        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for i, unit in enumerate(some):
-            data = unit.encode()
-            if unit[0] != " " and b[i][:1] == [self.front]:
-                del b[i][0]
-            ok[i] = b"".join(map(a_bytes, a[i])) == data == b"".join(map(b_bytes, b[i]))
-            if not ok[i]:
-                a[i], b[i] = [], []
-        return a, b, ok
+    def __call__(self, some: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(units, their byte lengths, ids of A, ids of B, refused): units whose bytes both sides give back, in one sequence of ids.
+
+        Many units are encoded as one text, which both sides cut at their borders. Units that
+        a border need not follow or that may be changed, and texts that were, go one by one.
+        """
+        plain = [u for u in some if _UNIT.fullmatch(u) and "▁" not in u]
+        known = set(plain)
+        good, a, b, refused = [], [], [], []
+        for i in range(0, len(plain), TOGETHER):
+            part = plain[i:i + TOGETHER]
+            if (found := self._encode("".join(part))) is not None:
+                good += part
+                a.append(found[0])
+                b.append(found[1])
+            else:
+                known.difference_update(part)
+        for unit in some:
+            if unit not in known:
+                if (found := self._encode(unit)) is None:
+                    refused.append(unit)
+                else:
+                    good.append(unit)
+                    a.append(found[0])
+                    b.append(found[1])
+        none = np.empty(0, dtype=np.int64)
+        return good, np.fromiter((len(u.encode()) for u in good), np.int64, len(good)), np.concatenate([none, *a]), np.concatenate([none, *b]), refused
+
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides, None unless both give back the bytes of the text."""
+        a = self._a.encode_ordinary(text)
+        b = self._b.encode(text[text[0] == " ":])
+        if text[0] != " " and b[:1] == [self.front]:
+            del b[0]
+        data = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
 def group_ends(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +147,10 @@ def links(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Units:
     """Aligned units of a worker; `add` gives each a number, by which the columns are read."""
 
-    COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "ok")
+    COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "ok", "n_best", "count_sum", "n_tail")
 
-    def __init__(self, tokenizers: Tokenizers) -> None:
-        self.tokenizers = tokenizers
+    def __init__(self, tokenizers: Tokenizers, counts: PairCounts | None) -> None:
+        self.tokenizers, self.counts = tokenizers, counts
         self.clear()
 
     def clear(self) -> None:
@@ -131,6 +159,7 @@ class Units:
         self.size = 0
         self._parts: list[dict[str, np.ndarray]] = []
         self._keys: list[np.ndarray] = []
+        self._tails: list[np.ndarray] = []
 
     def full(self) -> bool:
         return len(self.number) > CACHED_UNITS or self.size > CACHED_BYTES
@@ -140,66 +169,94 @@ class Units:
             self._parts = [{c: np.concatenate([p[c] for p in self._parts]) for c in self.COLUMNS}]
         return self._parts[0][name] if self._parts else np.empty(0, dtype=np.int64)
 
-    def keys(self) -> np.ndarray:
-        """Pairs of ids of all links in the order of the units."""
-        if len(self._keys) > 1:
-            self._keys = [np.concatenate(self._keys)]
-        return self._keys[0] if self._keys else np.empty(0, dtype=np.int64)
+    def keys(self, tail: bool = False) -> np.ndarray:
+        """Pairs of ids of all links in the order of the units; with `tail`, those whose count is not at hand."""
+        held = self._tails if tail else self._keys
+        if len(held) > 1:
+            held[:] = [np.concatenate(held)]
+        return held[0] if held else np.empty(0, dtype=np.int64)
 
     def add(self, some: list[str]) -> None:
         """Align units that are not yet known."""
         if not some:
             return
-        a, b, ok = self.tokenizers(some)
-        for unit in some:
+        good, size, a_ids, b_ids, refused = self.tokenizers(some)
+        for unit in chain(good, refused):
             self.number[unit] = len(self.number)
-            self.size += len(unit)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(some)) for x in (a, b))
-        a_ids, b_ids = (np.fromiter((i for x in y for i in x), np.int64, n) for y, n in ((a, n_a.sum()), (b, n_b.sum())))
-        zero = np.zeros(len(some), dtype=np.int64)
-        part = {c: zero for c in self.COLUMNS} | {"n_a": n_a, "n_b": n_b, "ok": ok.astype(np.int64)}
-        keys = np.empty(0, dtype=np.int64)
-        strings = [""] * len(some)
-        if len(a_ids):
-            a_end, b_end = np.cumsum(self.tokenizers.a_length[a_ids]), np.cumsum(self.tokenizers.b_length[b_ids])
+        self.size += sum(map(len, some))
+        zero, n = np.zeros(len(some), dtype=np.int64), len(good)
+        part = {c: zero.copy() for c in self.COLUMNS}
+        part["ok"][:n] = 1
+        keys = tails = np.empty(0, dtype=np.int64)
+        strings: list[str] = []
+        if n:
+            a_end, b_end, unit_end = np.cumsum(self.tokenizers.a_length[a_ids]), np.cumsum(self.tokenizers.b_length[b_ids]), np.cumsum(size)
             a_last, b_last = group_ends(a_end, b_end)
             ends, at_a, at_b = links(a_end, b_end)
-            # the bytes of a unit are the same on both sides, so its tokens' last end bounds its links and groups
-            unit_end = np.concatenate([[0], a_end])[np.cumsum(n_a)]
             last = np.unique(a_last)
-            part["n_groups"] = np.diff(np.searchsorted(a_end[last], unit_end, "right"), prepend=0)
-            part["n_links"] = np.diff(np.searchsorted(ends, unit_end, "right"), prepend=0)
+            for name, of in (("n_a", a_end), ("n_b", b_end), ("n_groups", a_end[last]), ("n_links", ends)):
+                part[name][:n] = np.diff(np.searchsorted(of, unit_end, "right"), prepend=0)
             keys = a_ids[at_a] << 32 | b_ids[at_b]
-            strings = self._strings(a_ids, b_ids, last, b_last, part["n_groups"])
+            if self.counts is None:
+                strings = [""] * n
+            else:
+                strings = self._strings(a_ids, b_ids, a_last, b_last, part["n_a"][:n] + part["n_b"][:n])
+                owner = np.repeat(np.arange(n), part["n_links"][:n])
+                count, best = self.counts.of(keys)
+                known = count > 0
+                part["count_sum"][:n] = np.bincount(owner, count, n)
+                part["n_best"][:n] = np.bincount(owner[best], minlength=n)
+                part["n_tail"][:n] = np.bincount(owner[~known], minlength=n)
+                tails = keys[~known]
         self._parts.append(part)
         self._keys.append(keys)
-        self.groups += strings
-
-    @staticmethod
-    def _strings(a_ids: np.ndarray, b_ids: np.ndarray, last: np.ndarray, b_last: np.ndarray, n_groups: np.ndarray) -> list[str]:
-        a, b = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        a_cut = (last + 1).tolist()
-        b_cut = np.searchsorted(b_last, last, "right").tolist()
-        texts, i, j = [], 0, 0
-        for x, y in zip(a_cut, b_cut):
-            left = a[i] if x == i + 1 else ",".join(a[i:x])
-            texts.append(left + "|" + (b[j] if y == j + 1 else ",".join(b[j:y])))
-            i, j = x, y
-        out, k = [], 0
-        for n in n_groups.tolist():
-            out.append(texts[k] if n == 1 else ";".join(texts[k:k + n]))
-            k += n
+        self._tails.append(tails)
+        self.groups += strings + [""] * len(refused)
+
+    def _strings(self, a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The groups of each unit, given how many tokens it has: the tokens of a group come together, those of A first."""
+        place = np.concatenate([a_last * 2, b_last * 2 + 1])
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        names = np.concatenate([self.tokenizers.a_names[a_ids], self.tokenizers.b_names[b_ids]])[order]
+        after = np.append(place[1:], -1)
+        sign = _SIGNS[np.where(after == place, 0, np.where(after // 2 == place // 2, 1, 2))]
+        ends = np.cumsum(sizes)
+        sign[ends - 1] = ""
+        pieces = np.empty(2 * len(names), dtype=object)
+        pieces[::2], pieces[1::2] = names, sign
+        parts = pieces.tolist()
+        out, start = [], 0
+        for end in (2 * ends).tolist():
+            out.append("".join(parts[start:end]))
+            start = end
         return out
 
 
-_HELD: dict[tuple[str, str], Units] = {}  # of this worker; one pair of tokenizers at a time
+class PairCounts:
+    """Counts of the most frequent pairs of ids, sorted by pair, and the highest count of each id of B."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> None:
+        self.keys, self.counts, self.highest = keys, counts, best
 
-def _held(a_path: str, b_path: str) -> Units:
-    if (a_path, b_path) not in _HELD:
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each pair, zero where it is not at hand, and whether it is the highest of its id of B."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        count = np.where(self.keys[at] == keys, self.counts[at], 0)
+        return count, (count > 0) & (count == self.highest[keys & 0xFFFFFFFF])
+
+
+_HELD: dict[str, Units] = {}  # of this worker; one at a time
+
+
+def _held(shared) -> Units:
+    name, a_path, b_path, counts = shared.value
+    if name not in _HELD:
         _HELD.clear()
-        _HELD[a_path, b_path] = Units(Tokenizers(a_path, b_path))
-    return _HELD[a_path, b_path]
+        _HELD[name] = Units(Tokenizers(a_path, b_path), counts)
+    return _HELD[name]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
@@ -229,70 +286,61 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+def _folded(known: Units, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(pair, n) of the links of all units, each unit counted as often as its weight says."""
+    n_links = known.column("n_links")
+    weight = np.repeat(weights[:len(n_links)], n_links)
+    keys = known.keys()[weight > 0]
+    pairs, place = np.unique(keys, return_inverse=True)
+    counts = np.zeros(len(pairs), dtype=np.int64)
+    np.add.at(counts, place, weight[weight > 0])
+    for i in range(0, len(pairs), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[i:i + 100_000]), pa.array(counts[i:i + 100_000])], ["pair", "n"])
 
 
-def _align(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    known = _held(a_path, b_path)
+def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    known = _held(shared)
+    weights = np.zeros(len(known.number), dtype=np.int64)
+    for _, texts in _chunks(batches):
+        if known.full():
+            yield from _folded(known, weights)
+            known.clear()
+            weights = np.zeros(0, dtype=np.int64)
+        numbers, sizes = _numbered(known, texts)
+        if not len(numbers):
+            continue
+        whole = _sums(known.column("ok")[numbers], sizes) == sizes
+        found = np.bincount(numbers[np.repeat(whole, sizes)], minlength=len(known.number))
+        found[:len(weights)] += weights
+        weights = found
+    if len(weights):
+        yield from _folded(known, weights)
+
+
+def _align(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    known = _held(shared)
+    tail_type = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
     for part, texts in _chunks(batches):
         if known.full():
             known.clear()
         numbers, sizes = _numbered(known, texts)
         whole = (_sums(known.column("ok")[numbers], sizes) == sizes) & (sizes > 0)
-        columns = [np.where(whole, _sums(known.column(c)[numbers], sizes), 0) for c in ("n_a", "n_b", "n_groups", "n_links")]
+        columns = [np.where(whole, _sums(known.column(c)[numbers], sizes), 0) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
         ends, held, strings = np.cumsum(sizes).tolist(), numbers.tolist(), known.groups.__getitem__
         groups = [";".join(map(strings, held[end - n:end])) if ok else "" for ok, n, end in zip(whole.tolist(), sizes.tolist(), ends)]
-        n_links = known.column("n_links")
-        mine = numbers[np.repeat(whole, sizes)]
-        count = n_links[mine]
-        # each unit's links, one after another
-        at = np.repeat((np.cumsum(n_links) - n_links)[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        tails: list[list[dict[str, int]]] = [[] for _ in texts]
+        n_tail = known.column("n_tail")
+        if len(n_tail) and n_tail[numbers].any():
+            first = np.cumsum(n_tail) - n_tail
+            for t in np.flatnonzero(whole & (_sums(n_tail[numbers], sizes) > 0)):
+                end = int(sizes[:t + 1].sum())
+                mine = numbers[end - sizes[t]:end]
+                found = np.concatenate([known.keys(tail=True)[first[i]:first[i] + n_tail[i]] for i in mine if n_tail[i]])
+                pairs, n = np.unique(found, return_counts=True)
+                tails[t] = [{"pair": p, "n": m} for p, m in zip(pairs.tolist(), n.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [*part.columns[:-1], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(groups, pa.string()), _lists(known.keys()[at], columns[-1])],
-            [*part.schema.names[:-1], "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, n) of the links of each batch."""
-    for batch in batches:
-        pairs, n = np.unique(batch.column("links").flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    counts = shared.value
-    names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups"]
-    for batch in batches:
-        links = batch.column("links")
-        pairs, sizes = links.flatten().to_numpy().astype(np.int64), links.value_lengths().to_numpy()
-        count, best = counts.of(pairs)
-        missing = count == 0
-        n_missing = _sums(missing, sizes)
-        tail: list[list[dict[str, int]]] = [[] for _ in sizes]
-        ends = np.cumsum(sizes)
-        for t in np.flatnonzero(n_missing):
-            mine = slice(ends[t] - sizes[t], ends[t])
-            some, n = np.unique(pairs[mine][missing[mine]], return_counts=True)
-            tail[t] = [{"pair": p, "n": m} for p, m in zip(some.tolist(), n.tolist())]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in names], pa.array(_sums(best, sizes)), pa.array(_sums(count, sizes)),
-             pa.array(tail, pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())])))], [*names, "n_best", "count_sum", "tail"])
-
-
-class PairCounts:
-    """Counts of the most frequent pairs of ids, sorted by pair, and the highest count of each id of B."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> None:
-        self.keys, self.counts, self.highest = keys, counts, best
-
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each pair, zero where it is not at hand, and whether it is the highest of its id of B."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        count = np.where(self.keys[at] == keys, self.counts[at], 0)
-        return count, (count > 0) & (count == self.highest[keys & 0xFFFFFFFF])
+            [*part.columns[:-1], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(groups, pa.string()), pa.array(tails, tail_type)],
+            [*part.schema.names[:-1], "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "tail"])
 
 
 def _frequent(pairs: DataFrame, b_size: int, most: int) -> tuple[PairCounts, bool]:
@@ -324,20 +372,22 @@ def align_tokenizers(documents: DataFrame, a_path: str, b_path: str, id_col: str
     each; null ids are kept; other columns are not read; an empty table gives an empty result.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    fields = f"row bigint, id {rows.schema['id'].dataType.simpleString()}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string"
-    aligned = store(rows.mapInArrow(lambda it: _align(it, a_path, b_path), f"{fields}, links array<bigint>"))
-    found = aligned.select("links").mapInArrow(_count, "pair bigint, n bigint")
+    text = F.col(text_col).cast("string").alias("text")
+    first = spark.sparkContext.broadcast((uuid.uuid4().hex, a_path, b_path, None))
+    found = documents.select(text).where("text IS NOT NULL AND text != ''").mapInArrow(lambda it: _count(it, first), "pair bigint, n bigint")
     pairs = store(found.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
-    counts, all_held = _frequent(pairs, len(Tokenizers(a_path, b_path).b_bytes), head_pairs)
-    shared = spark.sparkContext.broadcast(counts)
+    tokenizers = Tokenizers(a_path, b_path)
+    counts, all_held = _frequent(pairs, len(tokenizers.b_bytes), head_pairs)
+    second = spark.sparkContext.broadcast((uuid.uuid4().hex, a_path, b_path, counts))
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text)
+    kind = rows.schema["id"].dataType.simpleString()
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    out = aligned.mapInArrow(lambda it: _score(it, shared), f"{fields}, n_best bigint, count_sum bigint, tail array<struct<pair:bigint,n:bigint>>")
+    schema = f"row bigint, id {kind}, {', '.join(f'{n} bigint' for n in names)}, groups string, tail array<struct<pair:bigint,n:bigint>>"
+    out = rows.mapInArrow(lambda it: _align(it, second), schema)
     if all_held:
         discard(pairs)
     else:
         out = store(out)
-        discard(aligned)
         highest = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")).agg(F.max("n").alias("highest"))
         rest = out.select("row", F.explode("tail").alias("t")).select("row", F.col("t.pair").alias("pair"), F.col("t.n").alias("times"))
         met = rest.join(pairs.select("pair", "n"), "pair").join(highest, F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("b"))
