@@ -267,43 +267,8 @@ def pixel_cluster_profile(pixels: DataFrame, features: Sequence[str], pixel_area
     return agg.withColumn("state", landcover_state(F.col("ndvi"), F.col("ndbi"), F.col("ndwi")))
 
 
-def fit_kmeans(df: DataFrame, vector: str, k: int, seed: int) -> list[list[float]]:
-    """Centroids of a distributed k-means fit (k x d numbers)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    train = df.select(array_to_vector(F.col(vector)).alias("features"))
-    return [c.tolist() for c in KMeans(k=k, seed=seed, maxIter=20).fit(train).clusterCenters()]
-
-
-def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[list[list[float]], list[float]]:
-    """Principal axes (k x d) and explained variance of the vectors."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    m = PCA(k=k, inputCol="features", outputCol="out").fit(df.select(array_to_vector(F.col(vector)).alias("features")))
-    return m.pc.toArray().T.tolist(), m.explainedVariance.toArray().tolist()
-
-
 def linear_autoencode(df: DataFrame, vector: str, axes: Sequence[Sequence[float]]) -> DataFrame:
     """Encode onto the axes, decode back, and keep the mean squared error."""
     back = [list(row) for row in zip(*axes, strict=True)]
     coded = df.withColumn("code", dense_layer(F.col(vector), axes, [0.0] * len(axes), relu=False))
     return coded.withColumn("error", reconstruction_error(F.col(vector), dense_layer(F.col("code"), back, [0.0] * len(back), relu=False)))
-
-
-def experiments(df: DataFrame, vectors: Sequence[str], ks: Sequence[int], seed: int, sample: int) -> DataFrame:
-    """Every (vector, k) configuration fitted on the cluster; its score is one number."""
-    spark = df.sparkSession
-    rows = []
-    for v in vectors:
-        for k in ks:
-            centroids = fit_kmeans(df, v, k, seed)
-            assigned = assign_clusters(df, v, centroids)
-            s = silhouette(assigned, "patch_id", v, "cluster", sample, seed).first()
-            rows.append((v, k, "ok" if s["silhouette"] is not None else "skipped", s["silhouette"]))
-    return spark.createDataFrame(rows, "vector string, k int, status string, silhouette double")
-
-
-def ranked_experiments(runs: DataFrame) -> DataFrame:
-    return runs.orderBy(F.col("status") != "ok", F.col("silhouette").desc_nulls_last(), "vector", "k")

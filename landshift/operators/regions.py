@@ -4,44 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landshift.functions import change as ch
 from landshift.operators.overlay import INDICES
 from landshift.session import cut_lineage
+from landshift.storage import store
 
 ROW_STRIDE = 1 << 21  # y * stride + x names a pixel; a wider raster row is an error
+FLAGS = ("a_start", "a_end", "b_start", "b_end")
 
 
-def with_runs(pixels: DataFrame, layer: str, value: str) -> DataFrame:
-    """Name the horizontal run of equal value each pixel belongs to; a run lies in one raster row."""
+def pixel_runs(pixels: DataFrame, layer: str, value: str, means: Sequence[str] = ()) -> DataFrame:
+    """Horizontal runs of equal value: (layer, value, node, y, x0, x1, n) and, per mean, its sum in micro-units and its count.
+
+    A run lies in one raster row and its first pixel names it. Everything later works on runs.
+    """
     w = Window.partitionBy(layer, "y", value).orderBy("x")
     start = F.coalesce(F.lag("x").over(w) != F.col("x") - 1, F.lit(True))
-    marked = pixels.withColumn("_start", F.when(start, F.col("x")))
+    marked = pixels.select(layer, value, "y", "x", *means).withColumn("_start", F.when(start, F.col("x")))
     x0 = F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
     fits = F.assert_true(F.col("x").between(0, ROW_STRIDE - 1), F.lit(f"raster rows must be narrower than {ROW_STRIDE}"))
-    return marked.withColumn("node", F.coalesce(fits.cast("bigint"), F.col("y") * ROW_STRIDE + x0)).drop("_start")
+    named = marked.withColumn("node", F.coalesce(fits.cast("bigint"), F.col("y") * ROW_STRIDE + x0))
+    micro = {m: F.round(F.col(m) * 1e6).cast("bigint") for m in means}
+    return named.groupBy(layer, value, "y", "node").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"),
+        *[F.sum(micro[m]).alias(f"_s_{m}") for m in means], *[F.count(m).alias(f"_n_{m}") for m in means])
+
+
+def line_events(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Where runs begin and end along the lines between raster rows: (keys, line, x, and four flags).
+
+    A run lies below the line of its own row and above the next one. Its end is the first
+    position after it. Flags of one place are one row; a line of one key is no longer than a raster row.
+    """
+    below, above = F.col("y"), F.col("y") + 1
+    ends = F.col("x1") + 1
+    event = F.explode(F.array(*[
+        F.struct(line.alias("line"), x.cast("int").alias("x"), *[F.lit(kind == k).alias(k) for k in FLAGS])
+        for line, x, kind in ((above, F.col("x0"), "a_start"), (above, ends, "a_end"), (below, F.col("x0"), "b_start"), (below, ends, "b_end"))
+    ]))
+    placed = runs.select(*keys, event.alias("e")).select(*keys, "e.*").repartition(*keys, "line")
+    return placed.groupBy(*keys, "line", "x").agg(*[F.max(k).alias(k) for k in FLAGS])
 
 
 def run_edges(runs: DataFrame, layer: str, value: str) -> DataFrame:
-    """Pairs of runs that touch vertically.
+    """Pairs (a above, b below) of runs of equal value that touch vertically, each once.
 
-    Every pixel reports to its own cell and to the cell below; a cell with both
-    reports is an edge. This needs one aggregation on unique keys, no join.
+    Along a line between two rows, the runs on either side are swept together, so there
+    are as many rows as run ends, not pixels, and no join.
     """
-    reports = runs.select(
-        layer, value, "x",
-        F.explode(F.array(
-            F.struct(F.col("y").alias("cell"), F.col("node").alias("own"), F.lit(None).cast("bigint").alias("above")),
-            F.struct((F.col("y") + 1).alias("cell"), F.lit(None).cast("bigint").alias("own"), F.col("node").alias("above")),
-        )).alias("r"),
-    )
-    cells = reports.groupBy(layer, value, F.col("r.cell").alias("cell"), "x").agg(
-        F.max("r.own").alias("own"), F.max("r.above").alias("above")
-    )
-    return cells.where(F.col("own").isNotNull() & F.col("above").isNotNull()).select(
-        layer, F.col("above").alias("a"), F.col("own").alias("b")
-    ).distinct()
+    w = Window.partitionBy(layer, value, "line").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+
+    def current(side: str) -> Column:
+        return F.last(F.when(F.col(f"{side}_start"), F.col("x")).when(F.col(f"{side}_end"), F.lit(-1)), ignorenulls=True).over(w)
+
+    swept = line_events(runs, [layer, value]).withColumns({"_a": current("a"), "_b": current("b")})
+    return swept.where("_a >= 0 AND _b >= 0").select(
+        layer, ((F.col("line") - 1) * ROW_STRIDE + F.col("_a")).alias("a"), (F.col("line") * ROW_STRIDE + F.col("_b")).alias("b"))
 
 
 def connected_components(edges: DataFrame, layer: str) -> DataFrame:
@@ -82,25 +102,26 @@ def connected_components(edges: DataFrame, layer: str) -> DataFrame:
         labels = after.drop("_old")
 
 
-def label_regions(pixels: DataFrame, layer: str, value: str) -> DataFrame:
-    """Pixels with the label of their 4-connected region of equal value."""
-    runs = cut_lineage(with_runs(pixels, layer, value))
+def label_runs(pixels: DataFrame, layer: str, value: str, means: Sequence[str] = ()) -> DataFrame:
+    """Runs with the label of their 4-connected region of equal value; the runs are written once, pixels are not."""
+    runs = store(pixel_runs(pixels, layer, value, means))
     labels = connected_components(run_edges(runs, layer, value), layer)
     return runs.join(labels, [layer, "node"], "left").withColumn("region", F.coalesce("label", "node")).drop("label")
 
 
-def zonal_statistics(labelled: DataFrame, layer: str, value: str, means: Sequence[str], pixel_area: float,
+def label_regions(pixels: DataFrame, layer: str, value: str) -> DataFrame:
+    """(layer, value, region, y, x) of every pixel."""
+    runs = label_runs(pixels, layer, value)
+    return runs.select(layer, value, "region", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def zonal_statistics(runs: DataFrame, layer: str, value: str, means: Sequence[str], pixel_area: float,
                      min_area: float = 0.0) -> DataFrame:
-    """One row per region; runs are summed first, so one huge region stays cheap.
+    """One row per region from its labelled runs, so one huge region stays cheap.
 
     The representative point is the middle of the longest run and lies inside
     the region by construction. Means go through integer micro-units.
     """
-    micro = {m: F.round(F.col(m) * 1e6).cast("bigint") for m in means}
-    runs = labelled.groupBy(layer, value, "region", "node", "y").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-        *[F.sum(micro[m]).alias(f"_s_{m}") for m in means], *[F.count(m).alias(f"_n_{m}") for m in means],
-    )
     longest = F.max(F.struct("n", (-F.col("y")).alias("ny"), (-F.col("x0")).alias("nx")))
     out = runs.groupBy(layer, value, "region").agg(
         F.sum("n").alias("pixel_count"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
@@ -144,8 +165,3 @@ def alignment(samples: DataFrame) -> DataFrame:
         "monitored_land_cover", "region_count", (-F.col("b.neg")).alias("dominant_class"),
         F.round(F.col("b.n") / F.col("region_count"), 6).alias("dominant_share"),
     )
-
-
-def region_runs(labelled: DataFrame, layer: str) -> DataFrame:
-    """Region geometry as pixel-run rectangles."""
-    return labelled.groupBy(layer, "region", "node", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landshift.config import GRID, MasterGrid
 from landshift.functions.geo import point_in_ring, stretch01
 from landshift.operators.quantiles import exact_quantiles
 
+_MOMENTS = {"dy": pa.int32(), "dx": pa.int32(), "n": pa.int64(), **{c: pa.float64() for c in ("sr", "st", "srr", "stt", "srt")}}
+
 
 def _row_pass(cells: DataFrame, value: str, width: Column) -> DataFrame:
     """Horizontal neighbours inside one raster row, missing ones as NULL."""
@@ -121,16 +125,58 @@ def block_mean(cells: DataFrame, value: str, stride: int, scale: int = 1000) ->
         (F.sum(units) / (F.nullif(F.count(value), F.lit(0)) * float(scale))).alias(value))
 
 
-def shift_correlations(reference: DataFrame, target: DataFrame, value: str, reach: int = 3, min_samples: int = 500) -> DataFrame:
-    """Pearson correlation of two rasters under every integer shift within reach."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    moved = target.where(F.col(value).isNotNull()).select("y", "x", F.col(value).alias("t"), F.explode(steps).alias("dy")).select(
-        (F.col("y") + F.col("dy")).alias("y"), "x", "t", "dy", F.explode(steps).alias("dx")
-    ).withColumn("x", (F.col("x") + F.col("dx")).cast("int"))
-    j = reference.where(F.col(value).isNotNull()).select("y", "x", F.col(value).alias("r")).join(moved, ["y", "x"])
-    c = F.corr("r", "t")
-    return j.groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("samples"), F.round(F.when(~F.isnan(c), c), 8).alias("correlation")).withColumn(
-        "correlation", F.when(F.col("samples") >= min_samples, F.col("correlation")))
+def _shift_moments(block: pa.Table, reach: int, side: int) -> pa.Table:
+    """Count and five sums of one block under every shift; the block's target cells include its border."""
+    mine, y, x, v = (block.column(c).to_numpy() for c in ("is_reference", "y", "x", "v"))
+    y0, x0 = block.column("by")[0].as_py() * side, block.column("bx")[0].as_py() * side
+    r = np.full((side, side), np.nan)
+    t = np.full((side + 2 * reach, side + 2 * reach), np.nan)
+    r[y[mine] - y0, x[mine] - x0] = v[mine]
+    t[y[~mine] - y0 + reach, x[~mine] - x0 + reach] = v[~mine]
+    rows = []
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            other = t[reach - dy:reach - dy + side, reach - dx:reach - dx + side]
+            both = ~np.isnan(r) & ~np.isnan(other)
+            p, q = r[both], other[both]
+            if len(p):
+                rows.append((dy, dx, len(p), p.sum(), q.sum(), (p * p).sum(), (q * q).sum(), (p * q).sum()))
+    columns = list(zip(*rows)) or [[]] * len(_MOMENTS)
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(_MOMENTS.items(), columns)})
+
+
+def halo_blocks(cells: DataFrame, side: int, reach: int = 0) -> DataFrame:
+    """Cells with the blocks (by, bx) of `side` cells whose area, widened by `reach`, holds them; a cell has four copies at most."""
+
+    def blocks(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))
+
+    return cells.withColumn("by", F.explode(blocks("y"))).withColumn("bx", F.explode(blocks("x")))
+
+
+def shift_correlations(reference: DataFrame, target: DataFrame, value: str, reach: int = 3, min_samples: int = 500,
+                       side: int = 64) -> DataFrame:
+    """Pearson correlation of two rasters under every integer shift within reach.
+
+    Each block of `side` x `side` cells gets the border of the target around it once, sums
+    its moments for all shifts by itself, and only these few sums travel on. So little more
+    than the two rasters is shuffled, whatever the number of shifts, and a group is a block.
+    """
+    if reach > side:
+        raise ValueError("reach must not exceed the side of a block")
+
+    def prepared(cells: DataFrame, is_reference: bool) -> DataFrame:
+        some = cells.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.lit(is_reference).alias("is_reference"), "y", "x", F.col(value).alias("v"))
+        return halo_blocks(some, side, 0 if is_reference else reach)
+
+    moments = prepared(reference, True).unionByName(prepared(target, False)).groupBy("by", "bx").applyInArrow(
+        lambda block: _shift_moments(block, reach, side),
+        "dy int, dx int, n bigint, sr double, st double, srr double, stt double, srt double")
+    sums = moments.groupBy("dy", "dx").agg(F.sum("n").alias("samples"), *[F.sum(c).alias(c) for c in ("sr", "st", "srr", "stt", "srt")])
+    n = F.col("samples")
+    var_r, var_t = F.col("srr") - F.col("sr") * F.col("sr") / n, F.col("stt") - F.col("st") * F.col("st") / n
+    c = (F.col("srt") - F.col("sr") * F.col("st") / n) / F.sqrt(F.nullif(F.greatest(var_r, F.lit(0.0)) * F.greatest(var_t, F.lit(0.0)), F.lit(0.0)))
+    return sums.select("dy", "dx", "samples", F.when(n >= min_samples, F.round(c, 8)).alias("correlation"))
 
 
 def best_shift(correlations: DataFrame, stride: int, warn_pixels: int = 10, resolution: float = 10.0) -> DataFrame:
@@ -189,3 +235,35 @@ def inside_ring(pixels: DataFrame, ring: Column) -> DataFrame:
     return pixels.withColumn("_ring", ring).withColumn(
         "in_aoi", F.when(box, point_in_ring(px, py, F.col("_ring"))).otherwise(False)
     ).drop("_ring")
+
+
+def ring_cells(ring: DataFrame) -> DataFrame:
+    """(y, x) of the unit cells whose inside the outline of a ring crosses, from rows (ring) of closed rings.
+
+    Each edge is walked row by row: its part within a row spans an interval, and the cells of that
+    interval are touched. So there are as many rows as cells along the outline, not pixels times edges.
+    """
+    n = F.size("ring") - 1
+    edge = F.explode(F.zip_with(F.slice("ring", 1, n), F.slice("ring", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    e = ring.select(edge.alias("e")).select(*[F.col(f"e.{p}.{c}").alias(f"{c}{p}") for p in "ab" for c in "xy"])
+    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
+    # an edge along a line between two rows or columns crosses the inside of no cell
+    rows = e.withColumn("y", F.explode(F.sequence(F.floor(low), F.greatest(F.ceil(high) - 1, F.floor(low))))).where((high > F.col("y")) & (low < F.col("y") + 1))
+    slope = (F.col("xb") - F.col("xa")) / F.nullif(F.col("yb") - F.col("ya"), F.lit(0.0))
+
+    def x_at(y: Column, end: Column, other: Column) -> Column:
+        """Where the edge meets a line of constant y, or its end if it stays on this side of the line."""
+        return F.when(F.col("ya") == F.col("yb"), end).when((y > low) & (y < high), F.col("xa") + slope * (y - F.col("ya"))).otherwise(other)
+
+    first = F.when(F.col("ya") <= F.col("yb"), F.col("xa")).otherwise(F.col("xb"))
+    second = F.when(F.col("ya") <= F.col("yb"), F.col("xb")).otherwise(F.col("xa"))
+    top, bottom = x_at(F.col("y").cast("double"), first, first), x_at(F.col("y") + 1.0, second, second)
+    left, right = F.floor(F.least(top, bottom)), F.ceil(F.greatest(top, bottom)) - 1
+    return rows.select("y", F.explode(F.when(left <= right, F.sequence(left, right))).alias("x")).distinct()
+
+
+def touched_by_ring(pixels: DataFrame, ring: DataFrame) -> DataFrame:
+    """Pixels with `in_aoi` where the centre lies in the ring or its outline crosses the pixel."""
+    inside = inside_ring(pixels, ring.scalar())
+    cells = ring_cells(ring).select(F.col("y").cast(pixels.schema["y"].dataType), F.col("x").cast(pixels.schema["x"].dataType), F.lit(True).alias("_hit"))
+    return inside.join(cells, ["y", "x"], "left").withColumn("in_aoi", F.col("in_aoi") | F.coalesce("_hit", F.lit(False))).drop("_hit")

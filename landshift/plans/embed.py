@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landshift.functions import model as md
-from landshift.operators import embed as em, review as rv, votes
+from landshift.operators import embed as em, experiments as ex, fits, overlay, review as rv, votes
 from landshift.operators.ranking import hash_sample
+from landshift.plans.change import detected
 from landshift.plans.labels import evidence
 from landshift.plans.patches import dominant
 from landshift.plans.registry import query, view
-from landshift.session import cut_lineage
+from landshift.plans.twins import axes_sql, lloyd_sql, squared
 from landshift.sources import observations as obs
+from landshift.storage import store
 
-# parameters of a small fixed encoder and of fixed centroids, written as rules
-DIMS, CODE, K = 20, 4, 5
-W = [[((i * 7 + j * 3) % 5 - 2) / 10 for i in range(DIMS)] for j in range(CODE)]
-B = [0.1 * (j + 1) for j in range(CODE)]
-BACK = [[W[j][i] for j in range(CODE)] for i in range(DIMS)]
-CENTROIDS = [[((k * 3 + j * 2) % 7) / 4 for j in range(CODE)] for k in range(K)]
+DIMS, CODE, WIDE, K, K_WIDE = 20, 4, 6, 5, 4  # descriptor width, axes of the code and of the wide code, clusters of codes and of descriptors
+STEPS, SEED = 10, 42
 PIXEL_CENTROIDS = [[0.6, -0.7, 0.0], [-0.3, 0.2, 0.3], [0.2, -0.2, -0.3], [0.8, -0.9, -0.6]]
 STATS = ["mean", "std", "p10", "p50", "p90"]
 
@@ -94,20 +92,44 @@ def scaled_descriptors(spark, d):
     return scaled(spark, d).select("patch_id", F.posexplode("scaled").alias("dim", "z")).withColumn("z", F.round("z", 5))
 
 
-def wsql(i="dim", j="j"):
-    return f"((({i} * 7 + {j} * 3) % 5 - 2) / 10e0)"
-
-
+view("scaled_cov", """
+SELECT '' AS key, a.dim AS i, b.dim AS j, avg(a.z * b.z) - avg(a.z) * avg(b.z) AS v FROM scaled a JOIN scaled b USING (patch_id) WHERE a.split = 'train' GROUP BY 2, 3""")
+view("axes", axes_sql("scaled_cov", DIMS, WIDE), stored=True)
 view("codes", f"""
-SELECT patch_id, j, greatest(sum(z * {wsql()}) + 0.1e0 * (j + 1), 0e0) AS h FROM scaled, (SELECT unnest(range(4)) AS j) GROUP BY 1, 2""")
+SELECT patch_id, any_value(split) AS split, r AS j, sum(z * axis[dim + 1]) AS h FROM scaled CROSS JOIN axes WHERE r < {CODE} GROUP BY patch_id, r""")
 view("errors", f"""
 SELECT patch_id, avg((z - r) * (z - r)) AS error FROM (
-  SELECT s.patch_id, s.dim, any_value(s.z) AS z, sum(c.h * {wsql('s.dim', 'c.j')}) AS r FROM scaled s JOIN codes c ON s.patch_id = c.patch_id GROUP BY 1, 2) GROUP BY 1""")
-view("assigned", """
-SELECT patch_id, CAST(k + 1 AS INTEGER) AS cluster, dist FROM (
-  SELECT patch_id, k, sqrt(sum((h - ((k * 3 + j * 2) % 7) / 4e0) * (h - ((k * 3 + j * 2) % 7) / 4e0))) AS dist
-  FROM codes, (SELECT unnest(range(5)) AS k) GROUP BY 1, 2)
-QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY dist, k) = 1""")
+  SELECT s.patch_id, s.dim, any_value(s.z) AS z, sum(c.h * a.axis[s.dim + 1]) AS r
+  FROM scaled s JOIN codes c ON s.patch_id = c.patch_id JOIN axes a ON a.r = c.j GROUP BY 1, 2) GROUP BY 1""")
+
+
+def spread(source: str, dims: int, value: str, at: str) -> str:
+    """Rows (space, id, split, f1...) from one row per patch and component."""
+    columns = ", ".join(f"max({value}) FILTER ({at} = {i}) AS f{i + 1}" for i in range(dims))
+    return f"SELECT '' AS space, patch_id AS id, any_value(split) AS split, {columns} FROM {source} GROUP BY patch_id"
+
+
+def centres_sql(points: str, dims: int, k: int) -> str:
+    columns = ", ".join(f"f{i} AS c{i}" for i in range(1, dims + 1))
+    return f"""SELECT '' AS config, space, row_number() OVER (ORDER BY md5(id || '-{SEED}'), CAST(id AS VARCHAR)) - 1 AS place, {columns}
+FROM {points} QUALIFY row_number() OVER (ORDER BY md5(id || '-{SEED}'), CAST(id AS VARCHAR)) <= {k}"""
+
+
+def assigned_sql(points: str, centroids: str, dims: int) -> str:
+    return f"""
+SELECT id AS patch_id, CAST(place + 1 AS INTEGER) AS cluster, sqrt({squared(dims)}) AS dist FROM {points} p JOIN {centroids} c ON c.space = p.space
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY {squared(dims)}, place) = 1"""
+
+
+view("code_points", spread("codes", CODE, "h", "j"))
+view("code_train", "SELECT * FROM code_points WHERE split = 'train'")
+view("code_centres", centres_sql("code_train", CODE, K))
+view("code_centroids", lloyd_sql("code_train", "code_centres", CODE, STEPS))
+view("assigned", assigned_sql("code_points", "code_centroids", CODE))
+view("scaled_points", spread("scaled", DIMS, "z", "dim"))
+view("scaled_train", "SELECT * FROM scaled_points WHERE split = 'train'")
+view("scaled_centres", centres_sql("scaled_train", DIMS, K_WIDE))
+view("scaled_centroids", lloyd_sql("scaled_train", "scaled_centres", DIMS, STEPS))
 view("anomalies", """
 SELECT patch_id, cluster, least(greatest((raw - lo) / (hi - lo + 1e-9), 0e0), 1e0) AS anomaly FROM
   (SELECT patch_id, cluster, round(0.5e0 * error + 0.5e0 * dist, 9) AS raw FROM assigned JOIN errors USING (patch_id)),
@@ -115,10 +137,29 @@ SELECT patch_id, cluster, least(greatest((raw - lo) / (hi - lo + 1e-9), 0e0), 1e
    FROM assigned JOIN errors USING (patch_id))""")
 
 
+def fitted_axes(s, k):
+    """Axes fitted to the train patches (k x dims numbers) and the share of variance they hold."""
+    r = fits.principal_axes(s.where("split = 'train'"), "scaled", DIMS, k).first()
+    return ([], None) if r is None else (r.axes, r.explained)
+
+
+def fitted_centroids(s, vector, k):
+    """Centroids fitted to the train patches."""
+    train = s.where("split = 'train'").select(F.lit("").alias("space"), "patch_id", F.col(vector).alias("v"))
+    first = fits.first_centres(train, "space", F.col("patch_id").cast("string"), "v", k, SEED)
+    run = fits.Configuration("", k, first[""])
+    fits.lloyd(train, [run], STEPS)
+    return run.centroids.tolist()
+
+
+def coded(spark, d):
+    s = store(scaled(spark, d))
+    return store(em.linear_autoencode(s, "scaled", fitted_axes(s, CODE)[0]))
+
+
 def encoded(spark, d):
-    s = scaled(spark, d).withColumn("code", em.dense_layer(F.col("scaled"), W, B))
-    s = s.withColumn("error", em.reconstruction_error(F.col("scaled"), em.dense_layer(F.col("code"), BACK, [0.0] * DIMS, relu=False)))
-    return em.assign_clusters(s, "code", CENTROIDS)
+    c = coded(spark, d)
+    return em.assign_clusters(c, "code", fitted_centroids(c, "code", K))
 
 
 def anomalies(spark, d):
@@ -127,7 +168,7 @@ def anomalies(spark, d):
 
 @query("encoded_patches", "SELECT patch_id, CAST(j AS INTEGER) AS unit, round(h, 5) AS h FROM codes")
 def encoded_patches(spark, d):
-    return scaled(spark, d).select("patch_id", F.posexplode(em.dense_layer(F.col("scaled"), W, B)).alias("unit", "h")).withColumn("h", F.round("h", 5))
+    return coded(spark, d).select("patch_id", F.posexplode("code").alias("unit", "h")).withColumn("h", F.round("h", 5))
 
 
 @query("cluster_assignment", "SELECT patch_id, cluster, round(dist, 5) AS center_distance FROM assigned")
@@ -266,25 +307,107 @@ def pixel_cluster_profile(spark, d):
     return em.pixel_cluster_profile(em.assign_clusters(f, "v", PIXEL_CENTROIDS), ["ndvi", "ndwi", "ndbi"], 100.0)
 
 
-@query("kmeans_clusters")
+@query("kmeans_clusters", f"""
+SELECT cluster, count(*) AS patch_count FROM ({assigned_sql("scaled_points", "scaled_centroids", DIMS)}) GROUP BY cluster""")
 def kmeans_clusters(spark, d):
-    s = cut_lineage(scaled(spark, d))
-    c = em.fit_kmeans(s.where("split = 'train'"), "scaled", 4, 42)
-    return em.assign_clusters(s, "scaled", c).groupBy("cluster").agg(F.count(F.lit(1)).alias("patch_count"))
+    s = store(scaled(spark, d))
+    return em.assign_clusters(s, "scaled", fitted_centroids(s, "scaled", K_WIDE)).groupBy("cluster").agg(F.count(F.lit(1)).alias("patch_count"))
 
 
-@query("linear_autoencoder")
+@query("linear_autoencoder", f"""
+SELECT patch_id, round(avg((z - r) * (z - r)), 6) AS error, (SELECT round(any_value(explained), 6) FROM axes) AS explained_variance FROM (
+  SELECT s.patch_id, s.dim, any_value(s.z) AS z, sum(c.h * a.axis[s.dim + 1]) AS r
+  FROM scaled s JOIN (SELECT patch_id, r AS j, sum(z * axis[dim + 1]) AS h FROM scaled CROSS JOIN axes GROUP BY 1, 2) c ON s.patch_id = c.patch_id
+  JOIN axes a ON a.r = c.j GROUP BY 1, 2) GROUP BY 1""")
 def linear_autoencoder(spark, d):
-    s = cut_lineage(scaled(spark, d))
-    axes, variance = em.fit_pca(s.where("split = 'train'"), "scaled", 6)
+    s = store(scaled(spark, d))
+    axes, explained = fitted_axes(s, WIDE)
     return em.linear_autoencode(s, "scaled", axes).select(
-        "patch_id", F.round("error", 6).alias("error"), F.lit(round(sum(variance), 6)).alias("explained_variance"))
+        "patch_id", F.round("error", 6).alias("error"), F.round(F.lit(explained), 6).alias("explained_variance"))
+
+
+@query("principal_axes", "SELECT r, i AS dim, round(axis[i + 1], 5) AS weight FROM axes, (SELECT unnest(range(20)) AS i)")
+def principal_axes(spark, d):
+    axes = fits.principal_axes(scaled(spark, d).where("split = 'train'"), "scaled", DIMS, WIDE)
+    return axes.select(F.posexplode("axes").alias("r", "axis")).select(F.col("r").cast("bigint"), F.posexplode("axis").alias("dim", "w")).select(
+        "r", F.col("dim").cast("bigint"), F.round("w", 5).alias("weight"))
+
+
+# clustering experiments over the first and the last scene
+SETS = {"sentinel2": ("ndvi", "ndwi", "ndbi"), "fusion": ("ndvi", "ndwi", "ndbi", "vv", "vh", "ratio")}
+KS = (4, 5, 6, 8, 10)
+GRID_STEPS, D = 6, 6
+F6 = [f"f{i}" for i in range(1, D + 1)]
+view("xhigh", """
+SELECT DISTINCT scene, y, x FROM (SELECT before_scene AS scene, y, x, confidence FROM detected UNION ALL SELECT after_scene, y, x, confidence FROM detected)
+WHERE confidence >= 0.75e0""")
+view("xraw", """
+SELECT f.scene || '|' || s || '|' || m AS space, f.scene || '_' || f.y || '_' || f.x AS id, f.y, f.x, ndvi AS f1, ndwi AS f2, ndbi AS f3,
+  CASE s WHEN 'fusion' THEN vv ELSE 0e0 END AS f4, CASE s WHEN 'fusion' THEN vh ELSE 0e0 END AS f5, CASE s WHEN 'fusion' THEN ratio ELSE 0e0 END AS f6
+FROM feat f LEFT JOIN xhigh h ON h.scene = f.scene AND h.y = f.y AND h.x = f.x,
+  (SELECT unnest(['sentinel2', 'fusion']) AS s), (SELECT unnest(['all', 'high_confidence_change']) AS m)
+WHERE f.scene IN (SELECT unnest([min(scene), max(scene)]) FROM px) AND (m = 'all' OR h.scene IS NOT NULL)
+  AND ndvi IS NOT NULL AND ndwi IS NOT NULL AND ndbi IS NOT NULL AND (s = 'sentinel2' OR (vv IS NOT NULL AND vh IS NOT NULL AND ratio IS NOT NULL))""")
+view("xscaled", "SELECT space, id, y, x, " + ", ".join(f"({f} - m{f}) / CASE WHEN d{f} > 0 THEN d{f} ELSE 1 END AS {f}" for f in F6) + " FROM xraw JOIN (SELECT space, "
+     + ", ".join(f"avg({f}) AS m{f}, stddev_pop({f}) AS d{f}" for f in F6) + " FROM xraw GROUP BY space) USING (space)")
+view("xcov", f"""
+SELECT space AS key, i, j, avg(f[i] * f[j]) - avg(f[i]) * avg(f[j]) AS v FROM (SELECT space, [{', '.join(F6)}] AS f FROM xscaled),
+  (SELECT unnest(range(1, {D + 1})) AS i), (SELECT unnest(range(1, {D + 1})) AS j) GROUP BY 1, 2, 3""")
+view("xaxes", axes_sql("xcov", D, 3), stored=True)
+view("xpoints", "SELECT space || '|none' AS space, id, y, x, " + ", ".join(F6) + " FROM xscaled UNION ALL SELECT space || '|pca', id, y, x, "
+     + ", ".join(" + ".join(f"{f} * a{r}[{i}]" for i, f in enumerate(F6, 1)) for r in range(3))
+     + ", 0e0, 0e0, 0e0 FROM xscaled JOIN (SELECT key, " + ", ".join(f"any_value(axis) FILTER (r = {r}) AS a{r}" for r in range(3)) + " FROM xaxes GROUP BY key) ON key = space",
+     stored=True)
+view("xcentres", f"""
+SELECT space || '|' || k AS config, space, place - 1 AS place, {", ".join(f"{f} AS c{f[1:]}" for f in F6)}
+FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY md5(id || '-{SEED}'), id) AS place FROM xpoints), (SELECT unnest({list(KS)}) AS k) WHERE place <= k""")
+view("xcent", lloyd_sql("xpoints", "xcentres", D, GRID_STEPS), stored=True)
+view("xown", f"""
+SELECT config, p.space, id, y, x, place, {", ".join(F6)} FROM xpoints p JOIN xcent c ON c.space = p.space
+QUALIFY row_number() OVER (PARTITION BY config, id ORDER BY {squared(D)}, place) = 1""", stored=True)
+SQUARE = " + ".join(f"{f} * {f}" for f in F6)
+view("xscore", f"""
+SELECT config, CASE WHEN max(clusters) > 1 THEN avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) END AS silhouette FROM (
+  SELECT o.config, o.id, count(*) AS clusters, max(CASE WHEN o.place = c.place THEN total / greatest(n - 1, 1) END) AS a,
+    min(CASE WHEN o.place <> c.place THEN total / n END) AS b, max(CASE WHEN o.place = c.place THEN n END) AS n
+  FROM xown o JOIN (SELECT config, place, count(*) AS n, sum({SQUARE}) AS sq, {", ".join(f"sum({f}) AS s{f[1:]}" for f in F6)} FROM xown GROUP BY 1, 2) c
+    ON c.config = o.config, LATERAL (SELECT n * ({SQUARE}) + sq - 2 * ({" + ".join(f"{f} * s{f[1:]}" for f in F6)}) AS total) GROUP BY 1, 2) GROUP BY config""")
+view("xruns", f"""
+SELECT scene, feature_set, reduction, mask_mode, k, CASE WHEN n IS NULL THEN 'skipped' ELSE 'ok' END AS status,
+  CASE WHEN n IS NULL THEN 'no valid pixels' END AS reason, coalesce(n, 0) AS pixel_count,
+  CASE WHEN reduction = 'pca' THEN round(explained, 4) END AS explained_variance, round(silhouette, 4) AS silhouette
+FROM (SELECT CAST(unnest([min(scene), max(scene)]) AS INTEGER) AS scene FROM px), (SELECT unnest(['sentinel2', 'fusion']) AS feature_set),
+  (SELECT unnest(['none', 'pca']) AS reduction), (SELECT unnest(['all', 'high_confidence_change']) AS mask_mode), (SELECT unnest({list(KS)}) AS k)
+LEFT JOIN (SELECT space, count(*) AS n FROM xraw GROUP BY 1) q ON q.space = scene || '|' || feature_set || '|' || mask_mode
+LEFT JOIN (SELECT key, any_value(explained) AS explained FROM xaxes GROUP BY 1) e ON e.key = scene || '|' || feature_set || '|' || mask_mode
+LEFT JOIN xscore s ON s.config = scene || '|' || feature_set || '|' || mask_mode || '|' || reduction || '|' || k""")
+view("xranked", """
+SELECT *, CAST(row_number() OVER (ORDER BY status <> 'ok', silhouette DESC NULLS LAST, scene, feature_set, reduction, mask_mode, k) AS INTEGER) AS rank FROM xruns""")
+
+
+def experiment_grid(spark, d):
+    ends = overlay.consecutive_pairs(obs.table(spark, d, "lineitem").select((F.year("l_shipdate") - obs.SCENE_EPOCH).alias("scene"))).agg(
+        F.min("before_scene"), F.max("after_scene")).first()
+    change = detected(spark, d).where("confidence >= 0.75")
+    confident = change.select(F.explode(F.array("before_scene", "after_scene")).alias("scene"), "y", "x").distinct().withColumn("high", F.lit(True))
+    px = obs.features(spark, d).where(F.col("scene").isin(*ends)).join(confident, ["scene", "y", "x"], "left").withColumn("high", F.coalesce("high", F.lit(False)))
+    points, axes = ex.feature_spaces(px, SETS, "high")
+    found, runs = ex.run_experiments(spark, points, axes, list(ends), list(SETS), KS, SEED, GRID_STEPS)
+    return points, ex.ranked_experiments(found), runs
+
+
+@query("clustering_experiments", "SELECT * FROM xranked")
+def clustering_experiments(spark, d):
+    """Silhouette of every scene, feature set, reduction, mask and cluster count."""
+    return experiment_grid(spark, d)[1]
 
 
-@query("clustering_experiments")
-def clustering_experiments(spark, d):
-    s = cut_lineage(scaled(spark, d).withColumn("code", em.dense_layer(F.col("scaled"), W, B)))
-    return em.ranked_experiments(em.experiments(s, ["scaled", "code"], [2, 4], 42, 300))
+@query("best_experiment_clusters", """
+SELECT r.scene, y, x, CAST(place + 1 AS INTEGER) AS cluster FROM xown o JOIN xranked r
+  ON o.config = r.scene || '|' || feature_set || '|' || mask_mode || '|' || reduction || '|' || k WHERE rank = 1""")
+def best_experiment_clusters(spark, d):
+    """Cluster raster of the best experiment."""
+    return ex.best_clusters(*experiment_grid(spark, d))
 
 
 @query("expert_sample", """

@@ -13,6 +13,7 @@ from landshift.plans.patches import weights
 from landshift.operators.quantiles import exact_quantiles_by
 from landshift.plans.registry import query, view
 from landshift.plans.terrain import aoi_ring, extent
+from landshift.plans.twins import lonlat_ctes
 from landshift.session import cut_lineage
 from landshift.sources import observations as obs
 
@@ -216,7 +217,13 @@ def pixel_positions(spark, d):
     return p.select("y", "x", "map_x", "map_y", row.alias("back_row"), col.alias("back_col"), inside.alias("inside"))
 
 
-@query("patch_footprints")
+@query("patch_footprints", f"""
+WITH corner AS (
+  SELECT prow, pcol, k, 830650e0 + (pcol + dc) * 80 AS mx, 9794800e0 - (prow + dr) * 80 AS my
+  FROM (SELECT DISTINCT y // 8 AS prow, CAST(x // 8 AS BIGINT) AS pcol FROM px)
+  CROSS JOIN (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 0, 0)) c(k, dr, dc)),
+{lonlat_ctes("corner", "placed")}
+SELECT prow, pcol, to_json(list([round(lon, 9), round(lat, 9)] ORDER BY k)) AS ring FROM placed GROUP BY 1, 2""")
 def patch_footprints(spark, d):
     """Corner ring of every patch in longitude and latitude."""
     p = obs.pixels(spark, d).select(F.floor(F.col("y") / 8).alias("prow"), F.floor(F.col("x") / 8).alias("pcol")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
+STORED: set[str] = set()  # views that are computed once per statement
 
 
 def query(name: str, sql: str | None = None):
@@ -24,8 +25,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def view(name: str, sql: str) -> None:
+def view(name: str, sql: str, stored: bool = False) -> None:
     VIEWS[name] = sql
+    if stored:
+        STORED.add(name)
 
 
 def _uses(sql: str) -> list[str]:
@@ -48,7 +51,7 @@ def expand(sql: str) -> str:
         visit(name)
     if not order:
         return sql
-    head = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in order)
+    head = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in STORED else ''}({VIEWS[name]})" for name in order)
     body = sql.strip()
     if re.match(r"with\s+recursive\s", body, re.IGNORECASE):
         return f"WITH RECURSIVE {head},\n{re.sub(r'^with\s+recursive\s', '', body, flags=re.IGNORECASE)}"

@@ -157,13 +157,18 @@ SELECT p.*, (SELECT count(*) FROM (SELECT r.ring[i] AS a, r.ring[i + 1] AS b FRO
 FROM (SELECT scene, y, x, s1, s2, s3, s4 FROM px) p""")
 
 
-def aoi_ring(spark, d):
+def aoi_rings(spark, d):
+    """The ring in one row."""
     h = F.floor(F.max("p_partkey") / 8) + 1
 
     def p(x, f):
         return F.struct(F.lit(float(x)).alias("x"), (h * F.lit(f)).alias("y"))
 
-    return obs.table(spark, d, "part").agg(F.array(p(3, 0.0), p(50, 0.1), p(53, 0.8), p(30, 1.0), p(5, 0.6), p(3, 0.0))).scalar()
+    return obs.table(spark, d, "part").agg(F.array(p(3, 0.0), p(50, 0.1), p(53, 0.8), p(30, 1.0), p(5, 0.6), p(3, 0.0)).alias("ring"))
+
+
+def aoi_ring(spark, d):
+    return aoi_rings(spark, d).scalar()
 
 
 @query("aoi_mask", "SELECT scene, y, x, in_aoi FROM aoi_px")
@@ -184,3 +189,20 @@ def outside_aoi_counts(spark, d):
         for i in range(1, 5)
     ]))
     return wide.select(rows.alias("r")).select("r.*")
+
+
+view("aoi_hit", """
+SELECT DISTINCT y, x FROM (
+  SELECT y, x, CASE WHEN dx = 0 THEN 0e0 ELSE least((x - ax) / dx, (x + 1 - ax) / dx) END AS x_lo, CASE WHEN dx = 0 THEN 1e0 ELSE greatest((x - ax) / dx, (x + 1 - ax) / dx) END AS x_hi,
+    CASE WHEN dy = 0 THEN 0e0 ELSE least((y - ay) / dy, (y + 1 - ay) / dy) END AS y_lo, CASE WHEN dy = 0 THEN 1e0 ELSE greatest((y - ay) / dy, (y + 1 - ay) / dy) END AS y_hi,
+    dx <> 0 OR (ax > x AND ax < x + 1) AS x_ok, dy <> 0 OR (ay > y AND ay < y + 1) AS y_ok
+  FROM (SELECT DISTINCT y, x FROM px) CROSS JOIN (
+    SELECT a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM (SELECT r.ring[i] AS a, r.ring[i + 1] AS b FROM aoi_ring r, (SELECT unnest(range(1, 6)) AS i))))
+WHERE x_ok AND y_ok AND greatest(x_lo, y_lo) < least(x_hi, y_hi) AND greatest(x_lo, y_lo) < 1 AND least(x_hi, y_hi) > 0""")
+
+
+@query("aoi_mask_touched", """
+SELECT scene, p.y, p.x, in_aoi OR h.y IS NOT NULL AS in_aoi FROM aoi_px p LEFT JOIN aoi_hit h ON h.y = p.y AND h.x = p.x""")
+def aoi_mask_touched(spark, d):
+    """The area of interest with every pixel that its outline crosses."""
+    return tr.touched_by_ring(obs.pixels(spark, d).select("scene", "y", "x"), aoi_rings(spark, d)).select("scene", "y", "x", "in_aoi")

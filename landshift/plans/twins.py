@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from landshift.functions import geo
 from landshift.plans.registry import view
 
 ND = "CASE WHEN abs(({a})+({b})) > 1e-6 THEN (({a})-({b}))/(({a})+({b})) END"
@@ -11,6 +12,23 @@ def nd(a: str, b: str) -> str:
     return ND.format(a=a, b=b)
 
 
+def number(v: float) -> str:
+    """A literal that SQL reads as a double."""
+    return repr(v) if "e" in repr(v) else f"{v!r}e0"
+
+
+def lonlat_ctes(source: str, name: str) -> str:
+    """Table expressions that add lon and lat to the map coordinates mx and my of `source` (zone 35 south)."""
+    scale = number(geo._K0 * geo._AA)
+    xi1 = " ".join(f"- {number(b)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(geo._BETA, 1))
+    eta1 = " ".join(f"- {number(b)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(geo._BETA, 1))
+    lat = " ".join(f"+ {number(d)} * sin({2 * j} * chi)" for j, d in enumerate(geo._DELTA, 1))
+    return f"""{name}_a AS (SELECT *, (my - 1e7) / {scale} AS xi, (mx - 5e5) / {scale} AS eta FROM {source}),
+{name}_b AS (SELECT *, xi {xi1} AS xi1, eta {eta1} AS eta1 FROM {name}_a),
+{name}_c AS (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM {name}_b),
+{name} AS (SELECT * EXCLUDE (xi, eta, xi1, eta1, chi), 27 + degrees(atan2(sinh(eta1), cos(xi1))) AS lon, degrees(chi {lat}) AS lat FROM {name}_c)"""
+
+
 view("px", """
 SELECT year(l_shipdate) - 1995 AS scene, l_partkey // 8 AS y,
        CAST((l_partkey % 8) * 7 + l_linenumber - 1 AS INTEGER) AS x, count(*) AS n,
@@ -151,3 +169,55 @@ view("evidence", f"""
 SELECT m.scene, m.y, m.x, m.model_class, m.confidence, m.entropy, v.source_count, v.agreement, v.disagreement, c.consensus,
        v.agreement > 0 AND ({H2M}) = m.model_class AS is_compatible
 FROM model_out m JOIN votes v USING (scene, y, x) JOIN consensus c USING (y, x)""")
+
+
+def axes_sql(source: str, d: int, k: int, sweeps: int = 8) -> str:
+    """(key, r, axis, explained): the first k principal axes of the covariances (key, i, j, v) in `source`, by Jacobi rotations."""
+    rows, cols = f"e // {d}", f"e % {d}"
+
+    def turned(of: str, where: str, one: str, other: str) -> str:
+        return (f"list_transform(range({d * d}), lambda e: CASE WHEN {where} = p THEN c * {of}[{one}] - s * {of}[{other}] "
+                f"WHEN {where} = q THEN s * {of}[{one}] + c * {of}[{other}] ELSE {of}[e + 1] END)")
+
+    by_row = turned("a", rows, f"p * {d} + {cols} + 1", f"q * {d} + {cols} + 1")
+    by_col = [turned(m, cols, f"({rows}) * {d} + p + 1", f"({rows}) * {d} + q + 1") for m in ("b", "v")]
+    return f"""
+WITH RECURSIVE turns AS MATERIALIZED (SELECT p, q, row_number() OVER (ORDER BY sweep, p, q) AS n
+  FROM (SELECT unnest(range({sweeps})) AS sweep), (SELECT unnest(range({d})) AS p), (SELECT unnest(range({d})) AS q) WHERE p < q),
+jac AS (
+  SELECT CAST(0 AS BIGINT) AS n, key, list(v ORDER BY i, j) AS a, list(CASE WHEN i = j THEN 1e0 ELSE 0e0 END ORDER BY i, j) AS v FROM {source} GROUP BY key
+  UNION ALL
+  SELECT n, key, {by_col[0]}, {by_col[1]}
+  FROM (SELECT n, key, p, q, c, s, v, {by_row} AS b
+    FROM (SELECT n, key, p, q, a, v, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s
+      FROM (SELECT *, CASE WHEN abs(apq) < 1e-150 THEN 0e0 ELSE (CASE WHEN theta >= 0 THEN 1 ELSE -1 END) / (abs(theta) + sqrt(theta * theta + 1)) END AS t
+        FROM (SELECT *, CASE WHEN abs(apq) < 1e-150 THEN 0e0 ELSE (a[q * {d} + q + 1] - a[p * {d} + p + 1]) / (2 * apq) END AS theta
+          FROM (SELECT turns.n, key, p, q, a, v, a[p * {d} + q + 1] AS apq FROM jac JOIN turns ON turns.n = jac.n + 1))))))
+SELECT key, r, CASE WHEN axis[list_position(size, list_max(size))] < 0 THEN list_transform(axis, lambda x: -x) ELSE axis END AS axis, explained
+FROM (SELECT *, list_transform(axis, lambda x: abs(x)) AS size, sum(value) FILTER (r < {k}) OVER (PARTITION BY key) / sum(value) OVER (PARTITION BY key) AS explained
+  FROM (SELECT key, a[j * {d} + j + 1] AS value, list_transform(range({d}), lambda i: v[i * {d} + j + 1]) AS axis,
+      row_number() OVER (PARTITION BY key ORDER BY a[j * {d} + j + 1] DESC, j) - 1 AS r
+    FROM jac, (SELECT unnest(range({d})) AS j) WHERE n = {sweeps * d * (d - 1) // 2})) WHERE r < {k}"""
+
+
+def squared(d: int) -> str:
+    return " + ".join(f"(f{i} - c{i}) * (f{i} - c{i})" for i in range(1, d + 1))
+
+
+def lloyd_sql(points: str, centres: str, d: int, steps: int) -> str:
+    """(config, space, place, c1...): centroids after the steps, from points (space, id, f1...) and first centres.
+
+    The row without an id in each space carries the centroid of a cluster that no point is nearest to.
+    """
+    fs, cs = ", ".join(f"f{i}" for i in range(1, d + 1)), ", ".join(f"c{i}" for i in range(1, d + 1))
+    means = ", ".join(f"coalesce(avg(f{i}), any_value(c{i}))" for i in range(1, d + 1))
+    nothing = ", ".join(["NULL"] * d)
+    return f"""
+WITH RECURSIVE moving AS MATERIALIZED (SELECT space, id, {fs} FROM {points} UNION ALL SELECT DISTINCT space, NULL, {nothing} FROM {points}),
+cent AS (
+  SELECT 0 AS step, config, space, place, {cs} FROM {centres}
+  UNION ALL
+  SELECT step + 1, config, any_value(space), place, {means} FROM (
+    SELECT c.step, c.config, c.space, c.place, {cs}, {fs}, id, row_number() OVER (PARTITION BY c.config, id ORDER BY {squared(d)}, place) AS rn
+    FROM cent c JOIN moving m ON m.space = c.space WHERE c.step < {steps}) WHERE rn = 1 OR id IS NULL GROUP BY step, config, place)
+SELECT config, space, place, {cs} FROM cent WHERE step = {steps}"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from landshift.operators.rollup import residual_properties
 
@@ -24,12 +25,13 @@ def write_band(df: DataFrame, path: str, dtype: str = "float") -> None:
 
 
 def as_features(df: DataFrame, geometry: str, properties: Sequence[str]) -> DataFrame:
-    """GeoJSON feature text per row; `geometry` holds the ring as an array of [x, y]."""
+    """GeoJSON feature text per row; `geometry` holds one ring as an array of [x, y], or a polygon as an array of rings."""
+    ring = not isinstance(df.schema[geometry].dataType.elementType.elementType, ArrayType)
     return df.select(
         F.to_json(
             F.struct(
                 F.lit("Feature").alias("type"),
-                F.struct(F.lit("Polygon").alias("type"), F.array(F.col(geometry)).alias("coordinates")).alias("geometry"),
+                F.struct(F.lit("Polygon").alias("type"), (F.array(geometry) if ring else F.col(geometry)).alias("coordinates")).alias("geometry"),
                 F.struct(*properties).alias("properties"),
             )
         ).alias("value")
@@ -58,9 +60,15 @@ def publish_rows(scored: DataFrame, run_id: str) -> DataFrame:
 
 
 def publish(scored: DataFrame, path: str, run_id: str, replace: bool = True) -> None:
-    """Rows in a folder per run. A run that is published again replaces its own folder; `replace` drops the other runs too."""
-    rows = publish_rows(scored, run_id).write.mode("overwrite").partitionBy("run_id")
-    rows.option("partitionOverwriteMode", "static" if replace else "dynamic").parquet(path)
+    """Rows in a folder per run, and the run's own row in the folder `path`_runs.
+
+    A run that is published again replaces its own folder and row. `replace` drops the rows of
+    the other runs; their run rows stay, as a history. The run's row is written last, so a run
+    without one did not finish.
+    """
+    mode = "static" if replace else "dynamic"
+    publish_rows(scored, run_id).write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", mode).parquet(path)
+    run_row(scored, run_id).write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic").parquet(f"{path.rstrip('/')}_runs")
 
 
 def run_row(scored: DataFrame, run_id: str, status: str = "published") -> DataFrame:

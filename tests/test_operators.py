@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landshift.config import SceneSearch
-from landshift.operators import audit as au, embed as em, overlay, patches as pt, quantiles, ranking, raster as rs, regions as rg, review as rv, scenes as sc, terrain as tr, votes
+from landshift.operators import audit as au, embed as em, experiments as ex, fits, outlines, overlay, patches as pt, quantiles, ranking, raster as rs, regions as rg, review as rv, scenes as sc, terrain as tr, votes
 from landshift.sources.sinks import upsert_scenes
 
 
@@ -282,3 +282,198 @@ def test_gate_holds_without_a_temporal_report(spark):
     rel = spark.createDataFrame([(0.9, 0.9, 0.1)], "mean_confidence double, mean_compatible_fraction double, mean_review_fraction double")
     r = au.publish_gate(ok, none, rel).first()
     assert r.temporal_status == "missing" and r.recommendation.startswith("hold")
+
+
+def trace(cells):
+    """Closed rings of a set of pixels, walked side by side: interior to the right, left turns where two pixels meet at a corner only."""
+    step = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+    sides = {}
+    for y, x in cells:
+        for d, (start, other) in enumerate([((x, y), (y - 1, x)), ((x + 1, y), (y, x + 1)), ((x + 1, y + 1), (y + 1, x)), ((x, y + 1), (y, x - 1))]):
+            if other not in cells:
+                sides[start, d] = (start[0] + step[d][0], start[1] + step[d][1])
+    rings = []
+    while sides:
+        (start, d), corners = min(sides), []
+        first = (start, d)
+        while True:
+            end = sides.pop((start, d))
+            turn = next((t for t in (d + 3, d, d + 1) if (end, t % 4) in sides or (end, t % 4) == first)) % 4
+            if turn != d:
+                corners.append(end)
+            start, d = end, turn
+            if (start, d) == first:
+                break
+        rings.append(corners)
+    return rings
+
+
+def area(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]])) / 2
+
+
+def turned(ring):
+    at = ring.index(min(ring))
+    return tuple(ring[at:] + ring[:at])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rings_match_a_walk_around_each_region(spark, seed):
+    """Random rasters with holes, nested regions and pixels that meet at corners."""
+    rng = random.Random(seed)
+    grid = [[rng.choice([0, 1, 1, 1, 2]) for _ in range(17)] for _ in range(15)]
+    rows = [(1, r, c, v) for r, line in enumerate(grid) for c, v in enumerate(line) if v]
+    runs = rg.label_runs(spark.createDataFrame(rows, "layer int, y bigint, x int, v int").repartition(5), "layer", "v")
+    found = {}
+    for r in outlines.ring_vertices(runs, "layer").orderBy("ring", "place").collect():
+        found.setdefault(r.ring, []).extend([(r.x_first, r.line), (r.x_second, r.line)])
+    want = [tuple(ring) for comp in flood(grid) for ring in trace(comp)]
+    # the operator runs against the walk, so that outer rings are counterclockwise with north up
+    assert sorted(turned(r) for r in found.values()) == sorted(turned(list(reversed(r))) for r in want)
+    for r in found.values():
+        assert len(set(r)) == len(r)  # no ring touches itself
+    areas = {}
+    for r in outlines.region_rings(runs, "layer").collect():
+        assert r.hole == (r.pixel_area < 0) and len(r.coordinates) == r.corner_count + 1 and r.coordinates[0] == r.coordinates[-1]
+        areas.setdefault(r.region, []).append(r.pixel_area)
+    assert sorted(map(sum, areas.values())) == sorted(map(len, flood(grid)))
+    assert all(sum(a > 0 for a in v) == 1 for v in areas.values())
+    outer = [r for r in outlines.region_rings(runs, "layer").where("NOT hole").collect()]
+    assert all(area([tuple(p) for p in r.coordinates[:-1]]) > 0 for r in outer)
+    polygons = outlines.region_polygons(outlines.region_rings(runs, "layer"), "layer").collect()
+    assert sorted(len(p.polygon) for p in polygons) == sorted(map(len, areas.values()))
+
+
+def test_long_ring_and_empty_layer(spark):
+    """A comb whose outline has hundreds of sides, and no pixels at all."""
+    rows = [(1, y, x, 1) for y in range(60) for x in range(21) if y == 0 or x % 2 == 0]
+    df = spark.createDataFrame(rows, "layer int, y bigint, x int, v int")
+    runs = rg.label_runs(df, "layer", "v")
+    ring = outlines.region_rings(runs, "layer").collect()
+    assert len(ring) == 1 and ring[0].pixel_area == len(rows) and ring[0].corner_count == 44
+    assert outlines.region_rings(rg.label_runs(df.limit(0), "layer", "v"), "layer").collect() == []
+
+
+@pytest.mark.parametrize("side", [4, 64])
+def test_shift_correlations_over_block_borders(spark, side):
+    """Blocks smaller than the raster see what lies beyond their border; holes take no part."""
+    rng = np.random.default_rng(4)
+    base = rng.random((22, 19))
+    base[rng.random(base.shape) < 0.1] = np.nan
+    moved = np.roll(base, (2, -1), (0, 1)) + rng.random(base.shape) * 0.01
+
+    def df(m):
+        rows = [(r, c, None if np.isnan(m[r, c]) else float(m[r, c])) for r in range(m.shape[0]) for c in range(m.shape[1])]
+        return spark.createDataFrame(rows, "y bigint, x int, v double").repartition(3)
+
+    got = {(r.dy, r.dx): r for r in tr.shift_correlations(df(base), df(moved), "v", 3, 250, side).collect()}
+    assert len(got) == 49
+    for dy in range(-3, 4):
+        for dx in range(-3, 4):
+            pairs = [(base[r, c], moved[r - dy, c - dx]) for r in range(22) for c in range(19) if 0 <= r - dy < 22 and 0 <= c - dx < 19]
+            pairs = np.array([p for p in pairs if not np.isnan(p).any()])
+            assert got[dy, dx].samples == len(pairs)
+            if len(pairs) >= 250:
+                assert got[dy, dx].correlation == pytest.approx(np.corrcoef(pairs.T)[0, 1], abs=2e-8)
+            else:
+                assert got[dy, dx].correlation is None
+    assert max((r for r in got.values() if r.correlation is not None), key=lambda r: r.correlation)[:2] == (-2, 1)
+
+
+def test_shift_correlations_of_flat_rasters(spark):
+    df = spark.createDataFrame([(y, x, 1.0) for y in range(6) for x in range(6)], "y bigint, x int, v double")
+    assert all(r.correlation is None for r in tr.shift_correlations(df, df, "v", 1, 1).collect())
+    assert tr.shift_correlations(df.limit(0), df, "v").collect() == []
+
+
+def test_principal_axes_match_a_full_decomposition(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for key in ("a", "b"):
+        v = rng.normal(size=(60, 6)) @ rng.normal(size=(6, 6)) + 3
+        rows += [(key, r.tolist()) for r in v] + [(key, None)]
+        values, vectors = np.linalg.eigh(np.cov(v.T, bias=True))
+        want[key] = values[::-1], vectors[:, ::-1].T
+    got = fits.principal_axes(spark.createDataFrame(rows, "k string, v array<double>").repartition(5), "v", 6, 3, F.col("k")).collect()
+    assert {r.key for r in got} == {"a", "b"}
+    for r in got:
+        values, vectors = want[r.key]
+        assert r.n == 60 and r.explained == pytest.approx(values[:3].sum() / values.sum())
+        for axis, vector in zip(r.axes, vectors):
+            assert max(axis, key=abs) > 0
+            assert np.allclose(axis, vector * np.sign(vector[np.abs(vector).argmax()]), atol=1e-8)
+    assert fits.principal_axes(spark.createDataFrame([], "v array<double>"), "v", 6, 3).collect() == []
+
+
+def plain_lloyd(points, centroids, steps):
+    for _ in range(steps):
+        own = ((points[:, None] - centroids[None]) ** 2).sum(2).argmin(1)
+        centroids = np.array([points[own == k].mean(0) if (own == k).any() else centroids[k] for k in range(len(centroids))])
+    return centroids
+
+
+def test_lloyd_runs_all_configurations_at_once(spark):
+    """Two spaces, several cluster counts, an empty cluster, a space without rows; silhouettes against all distances."""
+    rng = np.random.default_rng(8)
+    data = {"s": np.concatenate([rng.normal(m, 0.3, (40, 3)) for m in (0, 2, 5)]), "t": rng.normal(size=(50, 3))}
+    df = spark.createDataFrame([(s, i, p.tolist()) for s, pts in data.items() for i, p in enumerate(pts)], "space string, id int, v array<double>").repartition(6)
+    first = fits.first_centres(df, "space", F.concat_ws("_", "space", "id"), "v", 5, 1)
+    assert {s: len(v) for s, v in first.items()} == {"s": 5, "t": 5}
+    runs = [fits.Configuration(s, k, first[s][:k]) for s in data for k in (2, 3, 5)]
+    runs += [fits.Configuration("t", 2, np.array([data["t"].mean(0), [1e3] * 3])), fits.Configuration("none", 2)]
+    starts = [run.centroids for run in runs]
+    fits.lloyd(df, runs, 6)
+    scores = fits.silhouettes(df, runs)
+    for run, start, (n, held, score) in zip(runs[:-1], starts, scores):
+        points = data[run.space]
+        assert np.allclose(run.centroids, plain_lloyd(points, start, 6))
+        d2 = ((points[:, None] - points[None]) ** 2).sum(2)
+        own = fits.nearest(points, run.centroids)
+        assert n == len(points) and held == len(set(own))
+        if held < 2:
+            assert score is None and run.settled
+            continue
+        each = []
+        for i in range(len(points)):
+            mine = own == own[i]
+            a = d2[i][mine].sum() / max(mine.sum() - 1, 1)
+            b = min(d2[i][own == k].mean() for k in set(own) if k != own[i])
+            each.append((b - a) / max(a, b) if mine.sum() > 1 else 0)
+        assert score == pytest.approx(np.mean(each))
+    assert scores[-1] == (0, 0, None)
+
+
+def test_experiment_grid_skips_spaces_without_pixels(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, i // 8, i % 8, float(rng.random()), float(rng.random()) if i % 9 else None, False) for i in range(64)]
+    px = spark.createDataFrame(rows, "scene int, y int, x int, a double, b double, high boolean")
+    sets = {"one": ("a",), "two": ("a", "b")}
+    points, axes = ex.feature_spaces(px, {**sets, "wide": ("a", "b", "a")}, "high")
+    found, runs = ex.run_experiments(spark, points, axes, [1, 2], list(sets), (2, 3), 1, 3)
+    ranked = ex.ranked_experiments(found)
+    got = ranked.orderBy("rank").collect()
+    assert len(got) == 2 * 2 * 2 * 2 * 2 and [r.rank for r in got] == list(range(1, 33))
+    ok = [r for r in got if r.status == "ok"]
+    assert len(ok) == 8 and got[:8] == ok and all(r.scene == 1 and r.mask_mode == "all" for r in ok)
+    assert {(r.feature_set, r.pixel_count) for r in ok} == {("one", 64), ("two", 56)}
+    assert [r.silhouette for r in ok] == sorted((r.silhouette for r in ok), reverse=True)
+    assert all(r.reason == "no valid pixels" and r.silhouette is None for r in got[8:])
+    clusters = ex.best_clusters(points, ranked, runs).collect()
+    assert len(clusters) == ok[0].pixel_count and {c.cluster for c in clusters} <= set(range(1, ok[0].k + 1))
+
+
+def test_ring_cells_match_an_exact_walk(spark):
+    """Slanted, steep, flat and vertical edges, some of them along cell borders; cells by dense sampling of every edge."""
+    ring = [(1.3, 0.2), (6.7, 2.9), (6.7, 7.4), (4.0, 7.0), (2.0, 7.0), (0.5, 5.5), (1.3, 0.2)]
+    df = spark.createDataFrame([([{"x": float(x), "y": float(y)} for x, y in ring],)], "ring array<struct<x:double,y:double>>")
+    got = {(r.y, r.x) for r in tr.ring_cells(df).collect()}
+    want = set()
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        for i in range(1, 20_000):
+            x, y = ax + (bx - ax) * i / 20_000, ay + (by - ay) * i / 20_000
+            if x != int(x) and y != int(y):
+                want.add((int(y), int(x)))
+    assert got == want
+    px = spark.createDataFrame([(1, y, x) for y in range(9) for x in range(9)], "scene int, y bigint, x int")
+    inside = {(r.y, r.x) for r in tr.inside_ring(px, df.scalar()).where("in_aoi").collect()}
+    assert {(r.y, r.x) for r in tr.touched_by_ring(px, df).where("in_aoi").collect()} == inside | want

@@ -20,8 +20,8 @@ def con():
     return compare.connect(SF)
 
 
-# iterative fits, and geometry by a projection series or segment distances: tested in test_operators and test_expressions
-NO_SQL = {"kmeans_clusters", "linear_autoencoder", "clustering_experiments", "rasterized_features", "patch_footprints", "pixel_classifier"}
+# a gradient fit, and geometry by segment distances: tested in test_operators and test_expressions
+NO_SQL = {"rasterized_features", "pixel_classifier"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

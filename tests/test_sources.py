@@ -40,6 +40,8 @@ def test_features_and_publish(spark, tmp_path):
     sinks.publish(df.drop("ring"), out, "run-b", replace=False)
     sinks.publish(df.drop("ring"), out, "run-b", replace=False)  # a retry adds nothing
     assert sinks.run_row(df, "run-b").first() == ("run-b", "published", 1, 0)
+    runs = spark.read.parquet(out + "_runs").select("run_id", "status", "published_count", "held_count").collect()
+    assert sorted(map(tuple, runs)) == [("run-a", "published", 1, 0), ("run-b", "published", 1, 0)]
     rows = spark.read.parquet(out).collect()
     assert {r.run_id for r in rows} == {"run-a", "run-b"} and len({r.publish_id for r in rows}) == 2
     assert json.loads(rows[0].properties) == {"publish_ready": True, "reliability": "high"}
