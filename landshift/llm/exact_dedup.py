@@ -106,14 +106,18 @@ def drop_exact_copies(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     The decision is joined back by id and digest, so rows with one id and different texts keep their own decision.
     """
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    decided = store(exact_dedup(documents, id_col, text_col).select(
-        F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_digest"), F.col("kept").alias("_kept")
+    # columns get numbers for names, so that none of the input's clashes with those used here
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    rows = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    id_name = names[id_col]
+    digest = F.sha2(F.coalesce(F.col(names[text_col]).cast("string"), F.lit("")).cast("binary"), 256)
+    decided = store(exact_dedup(rows, id_name, names[text_col]).select(
+        F.col(id_name).alias("_keep_id"), F.col("text_sha256").alias("_keep_digest"), F.col("kept").alias("_kept")
     ))
     stay = decided.where("_kept").drop("_kept")
-    out = documents.withColumn("_digest", digest).join(
-        stay, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")
+    out = rows.withColumn("_digest", digest).join(
+        stay, F.col(id_name).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")
     repeated = decided.groupBy("_keep_id", "_keep_digest").count().where("count > 1")
     if not repeated.isEmpty():
-        out = out.dropDuplicates([id_col, "_digest"])
-    return out.drop("_digest")
+        out = out.dropDuplicates([id_name, "_digest"])
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

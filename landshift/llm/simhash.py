@@ -166,11 +166,15 @@ def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
 def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of `documents`, all columns, that stay when each component keeps its smallest id (null ids last)."""
-    found = store(simhash_components(documents, id_col, text_col, shingle).withColumnRenamed(id_col, "_id"))
+    # columns get numbers for names, so that none of the input's clashes with those used here
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    rows = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    id_name, text = names[id_col], F.col(names[text_col])
+    found = store(simhash_components(rows, id_name, names[text_col], shingle).withColumnRenamed(id_name, "_id"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("key").alias("key"))
     stay = store(found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.key").alias("_key")))
-    there = documents.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    out = there.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    there = rows.withColumn("_text_key", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    out = there.join(stay, F.col(id_name).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
     if not found.groupBy("_id", "key").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_text_key"])
-    return out.drop("_text_key")
+        out = out.dropDuplicates([id_name, "_text_key"])
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
