@@ -17,10 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-GRAM = 3
+GRAM, PAIR = 3, 2
 WINNOW = 4  # of so many grams in a row one is a fingerprint at least
 BAND = 12  # words that copies may gain or lose against the template
 LEAST = 0.8  # coverage reported
+MATCH = 2  # score of an equal word against -1 of any other step, so that one changed word after the first does not cut a line
 INDEX_WORDS = 200_000  # words of all templates together
 CACHED_WORDS = 400_000
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -113,26 +114,36 @@ def winnow(hashes: np.ndarray, width: int = WINNOW) -> list[int]:
 class TemplateIndex:
     """Inverted index from fingerprint to (template, position)."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], least: float = LEAST) -> None:
         self.names = sorted(templates)
         self.words = [token_hashes(templates[n])[0] for n in self.names]
         if sum(map(len, self.words)) > INDEX_WORDS:
             raise ValueError(f"templates of more than {INDEX_WORDS} words are not broadcast")
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # by gram length; a short template has all its grams there, and pairs where a changed word can leave no longer gram
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {GRAM: defaultdict(list), PAIR: defaultdict(list)}
         for t, words in enumerate(self.words):
             hashes = grams(words)
-            for at in winnow(hashes):
-                self.places[int(hashes[at])].append((t, at))
-        self.filter = np.zeros(1 << 16, dtype=bool)
-        self.filter[np.array([h & 0xFFFF for h in self.places], dtype=np.int64)] = True
+            # one changed word may leave no run of words that holds a fingerprint for sure
+            short = len(words) < 2 * (GRAM + WINNOW) - 1
+            for at in range(len(hashes)) if short else winnow(hashes):
+                self.places[GRAM][int(hashes[at])].append((t, at))
+            changed = len(words) - int(np.ceil(least * len(words) - 1e-9))
+            if short and changed and -(-(len(words) - changed) // (changed + 1)) < GRAM:
+                for at, h in enumerate(grams(words, PAIR).tolist()):
+                    self.places[PAIR][h].append((t, at))
+        self.filter = {}
+        for gram, places in self.places.items():
+            self.filter[gram] = np.zeros(1 << 16, dtype=bool)
+            self.filter[gram][np.array([h & 0xFFFF for h in places], dtype=np.int64)] = True
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """(template, hits) of each cluster of neighbouring diagonals; a hit is (diagonal, place in the document)."""
-        hashes = grams(words)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at in np.flatnonzero(self.filter[(hashes & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
-            for template, place in self.places.get(int(hashes[at]), ()):
-                hits[template].append((at - place, at))
+        for gram, places in self.places.items():
+            hashes = grams(words, gram)
+            for at in np.flatnonzero(self.filter[gram][(hashes & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+                for template, place in places.get(int(hashes[at]), ()):
+                    hits[template].append((at - place, at))
         for template, found in hits.items():
             found.sort()
             start = 0
@@ -173,7 +184,7 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int, band: in
                 continue
             if int(words[j]) == t:
                 score, matched, start = before[k]
-                cell = (score + 1, matched + 1, j if start < 0 else start)
+                cell = (score + MATCH, matched + 1, j if start < 0 else start)
             else:
                 score, matched, start = max(before[k], before[k + 1], now[k - 1], key=lambda c: c[0])
                 cell = (score - 1, matched, start) if score > 1 else (0, 0, -1)
@@ -217,7 +228,7 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
     and empty texts have no licences; repeated rows and null ids stay; an empty table
     gives an empty result.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates))
+    shared = documents.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates, least))
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     struct = "struct<template:string,matched:int,coverage:double,start:int,end:int>"

@@ -55,6 +55,21 @@ def test_alignment_in_a_wide_band_is_local_alignment():
         assert (matched > 0) == (best > 0) and matched >= best and 0 <= start <= end <= len(b)
 
 
+@pytest.mark.parametrize("name", [n for n in li.TEMPLATES if n.endswith("-line")])
+def test_each_word_of_a_line_changed(name):
+    """One changed word, anywhere, leaves a line reported as long as the rest covers enough of it."""
+    index, words = li.TemplateIndex(li.TEMPLATES), li.TEMPLATES[name].split()
+    for at in range(len(words)):
+        text = " ".join(["before"] * 5 + words[:at] + ["changed"] + words[at + 1:] + ["after"] * 5)
+        found = {f["template"]: f for f in li.scan(text, index)}
+        if len(words) - 1 < li.LEAST * len(words):
+            assert name not in found
+        elif name in found:
+            assert found[name]["matched"] == len(words) - 1
+        else:  # a line with other words in the changed place covers the same words as well
+            assert any(f["matched"] >= len(words) - 1 for f in found.values())
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     hashes = rng.integers(0, 50, 200).astype(np.uint64)
