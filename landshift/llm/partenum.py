@@ -7,11 +7,11 @@ one holds few of the differences, and then some subset of its second-level parts
 two sets agree there. So a signature is the content of one such subset, and sets that are
 similar enough share one. Sets of neighbouring bands meet in the bands' common instance.
 
-Documents that share a signature are not paired with each other. Every group of a signature
-names a hub; members are compared with the hub on their n-grams themselves, and what turns out
-to be linked becomes one component. Groups that hold more than one component go on with further
-hubs, chosen from their smaller components, until every pair that could still join two
-components was compared.
+Documents that share a signature are not paired with each other. Every group of a signature,
+in parts if it is large, names hubs; members are compared with their hub on the n-grams
+themselves, and what turns out to be linked becomes one component. Groups that hold more than one
+component go on with further hubs, chosen from their smaller components, until every pair
+that could still join two components was compared.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from landshift.llm.storage import discard, store, store_by_key
 
 SHINGLE = 3
 PERCENT = 90  # links: 100 * intersection >= PERCENT * union
-HUBS = 8  # of a group in one round after the first, or as many as give PAIRS comparisons if that is more
-PAIRS = 1024
+FEW = 8  # members of a group, or of its part, that share a hub in the first round
+HUBS = 16  # of a group in one round after the first, or as many as give PAIRS comparisons if that is more
+PAIRS = 65536
 SMALL = 8  # up to so many differences, larger subsets make up for small sets
 
 _ODD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -152,12 +153,16 @@ def _verified(pairs: DataFrame, lines: DataFrame, width: int, percent: int) -> D
 def _components(lines: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, root) of every row that is linked with another one."""
     sigs = signed.select(F.explode("sigs").alias("sig"), "row")
-    shared = store(sigs.groupBy("sig").agg(F.min("row").alias("hub"), F.max("row").alias("other")).where("hub < other").select("sig", "hub"))
-    members = store(sigs.join(shared, "sig").select("sig", "row", "hub"))
-    tested = store(members.where("row != hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct())
+    shared = store(sigs.groupBy("sig").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("n"))
+                   .where("low < high").select("sig", "n"))
+    # a large group is dealt into small parts, in another way for each signature, so that a cloud of copies soon hangs together
+    part = F.pmod(F.xxhash64("row", "sig"), F.ceil(F.col("n") / FEW))
+    members = store(sigs.join(shared, "sig").select("sig", "row", part.alias("part")))
+    first = store(members.groupBy("sig", "part").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "part", "hub"))
+    tested = store(members.join(first, ["sig", "part"]).where("row != hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct())
     links = _verified(tested, lines, width, percent)
     roots = store(connected_components(links))
-    rest = members.where("row != hub").select("sig", "row")
+    rest = members.select("sig", "row")
     while True:
         labelled = store(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", F.coalesce("root", "row").alias("label")))
         discard(members)
