@@ -86,16 +86,16 @@ def test_chains_clouds_and_strangers(spark, monkeypatch, hubs, pairs):
     monkeypatch.setattr(pe, "PAIRS", pairs)
     rng = random.Random(hubs)
     rows = []
-    for n in (12, 60, 200):
+    for n in (12, 200):
         text = words(rng, n)
-        for _ in range(12):  # each step changes one place in a hundred words or so
+        for _ in range(8):  # each step changes one place in a hundred words or so
             for _ in range(max(1, n // 100)):
                 text[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
             rows.append(" ".join(text))
     base = words(rng, 150)
-    for _ in range(25):
+    for _ in range(12):
         rows.append(" ".join([*base[:75], f"c{rng.randrange(10**6)}", *base[76:]]))
-    for _ in range(15):  # three changes lie far enough apart to lose nine shingles each side
+    for _ in range(8):  # three changes lie far enough apart to lose nine shingles each side
         text = list(base)
         for at in rng.sample(range(5, 145, 5), 4):
             text[at] = f"d{rng.randrange(10**6)}"
