@@ -51,10 +51,9 @@ def with_valid(stack: DataFrame, bands: Sequence[str]) -> DataFrame:
 
 
 def scene_inventory(pixels: DataFrame) -> DataFrame:
-    """Scenes that hold data, with a flag on the latest one."""
+    """Scenes that hold data, with a flag on the latest one; the window sees one row per scene, so the pixels are read once."""
     found = pixels.groupBy("scene").agg(F.count(F.lit(1)).alias("pixel_count"))
-    latest = found.agg(F.max("scene")).scalar()
-    return found.withColumn("is_latest", F.col("scene") == latest)
+    return found.withColumn("is_latest", F.col("scene") == F.max("scene").over(Window.partitionBy(F.lit(0))))
 
 
 def consecutive_pairs(scenes: DataFrame) -> DataFrame:

@@ -61,8 +61,10 @@ def stats(spark, d):
     return pt.patch_statistics(pt.training_mask(v, INDICES), POLICY, height_of(spark, d), F.lit(obs.RASTER_WIDTH))
 
 
-def sequenced(spark, d):
-    return pt.sequenced_patches(stats(spark, d), POLICY)
+def sequenced(spark, d, scenes=None):
+    """Patches numbered per scene, so a choice of scenes goes below the numbering and reaches the scan."""
+    s = stats(spark, d)
+    return pt.sequenced_patches(s if scenes is None else s.where(F.col("scene").isin(*scenes)), POLICY)
 
 
 def balanced(spark, d):
@@ -113,7 +115,7 @@ def sequenced_patches(spark, d):
 SELECT scene, block_id, training_pixels FROM patch_seq WHERE split = 'validation' AND scene IN (2, 3) ORDER BY scene, seq LIMIT 50""")
 def filtered_patches(spark, d):
     """Split and date filters, then the first records in sequence order."""
-    return sequenced(spark, d).where("split = 'validation' AND scene IN (2, 3)").orderBy("scene", "seq").limit(50).select(
+    return sequenced(spark, d, (2, 3)).where("split = 'validation'").orderBy("scene", "seq").limit(50).select(
         "scene", "block_id", "training_pixels")
 
 

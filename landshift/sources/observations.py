@@ -58,12 +58,9 @@ def pixels(spark: SparkSession, sf_dir: str, scenes: tuple[int, int] | None = No
     n = F.col("n")
     return sums.select(
         "scene", "y", "x", "n",
-        (F.col("t_discount") / (n * 10.0)).alias("red"),
-        (F.col("t_tax") / (n * 8.0)).alias("green"),
-        (F.col("t_quantity") / (n * 50.0)).alias("nir"),
-        (F.col("t_price") / (n * 97.0)).alias("swir"),
-        (F.col("t_vv") / (n * 100.0)).alias("vv"),
-        (F.col("t_vh") / (n * 50.0)).alias("vh"),
+        # what is no number, or the sentinel, is nodata from here on
+        *[bands.finite(F.col(total) / (n * scale)).alias(band) for band, total, scale in (
+            ("red", "t_discount", 10.0), ("green", "t_tax", 8.0), ("nir", "t_quantity", 50.0), ("swir", "t_price", 97.0), ("vv", "t_vv", 100.0), ("vh", "t_vh", 50.0))],
         (F.col("sum_supp") % 7).cast("int").alias("s1"),
         (F.col("sum_ord") % 7).cast("int").alias("s2"),
         (F.col("sum_price") % 7).cast("int").alias("s3"),
