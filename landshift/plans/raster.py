@@ -109,7 +109,27 @@ def rasterized_polygons(spark, d):
     return rs.rasterize(vector_shapes(spark, d).where("shape = 'polygon'"), 0.8)
 
 
-@query("rasterized_features")
+def corner_sql(i, j):
+    t = f"least(greatest(((x + {i} - ax) * (ex - ax) + (y + {j} - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0e0), 1e0)"
+    return f"sqrt(pow(x + {i} - ax - {t} * (ex - ax), 2) + pow(y + {j} - ay - {t} * (ey - ay), 2))"
+
+
+def end_sql(px, py):
+    return f"sqrt(pow(greatest(x - {px}, {px} - x - 1, 0), 2) + pow(greatest(y - {py}, {py} - y - 1, 0), 2))"
+
+
+# a line that crosses a cell passes a corner ey less than the buffer, so corners and ends tell all
+@query("rasterized_features", f"""
+WITH seg AS (
+  SELECT o_orderkey AS id, {CLASS_SQL} AS class_id, o_orderkey % 53 AS ax, o_orderkey // 53 AS ay, o_orderkey % 53 + o_custkey % 3 + 1 AS ex,
+    o_orderkey // 53 + CASE o_orderkey % 5 WHEN 0 THEN 0.5e0 ELSE 0e0 END AS ey FROM orders WHERE o_orderkey % 5 IN (0, 2)),
+near AS (
+  SELECT id, class_id, y, x FROM (SELECT *, ax + unnest(range(-2, ex - ax + 2)) AS x FROM (SELECT *, ay + unnest(range(-2, 3)) AS y FROM seg))
+  WHERE least({corner_sql(0, 0)}, {corner_sql(0, 1)}, {corner_sql(1, 0)}, {corner_sql(1, 1)}, {end_sql("ax", "ay")}, {end_sql("ex", "ey")}) <= 0.8e0),
+filled AS (
+  SELECT o_orderkey AS id, {CLASS_SQL} AS class_id, o_orderkey // 53 + unnest([0, 1]) AS y, x FROM (
+    SELECT *, o_orderkey % 53 + unnest(range(0, o_custkey % 3 + 1)) AS x FROM orders WHERE o_orderkey % 5 > 2))
+SELECT y, x, arg_max(class_id, id) AS class_id, max(id) AS feature_id FROM (SELECT * FROM near UNION ALL SELECT * FROM filled) WHERE class_id IS NOT NULL GROUP BY y, x""")
 def rasterized_features(spark, d):
     """Polygons and lines buffered by 8 m on the 10 m grid."""
     return rs.rasterize(vector_shapes(spark, d), 0.8)

@@ -20,8 +20,8 @@ def con():
     return compare.connect(SF)
 
 
-# a gradient fit, and geometry by segment distances: tested in test_operators and test_expressions
-NO_SQL = {"rasterized_features", "pixel_classifier"}
+# a gradient fit has no SQL
+NO_SQL = {"pixel_classifier"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
