@@ -154,36 +154,37 @@ def log_likelihood(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.nd
     return out
 
 
-def _long_counts(word: str, weights: np.ndarray, pieces: Pieces, logs: np.ndarray, total: np.ndarray) -> None:
+def _long_counts(word: str, weight: float, language: int, pieces: Pieces, logs: np.ndarray, total: np.ndarray) -> None:
     edges = _edges_at(word, pieces)
+    logs = logs[:, language:language + 1]
     forward = _log_forward(edges, logs)
     back = np.full(forward.shape, -np.inf)
     back[-1] = 0
     for end in range(len(edges) - 1, 0, -1):
         starts, piece = edges[end]
         back[starts] = np.logaddexp(back[starts], back[end] + logs[piece])  # each start once
-        total[piece] += weights * np.exp(forward[starts] + logs[piece] + back[end] - forward[-1])
+        total[piece, language] += weight * np.exp(forward[starts] + logs[piece] + back[end] - forward[-1])[:, 0]
 
 
-def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in each language, over all segmentations of words that have a weight per language."""
+def expected_counts(words: list[str], weights: np.ndarray, languages: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in each language's words, over all segmentations."""
     total = np.zeros(probs.shape)
+    flat = total.reshape(-1)
     for length, rows, some in _by_length(words):
+        language, weight = languages[rows], weights[rows]
         if length > SHORT:
-            _long_counts(some[0], weights[rows[0]], pieces, np.log(probs), total)
+            _long_counts(some[0], weight[0], int(language[0]), pieces, np.log(probs), total)
             continue
-        forward, back = np.zeros((2, length + 1, len(some), probs.shape[1]))
+        forward, back = np.zeros((2, length + 1, len(some)))
         forward[0], back[length] = 1, 1
-        edges = [(s, e, at, piece, probs[piece] * SCALE ** (e - s)) for s, e, at, piece in pieces.edges(some)]
+        edges = [(s, e, at, piece, probs[piece, language[at]] * SCALE ** (e - s)) for s, e, at, piece in pieces.edges(some)]
         for start, end, at, _, p in edges:
             forward[end][at] += forward[start][at] * p
         for start, end, at, _, p in reversed(edges):
             back[start][at] += back[end][at] * p
-        share = weights[rows] / forward[length]
+        share = weight / forward[length]
         for start, end, at, piece, p in edges:
-            expected = forward[start][at] * p * back[end][at] * share[at]
-            for language in range(probs.shape[1]):
-                total[:, language] += np.bincount(piece, expected[:, language], len(probs))
+            flat += np.bincount(piece * probs.shape[1] + language[at], forward[start][at] * p * back[end][at] * share[at], probs.size)
     return total
 
 
@@ -205,13 +206,9 @@ def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     number = {language: i for i, language in enumerate(languages)}
     total = np.zeros(probs.shape)
     for batch in batches:
-        counts = batch.column("counts")
-        words = batch.column("word").to_pylist()
-        row = np.repeat(np.arange(len(words)), counts.value_lengths().to_numpy())
-        held = counts.flatten()
-        weights = np.zeros((len(words), len(languages)))
-        weights[row, [number[v] for v in held.field("lang").to_pylist()]] = held.field("n").to_numpy()
-        total += expected_counts(words, weights, pieces, probs)
+        language = np.array([number[v] for v in batch.column("lang").to_pylist()], dtype=np.int64)
+        weights = batch.column("n").to_numpy().astype(float)
+        total += expected_counts(batch.column("word").to_pylist(), weights, language, pieces, probs)
     piece, language = np.nonzero(total[:-1])
     micro = np.rint(total[piece, language] * MICRO).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(language), pa.array(micro)], ["piece", "language", "micro"])
@@ -259,9 +256,7 @@ def fit(training: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Lang
     """
     pieces = Pieces(vocabulary_pieces(vocabulary_path))
     counts = store(training.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n bigint")
-                   .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-                   # one row per word, so that its pieces are found once for all languages
-                   .groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("counts")))
+                   .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = sorted(r.lang for r in training.select("lang").distinct().collect())
     probs = np.full((pieces.count + 1, len(languages)), 1 / max(1, pieces.count))
     probs[-1] = UNSEEN

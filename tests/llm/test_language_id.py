@@ -49,9 +49,8 @@ def test_expected_counts():
         for p, s in ways:
             for piece in s:
                 want[names.index(piece), lang] += n * p / sum(q for q, _ in ways)
-    each = np.zeros((3, 2))
-    each[[0, 1, 2], language] = weights
-    assert np.allclose(li.expected_counts(words, each, li.Pieces(names), probs), want, atol=1e-6)
+    got = li.expected_counts(words, weights, language, li.Pieces(names), probs)
+    assert np.allclose(got, want, atol=1e-6)
 
 
 def test_long_words_are_summed_whole(monkeypatch):
@@ -60,13 +59,13 @@ def test_long_words_are_summed_whole(monkeypatch):
     rng = np.random.default_rng(2)
     probs = np.vstack([rng.random((len(names), 3)) / 9, [li.UNSEEN] * 3])
     words = ["".join(rng.choice(list("abx"), n, p=[.5, .45, .05])) for n in (3, 30, 38, 39, 40, 41, 60)] + ["ab" * 20, "x"]
-    weights = rng.random((len(words), 3))
+    weights, language = rng.random(len(words)), rng.integers(0, 3, len(words))
     pieces = li.Pieces(names)
     monkeypatch.setattr(li, "SHORT", 100)
-    together, counts = li.log_likelihood(words, pieces, probs), li.expected_counts(words, weights, pieces, probs)
+    together, counts = li.log_likelihood(words, pieces, probs), li.expected_counts(words, weights, language, pieces, probs)
     monkeypatch.setattr(li, "SHORT", 0)
     assert np.allclose(li.log_likelihood(words, pieces, probs), together, rtol=1e-12)
-    assert np.allclose(li.expected_counts(words, weights, pieces, probs), counts, rtol=1e-9)
+    assert np.allclose(li.expected_counts(words, weights, language, pieces, probs), counts, rtol=1e-9)
     monkeypatch.undo()
     assert np.allclose(li.log_likelihood(words, pieces, probs), together, rtol=1e-12)
     assert np.isfinite(li.log_likelihood(["ab" * 5000], pieces, probs)).all()
