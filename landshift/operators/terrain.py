@@ -241,25 +241,35 @@ def ring_cells(ring: DataFrame) -> DataFrame:
     """(y, x) of the unit cells whose inside the outline of a ring crosses, from rows (ring) of closed rings.
 
     Each edge is walked row by row: its part within a row spans an interval, and the cells of that
-    interval are touched. So there are as many rows as cells along the outline, not pixels times edges.
+    interval and one more on either side are candidates. So there are as many rows as cells along the
+    outline, not pixels times edges. A candidate is touched if the shares of the edge that lie between
+    its columns and between its rows overlap; no share is computed from another, so corners are exact.
     """
     n = F.size("ring") - 1
     edge = F.explode(F.zip_with(F.slice("ring", 1, n), F.slice("ring", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    e = ring.select(edge.alias("e")).select(*[F.col(f"e.{p}.{c}").alias(f"{c}{p}") for p in "ab" for c in "xy"])
+    e = ring.select(edge.alias("e")).select(*[F.col(f"e.{p}.{c}").alias(f"{c}{p}") for p in "ab" for c in "xy"]).withColumns(
+        {"dx": F.col("xb") - F.col("xa"), "dy": F.col("yb") - F.col("ya")})
     low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
-    # an edge along a line between two rows or columns crosses the inside of no cell
-    rows = e.withColumn("y", F.explode(F.sequence(F.floor(low), F.greatest(F.ceil(high) - 1, F.floor(low))))).where((high > F.col("y")) & (low < F.col("y") + 1))
-    slope = (F.col("xb") - F.col("xa")) / F.nullif(F.col("yb") - F.col("ya"), F.lit(0.0))
-
-    def x_at(y: Column, end: Column, other: Column) -> Column:
-        """Where the edge meets a line of constant y, or its end if it stays on this side of the line."""
-        return F.when(F.col("ya") == F.col("yb"), end).when((y > low) & (y < high), F.col("xa") + slope * (y - F.col("ya"))).otherwise(other)
-
-    first = F.when(F.col("ya") <= F.col("yb"), F.col("xa")).otherwise(F.col("xb"))
-    second = F.when(F.col("ya") <= F.col("yb"), F.col("xb")).otherwise(F.col("xa"))
-    top, bottom = x_at(F.col("y").cast("double"), first, first), x_at(F.col("y") + 1.0, second, second)
-    left, right = F.floor(F.least(top, bottom)), F.ceil(F.greatest(top, bottom)) - 1
-    return rows.select("y", F.explode(F.when(left <= right, F.sequence(left, right))).alias("x")).distinct()
+    rows = e.withColumn("y", F.explode(F.sequence(F.floor(low) - 1, F.ceil(high))))
+
+    def x_at(y: Column) -> Column:
+        share = F.coalesce((F.least(F.greatest(y, low), high) - F.col("ya")) / F.nullif(F.col("dy"), F.lit(0.0)), F.lit(0.0))
+        return F.col("xa") + F.col("dx") * share
+
+    ends = [x_at(F.col("y").cast("double")), x_at(F.col("y") + 1.0)]
+    flat = [F.when(F.col("dy") == 0, F.col(c)) for c in ("xa", "xb")]
+    cells = rows.withColumn("x", F.explode(F.sequence(F.floor(F.least(*ends, *flat)) - 1, F.ceil(F.greatest(*ends, *flat)))))
+
+    def within(c: str) -> tuple[Column, Column, Column]:
+        """First and last share of the edge between the two lines around a cell, and whether an edge along them lies inside."""
+        at, d, cell = F.col(f"{c}a"), F.nullif(F.col(f"d{c}"), F.lit(0.0)), F.col(c)
+        one, other = (cell - at) / d, (cell + 1 - at) / d
+        inside = d.isNotNull() | ((at > cell) & (at < cell + 1))
+        return F.coalesce(F.least(one, other), F.lit(0.0)), F.coalesce(F.greatest(one, other), F.lit(1.0)), inside
+
+    (x_first, x_last, x_in), (y_first, y_last, y_in) = within("x"), within("y")
+    first, last = F.greatest(x_first, y_first), F.least(x_last, y_last)
+    return cells.where(x_in & y_in & (first < last) & (first < 1) & (last > 0)).select("y", "x").distinct()
 
 
 def touched_by_ring(pixels: DataFrame, ring: DataFrame) -> DataFrame:
