@@ -54,3 +54,14 @@ def test_ring_cells_at_corners_of_tall_rasters(spark):
     near = {(150000 - 2400 * i + j, 30 - i + k) for i in range(26) for j in (-2, -1, 0, 1) for k in (-2, -1, 0, 1)}
     got = {(r.y, r.x) for r in tr.ring_cells(df).where(F.col("y").isin(sorted({y for y, _ in near}))).collect()}
     assert got & near == {(y, x) for y, x in near if touched(a, b, (x, y))}
+
+
+def test_reliability_of_a_sum_on_the_limit(spark, tables):
+    """0.85 less 0.12 and 0.08 is 0.65, but less in doubles if the penalties are added up first."""
+    cents = next(n for n in range(850, 10**6, 1000) if n % 13 == 0)
+    orders = spark.createDataFrame([(1, 1, cents / 100, "4-LOW", dt.datetime(1995, 1, 1))],
+                                   "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string, o_orderdate timestamp_ntz")
+    con, d = tables(orders=orders, customer=spark.createDataFrame([(1, "MACHINERY")], "c_custkey bigint, c_mktsegment string"))
+    assert [r.reliability for r in catalog.QUERIES["scored_changes"](spark, d).collect()] == ["medium"]
+    for name in ("scored_changes", "scored_summary"):
+        assert compare.compare(spark, con, name, d).startswith("ok")
