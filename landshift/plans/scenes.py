@@ -267,8 +267,7 @@ def incomplete_dates(spark, d):
 
 @query("tag_roundtrip", """
 SELECT id, 'scene_' || strftime(day, '%Y%m%d') || '_' || tile AS tag, CAST(day AS VARCHAR) AS parsed_day, CAST(NULL AS VARCHAR) AS bad_day,
-       replace('scene_' || tile, '_', ' ') AS label, split_part('r' || lpad(CAST(x0 AS VARCHAR), 3, '0') || '_c' || lpad(CAST(id % 997 AS VARCHAR), 3, '0')
-       || '_' || lpad(CAST(id AS VARCHAR), 5, '0'), '_', 3) AS block_seq
+       replace('scene_' || tile, '_', ' ') AS label, split_part(printf('r%03d_c%03d_%05d', x0, id % 997, id), '_', 3) AS block_seq
 FROM scene_rows""")
 def tag_roundtrip(spark, d):
     s = obs.scenes(spark, d).withColumn(

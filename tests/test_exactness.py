@@ -65,3 +65,11 @@ def test_reliability_of_a_sum_on_the_limit(spark, tables):
     assert [r.reliability for r in catalog.QUERIES["scored_changes"](spark, d).collect()] == ["medium"]
     for name in ("scored_changes", "scored_summary"):
         assert compare.compare(spark, con, name, d).startswith("ok")
+
+
+def test_block_numbers_beyond_five_digits(spark, tables):
+    events = spark.createDataFrame([(i, "view", dt.datetime(2024, 1, 5), 1.0, u, "{}") for i, u in ((7, 3), (99999, 1499), (100000, 12), (1234567, 123456))],
+                                   "event_id bigint, event_type string, ts timestamp_ntz, value double, user_id bigint, props string")
+    con, d = tables(events=events)
+    assert compare.compare(spark, con, "tag_roundtrip", d).startswith("ok")
+    assert {r.block_seq for r in catalog.QUERIES["tag_roundtrip"](spark, d).collect()} == {"00007", "99999", "100000", "1234567"}
