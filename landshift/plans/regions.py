@@ -70,12 +70,17 @@ RUN_RING = "[" + ", ".join(f"[830650e0 + ({x}) * 10, 9794800e0 - ({y}) * 10]" fo
 
 @query("region_outlines", RECURSIVE + f"""
 r AS (SELECT after_scene, region, y, x0, x0 + n - 1 AS x1 FROM runs)
-SELECT after_scene, region, y, x0, to_json({RUN_RING}) AS ring FROM r""")
+SELECT after_scene, region, count(*) AS run_count, to_json(list({RUN_RING} ORDER BY y, x0)) AS rings FROM r GROUP BY 1, 2""")
 def region_outlines(spark, d):
-    """Multi-part outline in map coordinates: a ring around each run, one row each, so a region of any size stays spread."""
+    """One multi-part outline per region in map coordinates: a ring around each of its runs.
+
+    A region's rings are one value, as a feature needs them; they grow with its rows, not its pixels.
+    """
     corners = [("x0", 0, "y", 0), ("x1", 1, "y", 0), ("x1", 1, "y", 1), ("x0", 0, "y", 1), ("x0", 0, "y", 0)]
     ring = F.array(*[F.array(*geo.pixel_to_map(F.col(y) + dy, F.col(x) + dx, GRID, center=False)) for x, dx, y, dy in corners])
-    return labelled(spark, d).select("after_scene", "region", "y", "x0", F.to_json(ring).alias("ring"))
+    rings = F.sort_array(F.collect_list(F.struct("y", "x0", ring.alias("ring"))))
+    return labelled(spark, d).groupBy("after_scene", "region").agg(
+        F.count(F.lit(1)).alias("run_count"), F.to_json(F.transform(rings, lambda r: r["ring"])).alias("rings"))
 
 
 # the twin walks unit sides: 0 above a pixel, eastward, then 1, 2, 3 clockwise; at a corner where two ways lead on, it turns left

@@ -73,3 +73,11 @@ def test_block_numbers_beyond_five_digits(spark, tables):
     con, d = tables(events=events)
     assert compare.compare(spark, con, "tag_roundtrip", d).startswith("ok")
     assert {r.block_seq for r in catalog.QUERIES["tag_roundtrip"](spark, d).collect()} == {"00007", "99999", "100000", "1234567"}
+
+
+def test_outlines_hold_all_rings_of_a_region(spark):
+    runs = {(r.after_scene, r.region): r["count"] for r in catalog.QUERIES["region_runs"](spark, SF).groupBy("after_scene", "region").count().collect()}
+    got = catalog.QUERIES["region_outlines"](spark, SF).select(
+        "after_scene", "region", "run_count", F.size(F.from_json("rings", "array<array<array<double>>>")).alias("rings")).collect()
+    assert len(got) == len(runs) and max(runs.values()) > 1
+    assert {(r.after_scene, r.region): r.rings for r in got} == runs == {(r.after_scene, r.region): r.run_count for r in got}
