@@ -81,3 +81,11 @@ def test_outlines_hold_all_rings_of_a_region(spark):
         "after_scene", "region", "run_count", F.size(F.from_json("rings", "array<array<array<double>>>")).alias("rings")).collect()
     assert len(got) == len(runs) and max(runs.values()) > 1
     assert {(r.after_scene, r.region): r.rings for r in got} == runs == {(r.after_scene, r.region): r.run_count for r in got}
+
+
+def test_mean_ambiguity_ignores_the_order_of_clusters(spark):
+    """The exact mean, 0.940065, is a tie of the rounding."""
+    scored = spark.createDataFrame([(1.0, 0.0)], "fraction double, anomaly double")
+    for values in list(itertools.permutations((0.919885, 0.954004, 0.927106, 0.943963, 0.955367)))[::30]:
+        profile = spark.createDataFrame([(v, 0.5) for v in values], "mix_entropy double, dominant_share double").coalesce(1)
+        assert em.track_metrics(scored, profile).first().mean_ambiguity == 0.94007
