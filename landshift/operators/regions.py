@@ -12,6 +12,7 @@ from landshift.session import cut_lineage
 from landshift.storage import store
 
 ROW_STRIDE = 1 << 21  # y * stride + x names a pixel; a wider raster row is an error
+RUNS_PER_TASK = 200_000  # in a sweep
 FLAGS = ("a_start", "a_end", "b_start", "b_end")
 
 
@@ -51,17 +52,27 @@ def line_events(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def run_edges(runs: DataFrame, layer: str, value: str) -> DataFrame:
     """Pairs (a above, b below) of runs of equal value that touch vertically, each once.
 
-    Along a line between two rows, the runs on either side are swept together, so there
-    are as many rows as run ends, not pixels, and no join.
+    Along a line between two rows, the runs on either side are swept together by where they
+    start, two rows per run and no join: of two runs that touch, the one that starts later finds
+    the other as the last one on its side. The sweep sorts and may spill; its tasks grow in number
+    with the runs, since their bytes are few when compressed and would be put into few tasks.
     """
-    w = Window.partitionBy(layer, value, "line").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    keys = [layer, value, "line"]
+    side = F.explode(F.array(
+        F.struct(F.col("y").alias("line"), F.lit(False).alias("above")), F.struct((F.col("y") + 1).alias("line"), F.lit(True).alias("above"))))
+    placed = runs.select(layer, value, "x0", "x1", side.alias("s")).select(layer, value, "x0", "x1", "s.*")
+    w = Window.partitionBy(*keys).orderBy("x0").rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def current(side: str) -> Column:
-        return F.last(F.when(F.col(f"{side}_start"), F.col("x")).when(F.col(f"{side}_end"), F.lit(-1)), ignorenulls=True).over(w)
+    def latest(above: bool) -> Column:
+        return F.last(F.when(F.col("above") == above, F.struct("x0", "x1")), ignorenulls=True).over(w)
 
-    swept = line_events(runs, [layer, value]).withColumns({"_a": current("a"), "_b": current("b")})
-    return swept.where("_a >= 0 AND _b >= 0").select(
-        layer, ((F.col("line") - 1) * ROW_STRIDE + F.col("_a")).alias("a"), (F.col("line") * ROW_STRIDE + F.col("_b")).alias("b"))
+    parts = 1 + runs.count() // RUNS_PER_TASK
+    swept = placed.repartition(parts, *keys).withColumns({"_a": latest(True), "_b": latest(False)})
+    other = F.when(F.col("above"), F.col("_b")).otherwise(F.col("_a"))
+    # runs that start at one place see each other; the upper one names the pair
+    met = (other["x1"] >= F.col("x0")) & (F.col("above") | (other["x0"] < F.col("x0")))
+    return swept.where(met).select(
+        layer, ((F.col("line") - 1) * ROW_STRIDE + F.col("_a.x0")).alias("a"), (F.col("line") * ROW_STRIDE + F.col("_b.x0")).alias("b"))
 
 
 def connected_components(edges: DataFrame, layer: str) -> DataFrame:
@@ -71,10 +82,8 @@ def connected_components(edges: DataFrame, layer: str) -> DataFrame:
     node and then short-cut, so long thin components close in few rounds. Edge
     lists keep their bounded degree.
     """
-    both = cut_lineage(
-        edges.select(layer, F.col("a").alias("u"), F.col("b").alias("v"))
-        .unionByName(edges.select(layer, F.col("b").alias("u"), F.col("a").alias("v")))
-    )
+    ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = cut_lineage(edges.select(layer, ways.alias("e")).select(layer, "e.*"))
     labels = cut_lineage(both.select(layer, F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         near = (

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 import sys
 from fractions import Fraction
 from pathlib import Path
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import compare  # noqa: E402
-from landshift.operators import embed as em, terrain as tr  # noqa: E402
+from landshift.operators import embed as em, regions as rg, terrain as tr  # noqa: E402
 from landshift.plans import catalog  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,18 @@ def test_mean_ambiguity_ignores_the_order_of_clusters(spark):
     for values in list(itertools.permutations((0.919885, 0.954004, 0.927106, 0.943963, 0.955367)))[::30]:
         profile = spark.createDataFrame([(v, 0.5) for v in values], "mix_entropy double, dominant_share double").coalesce(1)
         assert em.track_metrics(scored, profile).first().mean_ambiguity == 0.94007
+
+
+def test_sweep_in_many_tasks_finds_each_touching_pair_once(spark, monkeypatch):
+    """Runs with equal starts, ends and many neighbours; the number of tasks follows the number of runs."""
+    rng = random.Random(4)
+    cells = {(s, y, x): rng.choice((1, 1, 1, 2)) for s in (0, 1) for y in range(12) for x in range(30) if rng.random() < 0.8}
+    px = spark.createDataFrame([(*k, v) for k, v in cells.items()], "scene int, y bigint, x int, v int")
+    monkeypatch.setattr(rg, "RUNS_PER_TASK", 20)
+    runs = rg.pixel_runs(px, "scene", "v").persist()
+    rows = runs.collect()
+    want = sorted((r.scene, r.node, q.node) for r in rows for q in rows
+                  if (q.scene, q.v, q.y) == (r.scene, r.v, r.y + 1) and q.x0 <= r.x1 and r.x0 <= q.x1)
+    edges = rg.run_edges(runs, "scene", "v")
+    assert sorted(map(tuple, edges.collect())) == want
+    assert edges.rdd.getNumPartitions() == 1 + len(rows) // 20
