@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import compare  # noqa: E402
-from landshift.operators import embed as em, regions as rg, terrain as tr  # noqa: E402
+from landshift.operators import embed as em, overlay, regions as rg, terrain as tr  # noqa: E402
 from landshift.plans import catalog  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +105,22 @@ def test_sweep_in_many_tasks_finds_each_touching_pair_once(spark, monkeypatch):
     edges = rg.run_edges(runs, "scene", "v")
     assert sorted(map(tuple, edges.collect())) == want
     assert edges.rdd.getNumPartitions() == 1 + len(rows) // 20
+
+
+def test_nearest_centroids_are_compiled(spark):
+    """Squares are written out, so that no function over arrays is interpreted per pixel; nodata stays 0."""
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 3.5]), (3, None), (4, [1.5, 2.0]), (5, [None, 1.0])], "id int, v array<double>")
+    out = em.assign_clusters(df, "v", [[0.0, 1.0], [3.0, 3.0], [0.0, 1.0]])
+    assert [(r.id, r.cluster, r.center_distance) for r in out.orderBy("id").collect()] == [
+        (1, 1, 0.0), (2, 2, 0.5), (3, 0, None), (4, 1, 3.25**0.5), (5, 0, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "zip_with" not in plan
+
+
+def test_filter_on_long_expressions_stays_behind_them(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(50)], "id int, a double").withColumn("b", F.col("a") * F.col("a") + F.col("a"))
+    df = df.withColumn("c", F.col("b") * F.col("b") + F.col("b"))
+    kept = overlay.keep_where(df, F.when(F.col("c") > 40, F.col("c")) > 50, ["id", "c"])
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.where("c > 50").select("id", "c").collect()))
+    filters = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("* a#" in line for line in filters)
