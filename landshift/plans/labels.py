@@ -97,8 +97,8 @@ def weak(spark, d):
 SELECT scene, y, x, CAST(monitoring AS INTEGER) AS monitoring, CAST(hard_label AS INTEGER) AS hard_label, round(conf, 6) AS label_confidence
 FROM weak WHERE hard_label > 0""")
 def weak_hard_labels(spark, d):
-    return weak(spark, d).where("hard_label > 0").select(
-        "scene", "y", "x", "monitoring", "hard_label", F.round("label_confidence", 6).alias("label_confidence"))
+    hard = overlay.keep_where(weak(spark, d), F.col("hard_label") > 0, ["scene", "y", "x", "monitoring", "hard_label", "label_confidence"])
+    return hard.withColumn("label_confidence", F.round("label_confidence", 6))
 
 
 @query("weak_label_summary", """
@@ -285,8 +285,8 @@ SELECT f.scene, f.y, f.x, round(f.ndvi, 6) AS ndvi FROM feat f WHERE EXISTS (SEL
   AND t.y = f.y AND t.x = f.x AND (t.before_scene = f.scene OR t.after_scene = f.scene))""")
 def high_confidence_pixels(spark, d):
     """Feature rows under a strong change of any comparison that touches their scene."""
-    return touched(spark, d).where("change_confidence >= 0.9").select(
-        "scene", "y", "x", F.round("ndvi", 6).alias("ndvi"))
+    strong = overlay.keep_where(touched(spark, d), F.col("change_confidence") >= 0.9, ["scene", "y", "x", "ndvi"])
+    return strong.withColumn("ndvi", F.round("ndvi", 6))
 
 
 @query("first_valid_mosaic", """
