@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
@@ -27,10 +29,10 @@ def ramp(value: Column, center: float, scale: float) -> Column:
     return clip((value - center) / scale, 0.0, 1.0)
 
 
-def soft_probabilities(ndvi: Column, ndwi: Column, ndbi: Column, ratio: Column) -> Column:
-    """Six class probabilities in harmonized order, NULL when any input is nodata."""
+def soft_scores(ndvi: Column, ndwi: Column, ndbi: Column, ratio: Column) -> Column:
+    """Six class scores in harmonized order, not normalised."""
     green = ramp(ndvi, 0.18, 0.5) * (1.0 - ramp(ndwi, 0.25, 0.4))
-    scores = F.array(
+    return F.array(
         ramp(ndbi, 0.08, 0.28) * (1.0 - ramp(ndwi, 0.15, 0.4)),
         green * 0.45,
         green * 0.55,
@@ -38,11 +40,21 @@ def soft_probabilities(ndvi: Column, ndwi: Column, ndbi: Column, ratio: Column)
         ramp(ndwi, 0.12, 0.35),
         F.lit(0.12) + ramp(F.abs(ratio), 1.2, 3.5) * 0.2,
     )
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(
-        all_valid(ndvi, ndwi, ndbi, ratio),
-        F.transform(scores, lambda x: x / total),
-    )
+
+
+def score_total(scores: Column, classes: int = 6) -> Column:
+    """The sum in order, written out so that Spark compiles it."""
+    return reduce(add, [F.get(scores, F.lit(i)) for i in range(classes)], F.lit(0.0))
+
+
+def shares(scores: Column, total: Column, classes: int = 6) -> Column:
+    return F.array(*[F.get(scores, F.lit(i)) / total for i in range(classes)])
+
+
+def soft_probabilities(ndvi: Column, ndwi: Column, ndbi: Column, ratio: Column) -> Column:
+    """Six class probabilities in harmonized order, NULL when any input is nodata."""
+    scores = soft_scores(ndvi, ndwi, ndbi, ratio)
+    return F.when(all_valid(ndvi, ndwi, ndbi, ratio), shares(scores, score_total(scores)))
 
 
 def argmax_class(values: Column) -> Column:

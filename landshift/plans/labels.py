@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from landshift.config import LABEL_COLLECTION_CODES, WORLD_COVER_CODES
 from landshift.functions import change as ch, labels as lb
+from landshift.functions.bands import all_valid
 from landshift.operators import overlay, votes
 from landshift.plans.change import STATE_SQL, scene_pairs
 from landshift.plans.registry import query, view
@@ -41,8 +42,10 @@ FROM (SELECT scene, y, x, CASE WHEN ok THEN [q1/t, q2/t, q3/t, q4/t, q5/t, q6/t]
 
 def soft(f):
     c = F.col
-    p = c("probs")
-    return f.withColumn("probs", lb.soft_probabilities(c("ndvi"), c("ndwi"), c("ndbi"), c("ratio"))).withColumns({
+    p, inputs = c("probs"), [c(k) for k in ("ndvi", "ndwi", "ndbi", "ratio")]
+    # scores and their sum are columns of their own, so that each is computed once per pixel
+    scored = f.withColumn("_scores", lb.soft_scores(*inputs)).withColumn("_total", lb.score_total(c("_scores")))
+    return scored.withColumn("probs", F.when(all_valid(*inputs), lb.shares(c("_scores"), c("_total")))).drop("_scores", "_total").withColumns({
         "dominant": lb.argmax_class(p), "max_probability": F.array_max(p), "gap": lb.probability_gap(p)})
 
 

@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import compare  # noqa: E402
 from landshift.operators import embed as em, overlay, regions as rg, terrain as tr  # noqa: E402
-from landshift.plans import catalog  # noqa: E402
+from landshift.plans import catalog, labels  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,3 +124,11 @@ def test_filter_on_long_expressions_stays_behind_them(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.where("c > 50").select("id", "c").collect()))
     filters = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
     assert not any("* a#" in line for line in filters)
+
+
+def test_soft_scores_are_summed_once_and_compiled(spark):
+    px = spark.createDataFrame([(1, 0.3, -0.1, 0.2, 1.5), (2, None, 0.1, 0.2, 1.0)], "id int, ndvi double, ndwi double, ndbi double, ratio double")
+    out = labels.soft(px)
+    one, none = out.orderBy("id").collect()
+    assert abs(sum(one.probs) - 1) < 1e-12 and none.probs is None and (none.dominant, none.max_probability) == (0, None)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
