@@ -9,9 +9,12 @@ similar enough share one. Sets of neighbouring bands meet in the bands' common i
 
 Documents that share a signature are not paired with each other. Every group of a signature,
 in parts if it is large, names hubs; members are compared with their hub on the n-grams
-themselves, and what turns out to be linked becomes one component. Groups that hold more than one
-component go on with further hubs, chosen from their smaller components, until every pair
-that could still join two components was compared.
+themselves, and what turns out to be linked becomes one component. The members of groups that hold
+more than one component are grouped anew by their rarest n-grams, since sets that are similar enough
+share one of those too: a cloud of texts that have most n-grams in common falls apart there. These
+groups go on with further hubs, chosen from their smaller components (all members that can be the
+smaller set of a pair, if these are few), until every pair that could still join two components was
+compared.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landshift.llm.components import connected_components
 from landshift.llm.storage import discard, store, store_by_key
@@ -31,8 +34,9 @@ from landshift.llm.storage import discard, store, store_by_key
 SHINGLE = 3
 PERCENT = 90  # links: 100 * intersection >= PERCENT * union
 FEW = 8  # members of a group, or of its part, that share a hub in the first round
-HUBS = 16  # of a group in one round after the first, or as many as give PAIRS comparisons if that is more
+HUBS = 16  # of a larger group in one round, or as many as give that many places if that is more
 PAIRS = 65536
+ROUND = 64  # times PAIRS: so many places compared in one round of a group; up to it, all its leading members are hubs at once
 SMALL = 8  # up to so many differences, larger subsets make up for small sets
 
 _ODD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -150,6 +154,49 @@ def _verified(pairs: DataFrame, lines: DataFrame, width: int, percent: int) -> D
     return out
 
 
+def _divided(rest: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their label and groups (sig, size, leads) of the groups that hold more than one component, and a leading member."""
+    labelled = store(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").select(*rest.columns, F.coalesce("root", "row").alias("label")))
+    groups = store(labelled.groupBy("sig").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.count_if("lead").alias("leads"))
+        .where("low < high AND leads > 0").select("sig", "size", "leads"))
+    members = store(labelled.join(groups.select("sig"), "sig", "left_semi"))
+    discard(labelled)
+    return members, groups
+
+
+def _grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            found = [np.unique(np.fromiter(map(digest, shingles(line.as_py(), width)), np.uint64)).view(np.int64) for line in part.column("line")]
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("n"), pa.array(found, pa.list_(pa.int64()))], ["row", "n", "grams"])
+
+
+def _enough(after: Column, sizes: Column, percent: int) -> Column:
+    """True if sets that add up to `sizes` can link with one common element and `after` behind it."""
+    return (after + 1) * (100 + percent) >= sizes * percent
+
+
+def _by_rare_grams(rows: DataFrame, lines: DataFrame, width: int, percent: int) -> DataFrame:
+    """(sig, row, n, place, lead) with the rarest n-grams of each row as `sig`, as many as leave too few others for a link.
+
+    Of n n-grams a linked set lacks floor(n * (100 - percent) / 100) at most. Both sets order theirs
+    alike, so the first they share stands among the first of both, one more than may be lacking;
+    n-grams whose hashes are equal count as one, which leaves fewer others still. Of a linked pair the
+    smaller set leads: from the first n-gram they share on, it holds enough for a link with a set of its own size.
+    """
+    held = store(rows.join(lines, "row").select("row", "line", "n").mapInArrow(lambda it: _grams(it, width), "row bigint, n bigint, grams array<bigint>")
+                 .select("row", "n", F.explode("grams").alias("sig")))
+    counted = held.join(held.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
+    place = F.row_number().over(Window.partitionBy("row").orderBy("df", "sig"))
+    first = counted.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1)
+    out = store(first.where("df > 1").select("sig", "row", "n", "place", _enough(F.col("n") - F.col("place"), 2 * F.col("n"), percent).alias("lead")))
+    discard(held)
+    return out
+
+
 def _components(lines: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, root) of every row that is linked with another one."""
     sigs = signed.select(F.explode("sigs").alias("sig"), "row")
@@ -162,30 +209,38 @@ def _components(lines: DataFrame, signed: DataFrame, width: int, percent: int) -
     tested = store(members.join(first, ["sig", "part"]).where("row != hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct())
     links = _verified(tested, lines, width, percent)
     roots = store(connected_components(links))
-    rest = members.select("sig", "row")
+    before, (members, _) = members, _divided(members.select("sig", "row", F.lit(True).alias("lead")), roots)
+    discard(before)
+    if members.isEmpty():
+        return roots
+    before, members = members, _by_rare_grams(members.select("row").distinct(), lines, width, percent)
+    discard(before)
+    rest = members
     while True:
-        labelled = store(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", F.coalesce("root", "row").alias("label")))
-        discard(members)
-        groups = store(labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-                       .where("low < high").select("sig", "size"))
-        members = store(labelled.join(groups.select("sig"), "sig", "left_semi"))
-        discard(labelled)
+        before, (members, groups) = members, _divided(rest, roots)
+        discard(before)
         if members.isEmpty():
             return roots
-        parts = store(members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("hub")))
+        bounded = F.col("leads") * F.col("size") <= ROUND * PAIRS
+        leading = members.where("lead").join(groups.where(bounded), "sig", "left_semi")
+        parts = store(members.join(groups.where(~bounded), "sig", "left_semi").groupBy("sig", "label").agg(F.count(F.lit(1)).alias("of"), F.min("row").alias("row")))
         # the largest component of a group needs no hub: all others are compared with its members
-        order = Window.partitionBy("sig").orderBy("n", "hub")
-        first = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PAIRS // 2)
+        order = Window.partitionBy("sig").orderBy("of", "row")
+        first = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ROUND * PAIRS // 2)
         labels = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("labels")).join(groups, "sig")
-        some = (F.col("rank") < F.col("labels")) & (F.col("rank") <= F.greatest(F.lit(HUBS), F.floor(PAIRS / F.col("size"))))
-        hubs = store(first.join(labels, "sig").where(some).select("sig", "hub", F.col("label").alias("hub_label")))
-        ends = [F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b")]
-        pairs = store(members.join(hubs, "sig").where("label != hub_label").select(*ends).distinct().join(tested, ["a", "b"], "left_anti"))
+        some = (F.col("rank") < F.col("labels")) & (F.col("rank") <= F.greatest(F.lit(HUBS), F.floor(ROUND * PAIRS / F.col("size"))))
+        chosen = members.join(first.join(labels, "sig").where(some), ["sig", "row"], "left_semi")
+        hubs = store(leading.unionByName(chosen).select("sig", *[F.col(c).alias(f"hub_{c}") for c in ("row", "label", "n", "place")]))
+        # before the first n-gram two sets share they share none, and pairs that do meet there as well
+        able = _enough(F.least(F.col("hub_n") - F.col("hub_place"), F.col("n") - F.col("place")), F.col("hub_n") + F.col("n"), percent)
+        ends = [F.least("hub_row", "row").alias("a"), F.greatest("hub_row", "row").alias("b")]
+        pairs = store(members.join(hubs, "sig").where((F.col("label") != F.col("hub_label")) & able).select(*ends).distinct()
+                      .join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         more = _verified(pairs, lines, width, percent)
         if not more.isEmpty():
             roots = _merged(roots, more)
-        rest = members.join(hubs.select("sig", F.col("hub").alias("row")), ["sig", "row"], "left_anti").select("sig", "row")
+        rest = members.join(hubs.select("sig", F.col("hub_row").alias("row")), ["sig", "row"], "left_anti").drop("label")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:

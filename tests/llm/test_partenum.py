@@ -113,3 +113,27 @@ def test_edges(spark, percent, width):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, sig int")
     assert found(df, percent=percent, width=width) == brute(rows, percent, width)
     assert found(df.limit(0)) == []
+
+
+def test_cloud_below_the_threshold_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """160 texts that share most n-grams, but too few for a link, and four real copies among them."""
+    compared = []
+    verified = pe._verified
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(pe, "_verified", counting)
+    rng = random.Random(7)
+    base = words(rng, 200)
+    rows = []
+    for _ in range(160):
+        text = list(base)
+        for at in rng.sample(range(200), 12):
+            text[at] = f"e{rng.randrange(10**6)}"
+        rows.append(" ".join(text))
+    rows += [f"{text} last" for text in rows[:4]]
+    rows = list(enumerate(rows))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    assert sum(compared) < 12 * len(rows)
