@@ -477,3 +477,14 @@ def test_ring_cells_match_an_exact_walk(spark):
     px = spark.createDataFrame([(1, y, x) for y in range(9) for x in range(9)], "scene int, y bigint, x int")
     inside = {(r.y, r.x) for r in tr.inside_ring(px, df.scalar()).where("in_aoi").collect()}
     assert {(r.y, r.x) for r in tr.touched_by_ring(px, df).where("in_aoi").collect()} == inside | want
+
+
+def test_passes_over_points_read_spaces_and_vectors_only(spark):
+    rows = [("s", [float(i % 3), float(i % 5)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "space string, v array<double>").withColumn("id", F.raise_error(F.concat(F.lit("read "), "space")).cast("string"))
+    run = fits.Configuration("s", 2, np.array([[0.0, 0.0], [2.0, 4.0]]))
+    fits.lloyd(df, [run], 1)
+    points = np.array([v for _, v in rows])
+    own = ((points[:, None] - np.array([[0.0, 0.0], [2.0, 4.0]])[None]) ** 2).sum(2).argmin(1)
+    assert np.allclose(run.centroids, [points[own == c].mean(0) for c in (0, 1)])
+    assert fits.silhouettes(df, [run])[0][:2] == (30, 2)
