@@ -86,3 +86,13 @@ def test_terrain_drops_what_is_no_number(spark, tmp_path):
     spark.createDataFrame([(0, [1.0, float("nan"), float("inf"), None])], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.x: r.elevation for r in obs.terrain(spark, str(tmp_path)).collect()}
     assert got == {0: 1000.0, 1: None, 2: None, 3: None}
+
+
+def test_pixel_tasks_follow_the_line_items_and_keep_rows_together(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(obs, "ROWS_PER_TASK", 500, raising=False)
+    px = obs.pixels(spark, sf)
+    tasks = 1 + obs.table(spark, sf, "lineitem").count() // 500
+    assert tasks > 8 and px.rdd.getNumPartitions() == tasks
+    placed = px.groupBy("y", F.spark_partition_id().alias("task")).count()
+    assert placed.count() == placed.select("y").distinct().count()
