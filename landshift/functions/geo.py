@@ -24,19 +24,21 @@ def map_to_pixel(x: Column, y: Column, g: MasterGrid = GRID) -> tuple[Column, Co
     return row, col, inside
 
 
-def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
-    """Ray casting over a closed ring of struct(x, y)."""
-    edges = F.zip_with(
-        F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
+def segments(path: Column) -> Column:
+    """Consecutive pairs of path points as struct(a, b)."""
+    n = F.size(path) - 1
+    return F.zip_with(F.slice(path, 1, n), F.slice(path, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    def crosses(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        straddles = (ay > py) != (by > py)
-        return F.when(straddles, px < (bx - ax) * (py - ay) / F.nullif(by - ay, F.lit(0.0)) + ax).otherwise(False)
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+def ray_crosses(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """A ray from a point along x crosses the segment; an odd number of a ring's segments is crossed from inside."""
+    straddles = (ay > py) != (by > py)
+    return F.when(straddles, px < (bx - ax) * (py - ay) / F.nullif(by - ay, F.lit(0.0)) + ax).otherwise(False)
+
+
+def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
+    """Ray casting over a closed ring of struct(x, y)."""
+    return F.size(F.filter(segments(ring), lambda e: ray_crosses(px, py, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))) % 2 == 1
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -163,8 +165,8 @@ def segment_hits_cell(ax: Column, ay: Column, bx: Column, by: Column, cx: Column
     return x_ok & y_ok & (enter < leave) & (enter < 1) & (leave > 0)
 
 
-def segment_cell_distance(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    """Distance between a segment and a unit cell, 0 when they meet."""
+def corner_distances(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> list[Column]:
+    """From a unit cell's corners to the segment and from its ends to the cell: the least is their distance where they do not meet."""
 
     def to_cell(px: Column, py: Column) -> Column:
         dx = F.greatest(cx - px, F.lit(0.0), px - (cx + 1))
@@ -172,14 +174,14 @@ def segment_cell_distance(ax: Column, ay: Column, bx: Column, by: Column, cx: Co
         return F.sqrt(dx * dx + dy * dy)
 
     corners = [segment_distance(cx + i, cy + j, ax, ay, bx, by) for i in (0.0, 1.0) for j in (0.0, 1.0)]
-    return F.when(segment_hits_cell(ax, ay, bx, by, cx, cy), F.lit(0.0)).otherwise(
-        F.least(*corners, to_cell(ax, ay), to_cell(bx, by)))
+    return [*corners, to_cell(ax, ay), to_cell(bx, by)]
+
+
+def segment_cell_distance(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Distance between a segment and a unit cell, 0 when they meet."""
+    return F.when(segment_hits_cell(ax, ay, bx, by, cx, cy), F.lit(0.0)).otherwise(F.least(*corner_distances(ax, ay, bx, by, cx, cy)))
 
 
 def any_segment(path: Column, test) -> Column:
     """True when `test(a, b)` holds for some consecutive pair of path points."""
-    n = F.size(path) - 1
-    return F.exists(
-        F.zip_with(F.slice(path, 1, n), F.slice(path, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        lambda s: test(s["a"], s["b"]),
-    )
+    return F.exists(segments(path), lambda s: test(s["a"], s["b"]))

@@ -8,6 +8,7 @@ from landshift.functions import geo, labels as lb, model as md
 
 MODEL = range(1, 6)
 TILE = 256  # fixed value: pixels per tile side
+CELLS_PER_TASK = 300_000  # that boxes of features cover
 
 
 def covering_windows(pixels: DataFrame, size: int, stride: int) -> DataFrame:
@@ -86,27 +87,35 @@ def rasterize(shapes: DataFrame, buffer: float, block: int = 256) -> DataFrame:
     and the later feature (by id) wins.
 
     Bounding boxes are cut into blocks that are spread over the cluster before
-    they become cells, so one huge polygon does not land on one task.
+    they become cells, so one huge polygon does not land on one task. Every cell meets the
+    segments of its feature row by row, which Spark compiles, and folds them in the block's task.
     """
     grow = F.when(F.col("shape") == "line", F.lit(buffer)).otherwise(0.0)
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
     boxed = shapes.where(F.col("shape").isin("line", "polygon")).select(
-        "id", "class_id", "shape", "points",
+        "id", "class_id", (F.col("shape") == "polygon").alias("filled"), geo.segments(F.col("points")).alias("segments"),
         F.floor(F.array_min(xs) - grow).alias("x0"), F.floor(F.array_max(xs) + grow).alias("x1"),
         F.floor(F.array_min(ys) - grow).alias("y0"), F.floor(F.array_max(ys) + grow).alias("y1"),
     )
+    covered = boxed.agg(F.sum((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1))).first()[0]
+    tasks = 1 + (covered or 0) // CELLS_PER_TASK
     blocks = boxed.withColumn("by", F.explode(F.sequence(F.floor(F.col("y0") / block), F.floor(F.col("y1") / block)))).withColumn(
         "bx", F.explode(F.sequence(F.floor(F.col("x0") / block), F.floor(F.col("x1") / block)))
-    ).repartition("id", "by", "bx")
-    cells = blocks.withColumn(
+    ).repartition(tasks, "id", "by", "bx")
+    # a number per block of a feature, given before its segments part, tells features of one id apart; it stays in its task
+    edges = blocks.withColumn("row", F.monotonically_increasing_id()).withColumn("s", F.explode("segments")).drop("segments").select(
+        "*", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx_"), F.col("s.b.y").alias("by_")).drop("s")
+    cells = edges.withColumn(
         "y", F.explode(F.sequence(F.greatest("y0", F.col("by") * block), F.least("y1", F.col("by") * block + block - 1)))
     ).withColumn("x", F.explode(F.sequence(F.greatest("x0", F.col("bx") * block), F.least("x1", F.col("bx") * block + block - 1))))
     cx, cy = F.col("x").cast("double"), F.col("y").cast("double")
-    in_polygon = geo.point_in_ring(cx + 0.5, cy + 0.5, F.col("points")) | geo.any_segment(
-        F.col("points"), lambda a, b: geo.segment_hits_cell(a["x"], a["y"], b["x"], b["y"], cx, cy))
-    near_line = geo.any_segment(
-        F.col("points"), lambda a, b: geo.segment_cell_distance(a["x"], a["y"], b["x"], b["y"], cx, cy) <= buffer)
-    hit = cells.where(F.when(F.col("shape") == "polygon", in_polygon).otherwise(near_line))
+    ends = [F.col(c) for c in ("ax", "ay", "bx_", "by_")]
+    # each test is an aggregate of its own, since one that holds them all is too long a method for the JVM to compile
+    near = [F.bool_or(~F.col("filled") & (distance <= buffer)).alias(f"near{i}") for i, distance in enumerate(geo.corner_distances(*ends, cx, cy))]
+    crossed = F.col("filled") & geo.ray_crosses(cx + 0.5, cy + 0.5, *ends)
+    found = cells.groupBy("id", "by", "bx", "row", "class_id", "y", "x").agg(
+        F.bool_or(geo.segment_hits_cell(*ends, cx, cy)).alias("met"), *near, F.count_if(crossed).alias("crossings"))
+    hit = found.where(F.greatest("met", *[f"near{i}" for i in range(len(near))]) | (F.col("crossings") % 2 == 1))
     return hit.groupBy("y", "x").agg(F.max_by("class_id", "id").alias("class_id"), F.max("id").alias("feature_id"))
 
 

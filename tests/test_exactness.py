@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import compare  # noqa: E402
-from landshift.operators import embed as em, overlay, regions as rg, terrain as tr  # noqa: E402
+from landshift.functions import geo  # noqa: E402
+from landshift.operators import embed as em, overlay, raster as rs, regions as rg, terrain as tr  # noqa: E402
 from landshift.plans import catalog, labels  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +133,29 @@ def test_soft_scores_are_summed_once_and_compiled(spark):
     one, none = out.orderBy("id").collect()
     assert abs(sum(one.probs) - 1) < 1e-12 and none.probs is None and (none.dominant, none.max_probability) == (0, None)
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_meet_their_cells_in_compiled_tasks_of_bounded_size(spark, monkeypatch):
+    """Against the tests of whole rings and lines; two features share an id, which must not cancel what they fill."""
+    monkeypatch.setattr(rs, "CELLS_PER_TASK", 100, raising=False)
+    rng = random.Random(7)
+
+    def shape(i, kind):
+        points = [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(rng.randint(3, 6))]
+        return i, i % 5 + 1, kind, points + points[:1] if kind == "polygon" else points
+
+    same = [(50, 2, "polygon", [(20.0, 20.0), (24.0, 20.0), (24.0, 24.0), (20.0, 24.0), (20.0, 20.0)])] * 2
+    rows = [shape(i, kind) for i, kind in enumerate(("polygon", "line") * 6)] + same
+    shapes = spark.createDataFrame(rows, "id bigint, class_id int, shape string, points array<struct<x:double,y:double>>")
+    got = rs.rasterize(shapes, 0.8, block=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "exists(" not in plan and "hashpartitioning(id" in plan
+    assert int(plan.split("hashpartitioning(id")[1].split("REPARTITION_BY_NUM")[0].split(")")[0].split(",")[-1]) > 4
+    grid = shapes.crossJoin(spark.range(-3, 27).select(F.col("id").alias("y"))).crossJoin(spark.range(-3, 27).select(F.col("id").alias("x")))
+    cx, cy = F.col("x").cast("double"), F.col("y").cast("double")
+    ring = geo.point_in_ring(cx + 0.5, cy + 0.5, F.col("points")) | geo.any_segment(
+        F.col("points"), lambda a, b: geo.segment_hits_cell(a["x"], a["y"], b["x"], b["y"], cx, cy))
+    line = geo.any_segment(F.col("points"), lambda a, b: geo.segment_cell_distance(a["x"], a["y"], b["x"], b["y"], cx, cy) <= 0.8)
+    want = grid.where(F.when(F.col("shape") == "polygon", ring).otherwise(line)).groupBy("y", "x").agg(
+        F.max_by("class_id", "id").alias("class_id"), F.max("id").alias("feature_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
