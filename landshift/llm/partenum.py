@@ -14,14 +14,17 @@ more than one component are grouped anew by their rarest n-grams, since sets tha
 share one of those too: a cloud of texts that have most n-grams in common falls apart there. These
 groups go on with further hubs, chosen from their smaller components (all members that can be the
 smaller set of a pair, if these are few), until every pair that could still join two components was
-compared.
+compared. A bitmap of each set, whose bits tell parities, bounds from below how many n-grams two sets
+differ in, so what remains of a cloud below the threshold is told apart without reading its texts.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ FEW = 8  # members of a group, or of its part, that share a hub in the first rou
 HUBS = 16  # of a larger group in one round, or as many as give that many places if that is more
 PAIRS = 65536
 ROUND = 64  # times PAIRS: so many places compared in one round of a group; up to it, all its leading members are hubs at once
+WORDS = 16  # of 64 bits in a set's bitmap
 SMALL = 8  # up to so many differences, larger subsets make up for small sets
 
 _ODD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -170,8 +174,25 @@ def _grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            found = [np.unique(np.fromiter(map(digest, shingles(line.as_py(), width)), np.uint64)).view(np.int64) for line in part.column("line")]
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("n"), pa.array(found, pa.list_(pa.int64()))], ["row", "n", "grams"])
+            found = [np.unique(np.fromiter(map(digest, shingles(line.as_py(), width)), np.uint64)) for line in part.column("line")]
+            lists = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), bitmap)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("n"), *lists], ["row", "n", "grams", "bits"])
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit per bucket of hashes, set if it holds an odd number of a set's elements.
+
+    Elements of both of two sets cancel out and one of a single set turns one bit at most, so two
+    bitmaps differ in no more bits than the sets in elements, whatever their sizes.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(a: str, b: str, sizes: Column, percent: int) -> Column:
+    """True if two bitmaps differ in no more bits than linked sets that add up to `sizes` may differ in elements."""
+    differ = reduce(add, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)])
+    return differ * (100 + percent) <= sizes * (100 - percent)
 
 
 def _enough(after: Column, sizes: Column, percent: int) -> Column:
@@ -180,20 +201,22 @@ def _enough(after: Column, sizes: Column, percent: int) -> Column:
 
 
 def _by_rare_grams(rows: DataFrame, lines: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, row, n, place, lead) with the rarest n-grams of each row as `sig`, as many as leave too few others for a link.
+    """(sig, row, n, place, lead, bits) with the rarest n-grams of each row as `sig`, as many as leave too few others for a link.
 
     Of n n-grams a linked set lacks floor(n * (100 - percent) / 100) at most. Both sets order theirs
     alike, so the first they share stands among the first of both, one more than may be lacking;
     n-grams whose hashes are equal count as one, which leaves fewer others still. Of a linked pair the
     smaller set leads: from the first n-gram they share on, it holds enough for a link with a set of its own size.
     """
-    held = store(rows.join(lines, "row").select("row", "line", "n").mapInArrow(lambda it: _grams(it, width), "row bigint, n bigint, grams array<bigint>")
-                 .select("row", "n", F.explode("grams").alias("sig")))
+    sets = store(rows.join(lines, "row").select("row", "line", "n").mapInArrow(
+        lambda it: _grams(it, width), "row bigint, n bigint, grams array<bigint>, bits array<bigint>"))
+    held = sets.select("row", "n", F.explode("grams").alias("sig"))
     counted = held.join(held.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
     place = F.row_number().over(Window.partitionBy("row").orderBy("df", "sig"))
     first = counted.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1)
-    out = store(first.where("df > 1").select("sig", "row", "n", "place", _enough(F.col("n") - F.col("place"), 2 * F.col("n"), percent).alias("lead")))
-    discard(held)
+    lead = _enough(F.col("n") - F.col("place"), 2 * F.col("n"), percent)
+    out = store(first.where("df > 1").join(sets.select("row", "bits"), "row").select("sig", "row", "n", "place", lead.alias("lead"), "bits"))
+    discard(sets)
     return out
 
 
@@ -230,9 +253,10 @@ def _components(lines: DataFrame, signed: DataFrame, width: int, percent: int) -
         labels = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("labels")).join(groups, "sig")
         some = (F.col("rank") < F.col("labels")) & (F.col("rank") <= F.greatest(F.lit(HUBS), F.floor(ROUND * PAIRS / F.col("size"))))
         chosen = members.join(first.join(labels, "sig").where(some), ["sig", "row"], "left_semi")
-        hubs = store(leading.unionByName(chosen).select("sig", *[F.col(c).alias(f"hub_{c}") for c in ("row", "label", "n", "place")]))
+        hubs = store(leading.unionByName(chosen).select("sig", *[F.col(c).alias(f"hub_{c}") for c in ("row", "label", "n", "place", "bits")]))
         # before the first n-gram two sets share they share none, and pairs that do meet there as well
-        able = _enough(F.least(F.col("hub_n") - F.col("hub_place"), F.col("n") - F.col("place")), F.col("hub_n") + F.col("n"), percent)
+        sizes = F.col("hub_n") + F.col("n")
+        able = _enough(F.least(F.col("hub_n") - F.col("hub_place"), F.col("n") - F.col("place")), sizes, percent) & _near("hub_bits", "bits", sizes, percent)
         ends = [F.least("hub_row", "row").alias("a"), F.greatest("hub_row", "row").alias("b")]
         pairs = store(members.join(hubs, "sig").where((F.col("label") != F.col("hub_label")) & able).select(*ends).distinct()
                       .join(tested, ["a", "b"], "left_anti"))

@@ -137,3 +137,40 @@ def test_cloud_below_the_threshold_is_not_compared_pair_by_pair(spark, monkeypat
     rows = list(enumerate(rows))
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
     assert sum(compared) < 12 * len(rows)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(3)
+    for size in (1, 50, 2_000, 50_000):
+        both = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        for apart in (0, 1, 7, 300):
+            a, b = (np.concatenate([both, rng.integers(0, 1 << 64, n, dtype=np.uint64)]) for n in (apart // 3, apart - apart // 3))
+            turned = int(np.bitwise_count((pe.bitmap(a) ^ pe.bitmap(b)).view(np.uint64)).sum())
+            assert turned <= apart and (apart - turned) % 2 == 0 and (apart < 300 or turned > 150)
+
+
+@pytest.mark.parametrize("words_of_bits", [16, 1])
+def test_cloud_just_below_the_threshold_is_not_compared_pair_by_pair(spark, monkeypatch, words_of_bits):
+    """Each of 160 texts is near enough to their common base for a link, but no two to each other, so the places of what they share exclude nothing."""
+    compared = []
+    verified = pe._verified
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(pe, "_verified", counting)
+    monkeypatch.setattr(pe, "WORDS", words_of_bits)  # a small bitmap excludes less and changes no result
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(160):
+        text = list(base)
+        for at in rng.sample(range(5, 395, 5), 6):
+            text[at] = f"f{rng.randrange(10**9)}"
+        rows.append(" ".join(text))
+    rows += [f"{text} last" for text in rows[:4]]
+    rows = list(enumerate(rows))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    if words_of_bits == 16:
+        assert sum(compared[1:]) < 2 * len(rows)  # after the first round, whose pairs per row are bounded
