@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landshift.config import GRID, MasterGrid
 from landshift.functions import geo
-from landshift.operators.regions import ROW_STRIDE, line_events
+from landshift.operators.regions import ROW_STRIDE, line_events, tasks_for
 from landshift.storage import discard, store
 
 
@@ -58,14 +58,14 @@ def ring_order(links: DataFrame, layer: str) -> DataFrame:
     """(layer, side, ring, steps): the smallest side of each side's ring and how many links lead to it.
 
     Every side looks twice as far in each round, so a ring of n sides takes log2(n) joins
-    of a written table with itself and is never gathered.
+    of a written table with itself and is never gathered. Their tasks grow in number with the sides.
     """
     state = store(links.select(layer, "side", "next", F.col("side").alias("ring"), F.lit(0).cast("bigint").alias("steps")))
-    reach = 1
+    reach, parts = 1, tasks_for(state.count())
     while True:
         there = state.select(layer, F.col("side").alias("next"), F.col("next").alias("after"), F.col("ring").alias("far"), F.col("steps").alias("far_steps"))
         lower = F.col("far") < F.col("ring")
-        state_after = store(state.join(there, [layer, "next"]).select(
+        state_after = store(state.repartition(parts, layer, "next").join(there.repartition(parts, layer, "next"), [layer, "next"]).select(
             layer, "side", F.col("after").alias("next"), F.least("ring", "far").alias("ring"),
             F.when(lower, F.col("far_steps") + reach).otherwise(F.col("steps")).alias("steps"), lower.alias("moved")))
         discard(state)
@@ -80,7 +80,9 @@ def ring_vertices(runs: DataFrame, layer: str) -> DataFrame:
     Rings run counterclockwise on a map with north up, holes clockwise. `place` counts up along the ring.
     """
     links = store(boundary_links(runs, layer))
-    ordered = links.join(ring_order(links, layer), [layer, "side"]).where("x_from IS NOT NULL")
+    parts = tasks_for(links.count())
+    steps = ring_order(links, layer).repartition(parts, layer, "side")
+    ordered = links.where("x_from IS NOT NULL").repartition(parts, layer, "side").join(steps, [layer, "side"])
     # steps count down along the links, and the rings run against them; the first side's own corners come last
     return ordered.select(layer, "region", "ring", F.when(F.col("steps") == 0, F.lit(1 << 62)).otherwise(F.col("steps")).alias("place"),
                           "line", F.col("x_to").alias("x_first"), F.col("x_from").alias("x_second"))

@@ -16,6 +16,11 @@ RUNS_PER_TASK = 200_000  # in a sweep
 FLAGS = ("a_start", "a_end", "b_start", "b_end")
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for so many rows; Spark would size them by compressed bytes, of which sorted runs have few."""
+    return 1 + rows // RUNS_PER_TASK
+
+
 def pixel_runs(pixels: DataFrame, layer: str, value: str, means: Sequence[str] = ()) -> DataFrame:
     """Horizontal runs of equal value: (layer, value, node, y, x0, x1, n) and, per mean, its sum in micro-units and its count.
 
@@ -38,6 +43,7 @@ def line_events(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A run lies below the line of its own row and above the next one. Its end is the first
     position after it. Flags of one place are one row; a line of one key is no longer than a raster row.
+    Tasks follow the runs, two of which have eight ends.
     """
     below, above = F.col("y"), F.col("y") + 1
     ends = F.col("x1") + 1
@@ -45,7 +51,7 @@ def line_events(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.struct(line.alias("line"), x.cast("int").alias("x"), *[F.lit(kind == k).alias(k) for k in FLAGS])
         for line, x, kind in ((above, F.col("x0"), "a_start"), (above, ends, "a_end"), (below, F.col("x0"), "b_start"), (below, ends, "b_end"))
     ]))
-    placed = runs.select(*keys, event.alias("e")).select(*keys, "e.*").repartition(*keys, "line")
+    placed = runs.select(*keys, event.alias("e")).select(*keys, "e.*").repartition(tasks_for(2 * runs.count()), *keys, "line")
     return placed.groupBy(*keys, "line", "x").agg(*[F.max(k).alias(k) for k in FLAGS])
 
 
@@ -66,8 +72,7 @@ def run_edges(runs: DataFrame, layer: str, value: str) -> DataFrame:
     def latest(above: bool) -> Column:
         return F.last(F.when(F.col("above") == above, F.struct("x0", "x1")), ignorenulls=True).over(w)
 
-    parts = 1 + runs.count() // RUNS_PER_TASK
-    swept = placed.repartition(parts, *keys).withColumns({"_a": latest(True), "_b": latest(False)})
+    swept = placed.repartition(tasks_for(runs.count()), *keys).withColumns({"_a": latest(True), "_b": latest(False)})
     other = F.when(F.col("above"), F.col("_b")).otherwise(F.col("_a"))
     # runs that start at one place see each other; the upper one names the pair
     met = (other["x1"] >= F.col("x0")) & (F.col("above") | (other["x0"] < F.col("x0")))
@@ -115,7 +120,8 @@ def label_runs(pixels: DataFrame, layer: str, value: str, means: Sequence[str] =
     """Runs with the label of their 4-connected region of equal value; the runs are written once, pixels are not."""
     runs = store(pixel_runs(pixels, layer, value, means))
     labels = connected_components(run_edges(runs, layer, value), layer)
-    return runs.join(labels, [layer, "node"], "left").withColumn("region", F.coalesce("label", "node")).drop("label")
+    parts = tasks_for(runs.count())
+    return runs.repartition(parts, layer, "node").join(labels.repartition(parts, layer, "node"), [layer, "node"], "left").withColumn("region", F.coalesce("label", "node")).drop("label")
 
 
 def label_regions(pixels: DataFrame, layer: str, value: str) -> DataFrame:

@@ -111,7 +111,7 @@ rings AS (SELECT scene AS after_scene, region, ring, pixel_area < 0 AS hole, cor
 
 
 def rings(spark, d):
-    return outlines.region_rings(labelled(spark, d), "after_scene")
+    return outlines.region_rings(store(labelled(spark, d)), "after_scene")  # counted before they are swept
 
 
 @query("region_rings", RINGS + """

@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import compare  # noqa: E402
 from landshift.functions import geo  # noqa: E402
-from landshift.operators import embed as em, overlay, raster as rs, regions as rg, terrain as tr  # noqa: E402
+from landshift.operators import embed as em, outlines, overlay, raster as rs, regions as rg, terrain as tr  # noqa: E402
 from landshift.plans import catalog, labels  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -108,6 +108,22 @@ def test_sweep_in_many_tasks_finds_each_touching_pair_once(spark, monkeypatch):
     assert edges.rdd.getNumPartitions() == 1 + len(rows) // 20
 
 
+def test_outline_and_label_tasks_follow_the_runs(spark, monkeypatch):
+    """Ends of runs, links and labels go into tasks by their number; rings stay the same, however many there are."""
+    rng = random.Random(5)
+    cells = [(s, y, x, rng.choice((1, 1, 1, 2))) for s in (0, 1) for y in range(12) for x in range(30) if rng.random() < 0.8]
+    px = spark.createDataFrame(cells, "scene int, y bigint, x int, v int")
+    one = rg.label_runs(px, "scene", "v").persist()
+    want = sorted(map(str, outlines.region_rings(one, "scene").collect()))
+    monkeypatch.setattr(rg, "RUNS_PER_TASK", 20)
+    runs = rg.label_runs(px, "scene", "v")
+    assert runs.rdd.getNumPartitions() == 1 + one.count() // 20
+    assert outlines.boundary_links(one, "scene").rdd.getNumPartitions() == 1 + 2 * one.count() // 20
+    steps = outlines.ring_order(outlines.boundary_links(one, "scene").persist(), "scene")
+    assert steps.rdd.getNumPartitions() > 1
+    assert sorted(map(str, outlines.region_rings(runs.persist(), "scene").collect())) == want
+
+
 def test_nearest_centroids_are_compiled(spark):
     """Squares are written out, so that no function over arrays is interpreted per pixel; nodata stays 0."""
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 3.5]), (3, None), (4, [1.5, 2.0]), (5, [None, 1.0])], "id int, v array<double>")
