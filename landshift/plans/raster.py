@@ -14,8 +14,8 @@ from landshift.operators.quantiles import exact_quantiles_by
 from landshift.plans.registry import query, view
 from landshift.plans.terrain import aoi_ring, extent
 from landshift.plans.twins import lonlat_ctes
-from landshift.session import cut_lineage
 from landshift.sources import observations as obs
+from landshift.storage import store
 
 WK = [f"((sum_supp * {k} + sum_ord + wrow + 2 * wcol) % 11 + 1)" for k in range(1, 6)]
 SUMW = " + ".join(f"w{k}" for k in range(1, 6))
@@ -261,7 +261,8 @@ def pixel_classifier(spark, d):
     """Class-weighted pixel classifier evaluated against the voted labels."""
     v = votes.majority_vote(obs.features(spark, d), SOURCES)
     m = pt.training_mask(v, INDICES).withColumn("truth", lb.harmonized_to_model(F.col("agreement")))
-    m = cut_lineage(m)
+    # read by the fit, its summary and the prediction; what they do not read is not written
+    m = store(m.select(*INDICES, "truth", "trainable"))
     predicted = classify.train_and_predict(m, INDICES, "truth", "trainable", weights(spark, d))
     return votes.class_metrics(predicted, "truth", "model_class")
 

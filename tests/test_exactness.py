@@ -16,7 +16,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import compare  # noqa: E402
 from landshift.functions import geo  # noqa: E402
 from landshift.operators import embed as em, outlines, overlay, raster as rs, regions as rg, terrain as tr  # noqa: E402
-from landshift.plans import catalog, labels  # noqa: E402
+from landshift.operators.overlay import INDICES  # noqa: E402
+from landshift.plans import catalog, labels, raster  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,6 +125,20 @@ def test_outline_and_label_tasks_follow_the_runs(spark, monkeypatch):
     assert sorted(map(str, outlines.region_rings(runs.persist(), "scene").collect())) == want
 
 
+def test_classifier_stages_only_what_is_read(spark, monkeypatch):
+    sf, staged = "/root/testdata/sf0.001", []
+
+    def keeping(df):
+        staged.append(df.columns)
+        return df
+
+    want = sorted(map(tuple, raster.pixel_classifier(spark, sf).collect()))
+    monkeypatch.setattr(raster, "cut_lineage", keeping, raising=False)
+    monkeypatch.setattr(raster, "store", keeping, raising=False)
+    assert sorted(map(tuple, raster.pixel_classifier(spark, sf).collect())) == want and len(want) == 5
+    assert staged == [[*INDICES, "truth", "trainable"]]
+
+
 def test_nearest_centroids_are_compiled(spark):
     """Squares are written out, so that no function over arrays is interpreted per pixel; nodata stays 0."""
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 3.5]), (3, None), (4, [1.5, 2.0]), (5, [None, 1.0])], "id int, v array<double>")
